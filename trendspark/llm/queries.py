@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from . import truncation
+from . import mixing, packing, pii, truncation
 from ..sources.tables import table
 
 
@@ -18,6 +18,32 @@ def p3_share(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_by_source(found)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_share)}
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_pack(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p7_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_items(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+def p8_masked(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with placeholders."""
+    docs = table(spark, d, "documents")
+    return pii.mask_personal(docs.select("doc_id", "text"), pii.fit(docs, table(spark, d, "given_names")))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_share, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_masked)}
 
 ORACLES: dict[str, str] = {}
