@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rounding import let
+
 ONE, MANY = "?", "*"
 
 
@@ -103,11 +105,6 @@ def _get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once: inside nested lambdas nothing else keeps a common subexpression."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _occurrences(v: Column, child: Element, times: str) -> Column:
     """``array<struct<k,n>>`` of the objects in ``v``: the id under which each is held (null in lists) and the object."""
 
@@ -123,13 +120,13 @@ def _occurrences(v: Column, child: Element, times: str) -> Column:
         return F.when(F.arrays_overlap(F.map_keys(keyed), F.array(*[F.lit(m) for m in child.marks])), bare(x)).otherwise(entries)
 
     def of_value(x: Column) -> Column:
-        by_key = _let(_get(x, "$", "map<string,variant>"), lambda m: of_object(x, m))
+        by_key = let(_get(x, "$", "map<string,variant>"), lambda m: of_object(x, m))
         if times == ONE:
             return by_key
         listed = F.transform(_get(x, "$", "array<variant>"), lambda n: F.struct(F.lit(None).cast("string").alias("k"), n.alias("n")))
         return F.coalesce(listed, by_key)
 
-    return F.filter(_let(v, of_value), lambda x: _is_object(x["n"]))
+    return F.filter(let(v, of_value), lambda x: _is_object(x["n"]))
 
 
 def _is_object(v: Column) -> Column:
