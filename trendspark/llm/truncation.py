@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import checkpointed
+
 #: Tokens: run ids, numbers, words, ellipses, line breaks, single signs. A word of the trie has at most so many letters.
 TOKEN = r"(?U)r_\d{8}T\d{4}_[0-9a-f]*|\d+(?:[.,]\d+)*|\w+|\.\.\.|\n+|[^\w\s]"
 LONGEST_WORD = 64
@@ -43,8 +45,9 @@ def _gram(tokens: Column, end: Column, k: int) -> Column:
     return F.when(end >= k, F.xxhash64(F.lit(k), *parts))
 
 
-def _sequences(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(g, ends, goes_on)`` of the sequences of one to three tokens in ``wanted.g``."""
+def _sequences(corpus: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` ``(_h, k, g)``, ``g`` a sequence of one to three tokens, with ``ends`` and ``goes_on``: how often the sequence is
+    followed by an end (of text, line or sentence) and how often not. One row per asked sequence the corpus has."""
     t = F.col("_t")
 
     def at(i: Column) -> Column:
@@ -53,13 +56,13 @@ def _sequences(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = corpus.where(F.size("_t") > 0).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("_t")), at)).alias("_p")).select(F.explode("_p.g").alias("g"), "_p.e")
     counts = rows.where("g is not null").groupBy("g").agg(F.sum(F.col("e").cast("bigint")).alias("ends"), F.sum((~F.col("e")).cast("bigint")).alias("goes_on"))
-    return counts.join(wanted, "g", "left_semi")
+    return asked.join(counts, "g")
 
 
-def _trie(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Trie nodes ``(c, node, words, longer)`` below the contexts of ``wanted`` (``c``, ``node``): how often the node
-    is a word there and how often a proper prefix of one. Context 0 is the whole vocabulary. The final token of a text
-    counts for none."""
+def _trie(corpus: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` ``(_h, c, node)`` with ``words`` and ``longer``: how often the trie node is a word below its context and how often a
+    proper prefix of one. Context 0 is the whole vocabulary. The final token of a text counts for none. One row per
+    asked node the trie has."""
     t = F.col("_t")
 
     def at(i: Column) -> Column:
@@ -71,15 +74,12 @@ def _trie(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
         inner.where(F.col("c").isNotNull() & F.col("w").rlike(r"(?U)^\w") & (F.length("w") <= LONGEST_WORD))
         .groupBy("c", "w")
         .agg(F.count("*").alias("n"))
-        .join(wanted.select("c").distinct(), "c", "left_semi")
+        .join(asked.select("c").distinct(), "c", "left_semi")
     )
     nodes = words.select("c", "w", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.col("w"), F.lit(1), i))).alias("node"))
     whole = F.col("node") == F.col("w")
-    return (
-        nodes.join(wanted.distinct(), ["c", "node"], "left_semi")
-        .groupBy("c", "node")
-        .agg(F.sum(F.when(whole, F.col("n")).otherwise(0)).alias("words"), F.sum(F.when(~whole, F.col("n")).otherwise(0)).alias("longer"))
-    )
+    counts = nodes.groupBy("c", "node").agg(F.sum(F.when(whole, F.col("n")).otherwise(0)).alias("words"), F.sum(F.when(~whole, F.col("n")).otherwise(0)).alias("longer"))
+    return asked.join(counts, ["c", "node"])
 
 
 def _limits(texts: DataFrame) -> DataFrame:
@@ -115,7 +115,8 @@ def find_truncated(df: DataFrame, id_col: str, source_col: str, text_col: str) -
     rows = rows.withColumn("_text", F.regexp_replace("_raw", r"\s+$", ""))
     rows = rows.withColumn("_h", F.xxhash64("_text"))
     filled = rows.where(F.length("_text") > 0)
-    corpus = filled.select("_text").distinct().withColumn("_t", _tokens(text))
+    # cut into tokens once, for all that is counted
+    corpus = checkpointed(filled.select("_text").distinct().withColumn("_t", _tokens(text)))
 
     open_text = F.regexp_replace(text, MARK, "")
     lengths = F.array(
@@ -141,16 +142,18 @@ def find_truncated(df: DataFrame, id_col: str, source_col: str, text_col: str) -
         )
         .where(~F.col("_stopped") | F.col("_broken"))
     )
-    wanted_grams = ends.select(F.explode(F.array("_g1", "_g2", "_g3", "_u3")).alias("g")).where("g is not null").distinct()
-    grams = _sequences(corpus, wanted_grams)
-    asked = ends.where(F.col("node").rlike(r"(?U)^\w")).select(F.explode(F.array(F.lit(0).cast("bigint"), "_c2")).alias("c"), "node").where("c is not null")
-    trie = _trie(corpus, asked)
-
-    for k in ("_g1", "_g2", "_g3", "_u3"):
-        ends = ends.join(grams.select(F.col("g").alias(k), F.col("ends").alias(f"{k}_e"), F.col("goes_on").alias(f"{k}_o")), k, "left")
-    top = trie.where("c = 0").select("node", F.col("words").alias("_w0"), F.col("longer").alias("_l0"))
-    sub = trie.where("c <> 0").select(F.col("c").alias("_c2"), "node", F.col("words").alias("_w2"), F.col("longer").alias("_l2"))
-    ends = ends.join(top, "node", "left").join(sub, ["_c2", "node"], "left")
+    ends = checkpointed(ends)  # asked of the corpus in two ways, and joined with both answers
+    keys = ("_g1", "_g2", "_g3", "_u3")
+    asked = ends.select("_h", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("g")) for k in keys])).alias("_q")).select("_h", "_q.*").where("g is not null")
+    each = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    grams = _sequences(corpus, asked).groupBy("_h").agg(*[each(k, c).alias(f"{k}_{c[0]}") for k in keys for c in ("ends", "goes_on")])
+    asked = ends.where(F.col("node").rlike(r"(?U)^\w")).select("_h", "node", F.explode(F.array(F.lit(0).cast("bigint"), "_c2")).alias("c")).where("c is not null")
+    top = F.col("c") == 0
+    trie = _trie(corpus, asked).groupBy("_h").agg(
+        F.max(F.when(top, F.col("words"))).alias("_w0"), F.max(F.when(top, F.col("longer"))).alias("_l0"),
+        F.max(F.when(~top, F.col("words"))).alias("_w2"), F.max(F.when(~top, F.col("longer"))).alias("_l2"),
+    )
+    ends = ends.join(grams, "_h", "left").join(trie, "_h", "left")
 
     def num(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(0))
@@ -160,7 +163,7 @@ def find_truncated(df: DataFrame, id_col: str, source_col: str, text_col: str) -
     context = (num("_l2") >= 2) & (num("_w2") <= END_SHARE * num("_l2")) & (num("_u3_e") - own <= END_SHARE * num("_l2"))
     sequence = F.lit(False)
     for k in ("_g1", "_g2", "_g3"):
-        e, both = num(f"{k}_e") - 1, num(f"{k}_e") - 1 + num(f"{k}_o")
+        e, both = num(f"{k}_e") - 1, num(f"{k}_e") - 1 + num(f"{k}_g")
         sequence = F.when(both >= KNOWN, e < END_SHARE * both).otherwise(sequence)
     told = ends.select(
         "_h",
