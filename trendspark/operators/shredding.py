@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rounding import let
+from ..session import checkpointed
 
 ONE, MANY = "?", "*"
 
@@ -56,9 +57,8 @@ class Relation:
 
 
 class SchemaGraph:
-    def __init__(self, root: str, elements: list[Element], edges: list[Edge], max_depth: int = 8):
-        """``max_depth``: how often a recursive element is followed into itself."""
-        self.root, self.edges, self.max_depth = root, edges, max_depth
+    def __init__(self, root: str, elements: list[Element], edges: list[Edge]):
+        self.root, self.edges = root, edges
         self.elements = {e.name: e for e in elements}
         for e in edges:
             if e.parent not in self.elements or e.child not in self.elements:
@@ -171,35 +171,33 @@ def shred(df: DataFrame, graph: SchemaGraph, body: str, keep: list[str]) -> Data
     def row(name: str, path: Column, up: str | None, up_path: Column, up_key: Column, item: Column, node: Column) -> Column:
         return F.struct(
             F.lit(name).alias("relation"), path.alias("row_path"), F.lit(up).cast(text).alias("parent_relation"), up_path.alias("parent_path"),
-            up_key.alias("parent_key"), item.alias("item"), node.alias("node"),
+            up_key.alias("parent_key"), item.alias("item"), node.alias("node"), F.lit(up is not None and rels[name].recursive).alias("_open"),
         )
 
     def has(name: str) -> Callable[[Column], Column]:
         return lambda x: _get(x["n"], f"$.{name}").isNotNull()
 
-    def occurrence(c: Relation, r: Relation, path: Column, item: Column, depth: int) -> Callable[[Column, Column], Column]:
+    def occurrence(c: Relation, r: Relation, path: Column, item: Column) -> Callable[[Column, Column], Column]:
         e = c.element
 
         def one(x: Column, i: Column) -> Column:
             here = F.concat(path, F.lit(f"/{e.name}:"), i.cast(text))
             own = F.coalesce(_get(x["n"], f"$.{e.key}"), x["k"]) if e.key else x["k"]
             me = F.array(row(e.name, here, r.element.name, path, item, own, x["n"]))
-            more = below(c, here, x["n"], own, depth + c.recursive)
+            more = [] if c.recursive else below(c, here, x["n"], own)
             return F.concat(me, *more) if more else me
 
         return one
 
-    def below(r: Relation, path: Column, node: Column, item: Column, depth: int) -> list[Column]:
+    def below(r: Relation, path: Column, node: Column, item: Column) -> list[Column]:
         parts = []
         for child, at, times in r.children:
             c = rels[child]
-            if c.recursive and depth >= graph.max_depth:
-                continue
             e = c.element
             held = _occurrences(_get(node, at, "variant"), e, times)
             if e.needs:
                 held = F.filter(held, has(e.needs))
-            one = occurrence(c, r, path, item, depth)
+            one = occurrence(c, r, path, item)
             parts.append(F.coalesce(F.flatten(F.transform(held, one)), F.array()))
         return parts
 
@@ -209,14 +207,22 @@ def shred(df: DataFrame, graph: SchemaGraph, body: str, keep: list[str]) -> Data
     def of_record(x: Column, i: Column) -> Column:
         path = F.concat(F.lit(f"/{graph.root}:"), i.cast(text))
         item = _get(x, f"$.{root.element.key}") if root.element.key else none
-        return F.concat(F.array(row(graph.root, path, None, none, none, item, x)), *below(root, path, x, item, 0))
+        return F.concat(F.array(row(graph.root, path, None, none, none, item, x)), *below(root, path, x, item))
 
     objects = F.filter(replies(F.col(body)), lambda x: _get(x, "$", "map<string,variant>").isNotNull())
-    return (
-        df.where(F.col(body).isNotNull())
-        .select(*keep, F.explode(F.flatten(F.transform(objects, of_record))).alias("_r"))
-        .select(*keep, "_r.*")
-    )
+    rows = df.where(F.col(body).isNotNull()).select(*keep, F.explode(F.flatten(F.transform(objects, of_record))).alias("_r")).select(*keep, "_r.*")
+    loops = [r for r in rels.values() if r.recursive]
+    parts = [rows]
+    while loops:  # a level of recursion at a time, for as long as there is one
+        level = checkpointed(parts[-1].where("_open"))
+        if level.isEmpty():
+            break
+        held = [F.when(F.col("relation") == r.element.name, F.concat(*below(r, F.col("row_path"), F.col("node"), F.col("item")))) for r in loops if r.children]
+        parts.append(level.select(*keep, F.explode(F.coalesce(*held)).alias("_r")).select(*keep, "_r.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("_open")
 
 
 def flat_tables(df: DataFrame, graph: SchemaGraph, body: str, id_col: str) -> dict[str, DataFrame]:
