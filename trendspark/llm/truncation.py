@@ -61,15 +61,15 @@ def _sequences(corpus: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _trie(corpus: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked`` ``(_h, c, node)`` with ``words`` and ``longer``: how often the trie node is a word below its context and how often a
-    proper prefix of one. Context 0 is the whole vocabulary. The final token of a text counts for none. One row per
-    asked node the trie has."""
+    proper prefix of one. Context 0 is the whole vocabulary. The final token of a text (before a mark of omission) counts
+    for none. One row per asked node the trie has."""
     t = F.col("_t")
 
     def at(i: Column) -> Column:
         w = F.get(t, i - 1)
         return F.array(F.struct(F.lit(0).cast("bigint").alias("c"), w.alias("w")), F.struct(_gram(t, i - 1, 2).alias("c"), w.alias("w")))
 
-    inner = corpus.where(F.size("_t") > 1).select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("_t") - 1), at))).alias("_p")).select("_p.*")
+    inner = corpus.where("_n > 1").select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.col("_n") - 1), at))).alias("_p")).select("_p.*")
     words = (
         inner.where(F.col("c").isNotNull() & F.col("w").rlike(r"(?U)^\w") & (F.length("w") <= LONGEST_WORD))
         .groupBy("c", "w")
@@ -116,9 +116,9 @@ def find_truncated(df: DataFrame, id_col: str, source_col: str, text_col: str) -
     rows = rows.withColumn("_h", F.xxhash64("_text"))
     filled = rows.where(F.length("_text") > 0)
     # cut into tokens once, for all that is counted
-    corpus = checkpointed(filled.select("_text").distinct().withColumn("_t", _tokens(text)))
-
     open_text = F.regexp_replace(text, MARK, "")
+    corpus = filled.select("_text").distinct().withColumn("_t", _tokens(text))
+    corpus = checkpointed(corpus.withColumn("_n", F.when(open_text == text, F.size("_t")).otherwise(F.size(_tokens(open_text)))))  # without a mark
     lengths = F.array(
         F.struct(F.lit("chars").alias("measure"), F.length("_raw").alias("length")),
         F.struct(F.lit("bytes").alias("measure"), F.octet_length(F.regexp_replace("_raw", "�$", "?")).alias("length")),
@@ -133,7 +133,7 @@ def find_truncated(df: DataFrame, id_col: str, source_col: str, text_col: str) -
     u, t = F.col("_u"), F.col("_t")
     n = F.size(u)
     ends = (
-        corpus.withColumn("_u", _tokens(F.regexp_replace(text, MARK, "")))
+        corpus.withColumn("_u", F.slice("_t", 1, F.col("_n")))
         .withColumn("_marked", open_text != text)
         .select(
             F.xxhash64("_text").alias("_h"), broken.alias("_broken"), "_marked", F.element_at(u, -1).alias("node"),
