@@ -29,7 +29,7 @@ def topic_in(command: Column) -> Column:
 
 
 def _unmet(patterns: Column, text: Column) -> Column:
-    return F.filter(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: ~text.rlike(F.concat(F.lit("(?i)"), F.replace(p, F.lit("(?i)"), F.lit("")))))
+    return F.filter(F.coalesce(patterns, F.array().cast("array<string>")), lambda p: ~F.regexp_like(text, F.concat(F.lit("(?i)"), F.replace(p, F.lit("(?i)"), F.lit("")))))
 
 
 def score(transcripts: DataFrame, scenarios: DataFrame) -> DataFrame:
