@@ -23,10 +23,11 @@ def _source(c: str):
 
 
 def _spread(documents: DataFrame, targets: DataFrame, seed: int, tokenizer: str) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts of the targeted sources, sized and keyed; and one row per target."""
+    """The distinct texts of the targeted sources, sized and keyed; and one row per target. Targets are a table written by
+    hand, a row a source; what has so many rows is broadcast, whereby texts are never brought together by source."""
     wanted = targets.select(_source("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0")
     wanted = wanted.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    docs = documents.select("doc_id", _source("source").alias("source"), "text").where("source is not null and length(text) > 0").join(wanted.select("source"), "source", "left_semi")
+    docs = documents.select("doc_id", _source("source").alias("source"), "text").where("source is not null and length(text) > 0").join(F.broadcast(wanted.select("source")), "source", "left_semi")
     # a repost is the same text: it belongs to the source of its least id, and is counted once
     texts = docs.groupBy(F.sha2("text", 256).alias("_h")).agg(F.min(F.struct("doc_id", "source")).alias("_d"), F.first("text").alias("text"))
     sized = tokens.with_token_counts(texts.select("_d.doc_id", "_d.source", "text", "_h"), "text", tokenizer)
@@ -39,11 +40,9 @@ def budgets(texts: DataFrame, wanted: DataFrame, total_tokens: int | None = None
     mixture; if not given, that of all distinct texts of the targeted sources."""
     have = texts.groupBy("source").agg(F.sum("n_tokens").alias("available"))
     rows = wanted.join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    every = rows.agg(F.sum("available").alias("_t")) if total_tokens is None else rows.sparkSession.range(1).select(F.lit(total_tokens).cast("bigint").alias("_t"))
-    return rows.join(every).select(  # one row on the right
-        "source", "target_share", "max_repeats", "available",
-        F.least(F.floor(F.col("target_share") * F.col("_t") + 0.5).cast("bigint"), F.col("available") * F.col("max_repeats")).alias("budget"),
-    )
+    total = F.sum("available").over(W.partitionBy()) if total_tokens is None else F.lit(total_tokens).cast("bigint")  # as many rows as targets
+    share = F.floor(F.col("target_share") * total + 0.5).cast("bigint")
+    return rows.select("source", "target_share", "max_repeats", "available", F.least(share, F.col("available") * F.col("max_repeats")).alias("budget"))
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
@@ -61,8 +60,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     inside = W.partitionBy("source", "_part").orderBy("_key", "_h").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         texts.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-        .join(sums, ["source", "_part"])
-        .join(plan.where("budget > 0").select("source", "available", "budget"), "source")
+        .join(F.broadcast(sums), ["source", "_part"])  # at most PARTS rows a target
+        .join(F.broadcast(plan.where("budget > 0").select("source", "available", "budget")), "source")  # a row a target
         .withColumn("_at", F.col("_before") + F.col("_in"))
     )
     rounds = F.floor((F.col("budget") - F.col("_at") - 1) / F.col("available"))  # the last epoch that reaches the text
