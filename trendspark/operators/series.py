@@ -136,9 +136,9 @@ def index_to_100(monthly: DataFrame) -> DataFrame:
 def period_matrix(monthly: DataFrame, group: str, most_months: int = 66) -> DataFrame:
     """``(period, <group>, views)`` of complete months: by month, or by quarter where there are more than ``most_months``."""
     rows = monthly.where("complete")
-    span = rows.select("month").distinct().agg(F.count("*").alias("_m"))
-    period = F.when(F.col("_m") > most_months, F.trunc("month", "quarter")).otherwise(F.col("month"))
-    return rows.join(span).groupBy(period.alias("period"), group).agg(F.sum("views").alias("views"))  # one row on the right
+    quarters = rows.select("month").distinct().count() > most_months
+    period = F.trunc("month", "quarter") if quarters else F.col("month")
+    return rows.groupBy(period.alias("period"), group).agg(F.sum("views").alias("views"))
 
 
 def pivot_matrix(matrix: DataFrame, group: str, names: list[str]) -> DataFrame:
