@@ -36,6 +36,11 @@ def test_cuts_inside_words_sentences_and_structures(spark):
     assert not any(got[k] for k in range(len(base)))
 
 
+def test_a_usual_ellipsis_is_no_cut(spark):
+    base = corpus() + [t + " As far as the log tells." for t in corpus(2, 20)] + [" ".join(random.Random(k).sample(SENTENCES, 3)) + " More months may tell..." for k in range(9)]
+    assert not any(found(spark, base).values())
+
+
 def test_lengths_that_pile_up_are_limits(spark):
     long = [" ".join(random.Random(s).choices(SENTENCES, k=12)) for s in range(30)]
     base = corpus(n=60)

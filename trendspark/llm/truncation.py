@@ -159,7 +159,9 @@ def find_truncated(df: DataFrame, id_col: str, source_col: str, text_col: str) -
         return F.coalesce(F.col(c), F.lit(0))
 
     own = F.when(F.col("_marked"), 0).otherwise(1)
-    word = (num("_w0") == 0) & (num("_l0") > 0)
+    # what several texts end with before a mark of omission is a way to end, where nothing goes on from the same words
+    habit = F.col("_marked") & (num("_g3_e") - 1 >= 2) & (num("_l2") == 0)
+    word = (num("_w0") == 0) & (num("_l0") > 0) & ~habit
     context = (num("_l2") >= 2) & (num("_w2") <= END_SHARE * num("_l2")) & (num("_u3_e") - own <= END_SHARE * num("_l2"))
     sequence = F.lit(False)
     for k in ("_g1", "_g2", "_g3"):
