@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.rounding import round_half, round_up_half
-from ..functions.text import CAUTION, DECLINE, GROWTH, LANGUAGES, code_pattern, figure_value, figures, sentences
+from ..functions.rounding import let, round_half, round_up_half
+from ..functions.text import CAUTION, DECLINE, GROWTH, LANGUAGES, WORD_CODES, figure_value, figures, sentences
 
 #: Figures the documentation states, which any text may quote.
 DOCUMENTED = (7.0, 25.0, 1e6)
@@ -22,26 +22,24 @@ def exempt(v: Column) -> Column:
     return (a == F.floor(a)) & ((a <= 24) | a.between(1900, 2100))
 
 
-def traceable(v: Column, shown: Column) -> Column:
-    """Whether a figure is one of ``shown``: as it is, rounded, within a half, or within 2 % from 100 on."""
-    a = F.abs(v)
+def _tolerance(a: Column) -> Column:
+    return F.when(a >= 100, F.greatest(F.lit(0.5), 0.02 * a)).otherwise(0.5)
 
-    def near(o: Column) -> Column:
-        b = F.abs(o)
-        forms = (o == v) | (b == a) | (round_up_half(o) == v) | (F.abs(round_up_half(o)) == a) | (round_half(b, 1) == a)
-        return forms | ((F.abs(b - a) <= 0.5) & (a >= 1)) | ((a >= 100) & (F.abs(b - a) <= 0.02 * a))
 
-    return F.exists(shown, near)
+def traceable(v: Column, shown: Column) -> Column:
+    """Whether a figure is one of ``shown``: as it is, rounded, within a half, or within 2 % from 100 on. From 1 on the half
+    takes in every rounding, so that one interval is the test."""
+    a = F.abs(v)
+    small = lambda o: (F.abs(o) == a) | (F.abs(round_up_half(o)) == a) | (round_half(F.abs(o), 1) == a)
+    ends = F.struct((a - _tolerance(a)).alias("lo"), (a + _tolerance(a)).alias("hi"))
+    return F.when(a >= 1, let(ends, lambda e: F.exists(shown, lambda o: F.abs(o).between(e["lo"], e["hi"])))).otherwise(F.exists(shown, small))
 
 
 def matches(a: Column, shown: Column) -> Column:
-    """The looser test of attribution."""
-
-    def near(o: Column) -> Column:
-        b = F.abs(o)
-        return (round_up_half(b) == round_up_half(a)) | (F.abs(b - a) <= 0.5) | ((a >= 100) & (F.abs(b - a) <= 0.02 * a))
-
-    return F.exists(shown, near)
+    """The looser test of attribution: within the tolerance, or rounded to the same whole number."""
+    whole = F.floor(a + 0.5)
+    ends = F.struct(F.least(a - _tolerance(a), whole - 0.5).alias("lo"), (a + _tolerance(a)).alias("hi"), (whole + 0.5).alias("below"))
+    return let(ends, lambda e: F.exists(shown, lambda o: (F.abs(o) >= e["lo"]) & ((F.abs(o) <= e["hi"]) | (F.abs(o) < e["below"]))))
 
 
 def untraceable_figures(drafts: DataFrame, key: str, text: str, shown: str) -> DataFrame:
@@ -50,16 +48,23 @@ def untraceable_figures(drafts: DataFrame, key: str, text: str, shown: str) -> D
     return rows.where(F.col("_v").isNotNull() & ~exempt(F.col("_v")) & ~traceable(F.col("_v"), F.coalesce("_s", F.array().cast("array<double>")))).select(key, "figure").distinct()
 
 
-def _names_row(sentence: Column, row: Column, langs: list[str]) -> Column:
-    """Whether a sentence names a row's edition: by code, by language or by a title that is not the topic's own."""
-    by_code = F.lit(False)
-    for code in langs:
-        name = LANGUAGES.get(code, code)
-        test = sentence.rlike(code_pattern(code) or "$^")
-        if name != code:
-            test = test | sentence.rlike(rf"(?i)\b{name}")
-        by_code = by_code | ((row["lang"] == code) & test)
-    return by_code | (row["distinguishing"] & (F.instr(sentence, row["title"]) > 0))
+def _editions_named(sentence: Column) -> Column:
+    """Codes of the editions a sentence names, by code or by language: one pattern each for codes, for codes that are words
+    (see :func:`code_pattern`) and for names, instead of two a language."""
+    found = lambda pattern: F.regexp_extract_all(sentence, F.lit(pattern), F.lit(0))
+    plain = "|".join(c for c in LANGUAGES if c not in WORD_CODES)
+    words = "|".join(c for c in LANGUAGES if c in WORD_CODES)
+    by_word = rf"\b(?:{words})\.wikipedia\b|\((?:{words})\)|\b(?:{words}):|\b(?:{words.upper()})\b"
+    codes = F.transform(F.concat(found(rf"(?i)(?<![a-z])(?:{plain})(?![a-z])"), found(by_word)), lambda x: F.lower(F.regexp_extract(x, "[A-Za-z]+", 0)))
+    of_name = F.create_map(*[F.lit(x) for c, n in LANGUAGES.items() for x in (n.lower(), c)])
+    names = F.transform(found(rf"(?i)\b(?:{'|'.join(LANGUAGES.values())})"), lambda x: of_name[F.lower(x)])
+    return F.concat(codes, names)
+
+
+def _rows_named(sentence: Column, rows: Column) -> Column:
+    """The rows a sentence is about: their edition is named, or a title that is not the topic's own."""
+    about = lambda named: F.filter(rows, lambda r: F.array_contains(named, r["lang"]) | (r["distinguishing"] & (F.instr(sentence, r["title"]) > 0)))
+    return let(_editions_named(sentence), about)
 
 
 def check_claims(drafts: DataFrame, runs: DataFrame, results: DataFrame) -> DataFrame:
@@ -68,7 +73,6 @@ def check_claims(drafts: DataFrame, runs: DataFrame, results: DataFrame) -> Data
     ``drafts``: ``(draft_id, run_id, text)``; ``runs``: ``(run_id, topic, label, shared array<double>)``, the numbers of the run outside
     its rows; ``results`` as above. A sentence is held against a row when it names exactly one. Null and empty texts have no issues.
     """
-    langs = sorted(LANGUAGES)
     generic = lambda r, g: F.coalesce(F.contains(F.lower(g), F.lower(r)) | F.contains(F.lower(r), F.lower(g)), F.lit(False))
     own = results.join(runs.select("run_id", "topic", "label"), "run_id", "left").withColumn(
         "distinguishing", F.col("title").isNotNull() & (F.col("title") != "") & ~generic(F.col("title"), F.col("topic")) & ~generic(F.col("title"), F.col("label"))
@@ -83,8 +87,10 @@ def check_claims(drafts: DataFrame, runs: DataFrame, results: DataFrame) -> Data
         "draft_id", F.lit("untraceable_figure").alias("id"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("lang"), "figure", F.lit(None).cast("string").alias("sentence")
     )
     said = base.select("draft_id", "shared", "rows", F.explode(sentences(F.col("text"))).alias("sentence"))
-    said = said.withColumn("_refs", F.filter("rows", lambda r: _names_row(F.col("sentence"), r, langs))).where(F.size("_refs") == 1).withColumn("row", F.col("_refs")[0])
-    said = said.select("draft_id", "shared", "rows", "sentence", "row", F.explode(figures(F.col("sentence"))).alias("figure")).withColumn("v", figure_value(F.col("figure")))
+    # the row (if it is one) is told once a sentence: the explode keeps it from being told again for every use
+    one = let(_rows_named(F.col("sentence"), F.col("rows")), lambda refs: F.when(F.size(refs) == 1, refs[0]))
+    said = said.where(F.col("sentence").rlike(r"[0-9]")).select("draft_id", "shared", "rows", "sentence", one.alias("row"), F.explode(figures(F.col("sentence"))).alias("figure"))
+    said = said.where("row is not null").withColumn("v", figure_value(F.col("figure")))
     said = said.where(F.col("v").isNotNull() & ~exempt(F.col("v"))).withColumn("a", F.abs("v"))
     a, row, s = F.col("a"), F.col("row"), F.col("sentence")
     said = said.withColumn("_own", matches(a, F.col("shared")) | matches(a, F.coalesce(row["numbers"], F.array().cast("array<double>"))))
