@@ -31,7 +31,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_grid(spark: SparkSession, d: str) -> DataFrame:
-    return regrid.hourly_grid(table(spark, d, "live_points")).withColumn("value", F.round("value", 4))
+    return regrid.hourly_grid(table(spark, d, "live_points")).withColumn("value", F.floor(F.col("value") * 1000 + 0.500001) / 1000)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +54,17 @@ t AS (SELECT series_id, day, v,
         sum(n) OVER (PARTITION BY series_id ORDER BY day ROWS 29 PRECEDING)::BIGINT AS total_30 FROM y)
 """
 
+_READINGS = r"""
+WITH n AS (SELECT series_id, trim(d) AS d, v, seen_at FROM live_points WHERE v IS NOT NULL AND series_id IS NOT NULL),
+i AS (SELECT series_id, d, v, seen_at, CASE
+    WHEN regexp_full_match(d, '\d{10}') THEN epoch(try_strptime(d || '0000', '%Y%m%d%H%M%S'))
+    WHEN regexp_full_match(d, '\d{14}') THEN epoch(try_strptime(d, '%Y%m%d%H%M%S'))
+    WHEN regexp_full_match(d, '\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(Z|[+-]\d\d:\d\d)?') THEN
+      epoch(try_strptime(replace(d[1:19], 'T', ' '), '%Y-%m-%d %H:%M:%S'))
+      - CASE WHEN length(d) = 25 THEN (CASE d[20] WHEN '-' THEN -1 ELSE 1 END) * (d[21:22]::INT * 3600 + d[24:25]::INT * 60) ELSE 0 END
+    END AS ep FROM n),
+"""
+
 ORACLES = {
     "p2_found": _TRAILING
     + """, u AS (SELECT series_id, day, 7 AS span_days, total_7 AS t FROM t UNION ALL SELECT series_id, day, 30, total_30 FROM t),
@@ -63,17 +74,20 @@ SELECT series_id, strftime(day, '%Y%m%d') AS d, span_days, 'idle' AS mark FROM u
 UNION ALL SELECT series_id, strftime(peak, '%Y%m%d'), span_days, 'peak' FROM e""",
     "p2_trailing": _TRAILING
     + """SELECT series_id, strftime(day, '%Y%m%d') AS d, v, total_7, round(total_7 / 7.0, 6)::DOUBLE AS avg_7, total_30, round(total_30 / 30.0, 6)::DOUBLE AS avg_30 FROM t""",
-    "p4_found": r"""
-WITH n AS (SELECT series_id, trim(d) AS d FROM live_points WHERE v IS NOT NULL AND series_id IS NOT NULL),
-i AS (SELECT series_id, d, CASE
-    WHEN regexp_full_match(d, '\d{10}') THEN epoch(try_strptime(d || '0000', '%Y%m%d%H%M%S'))
-    WHEN regexp_full_match(d, '\d{14}') THEN epoch(try_strptime(d, '%Y%m%d%H%M%S'))
-    WHEN regexp_full_match(d, '\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(Z|[+-]\d\d:\d\d)?') THEN
-      epoch(try_strptime(replace(d[1:19], 'T', ' '), '%Y-%m-%d %H:%M:%S'))
-      - CASE WHEN length(d) = 25 THEN (CASE d[20] WHEN '-' THEN -1 ELSE 1 END) * (d[21:22]::INT * 3600 + d[24:25]::INT * 60) ELSE 0 END
-    END AS ep FROM n),
-r AS (SELECT DISTINCT series_id, floor(ep / 3600)::BIGINT AS h FROM i WHERE ep IS NOT NULL),
+    "p4_found": _READINGS
+    + """r AS (SELECT DISTINCT series_id, floor(ep / 3600)::BIGINT AS h FROM i WHERE ep IS NOT NULL),
 s AS (SELECT series_id, min(h) AS a, max(h) AS b FROM r GROUP BY 1),
 g AS (SELECT series_id, unnest(generate_series(a, b)) AS h FROM s)
 SELECT g.series_id, strftime(make_timestamp(g.h * 3600000000), '%Y%m%d%H') AS slot FROM g ANTI JOIN r USING (series_id, h)""",
+    "p4_grid": _READINGS
+    + """u AS (SELECT series_id, ep, (max({'o': seen_at, 'v': v})).v AS v FROM i WHERE ep IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT *, lead(ep) OVER (PARTITION BY series_id ORDER BY ep) AS e1 FROM u),
+y AS (SELECT *, unnest(generate_series(floor(ep / 3600)::BIGINT, floor(e1 / 3600)::BIGINT)) AS c FROM x WHERE e1 - ep <= 21600),
+w AS (SELECT series_id, c, sum(v * o) AS a, sum(o) AS s FROM (SELECT *, least(e1, (c + 1) * 3600) - greatest(ep, c * 3600) AS o FROM y) GROUP BY 1, 2),
+k AS (SELECT series_id, floor(ep / 3600)::BIGINT AS c, count(*) AS readings, arg_max(v, ep) AS last FROM u GROUP BY 1, 2),
+g AS (SELECT series_id, unnest(generate_series(min(c), max(c))) AS c FROM k GROUP BY 1),
+t AS (
+  SELECT g.series_id, g.c, coalesce(readings, 0) AS readings, CASE WHEN readings > 0 THEN coalesce(a / nullif(s, 0), last) WHEN s > 0 THEN a / s END AS value,
+         CASE WHEN readings > 0 THEN 'read' WHEN s > 0 THEN 'filled' ELSE 'uncovered' END AS state FROM g LEFT JOIN k USING (series_id, c) LEFT JOIN w USING (series_id, c))
+SELECT series_id, strftime(make_timestamp(c * 3600000000), '%Y%m%d%H') AS slot, readings, floor(value * 1000 + 0.500001) / 1000 AS value, state FROM t""",
 }

@@ -256,4 +256,18 @@ FROM (SELECT o_orderpriority, o_orderdate::DATE AS day, count(*) AS n FROM order
     "market_share_by_region": """SELECT r_name, strftime(month, '%Y%m') AS ym, orders, floor(orders / sum(orders) OVER (PARTITION BY month) * 1e6 * 1000 + 0.5) / 1000 AS per_million FROM (
 SELECT r_name, date_trunc('month', o_orderdate) AS month, count(*) AS orders FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2)""",
+    "untraceable_figures": _with(_TOTALS) + r"""
+, t AS (SELECT DISTINCT project, floor(project_views / 1000000)::DOUBLE AS s FROM totals),
+f AS (SELECT DISTINCT doc_id, project, unnest(regexp_extract_all(text, '-?[0-9][0-9,]*(?:\.[0-9]+)?')) AS figure FROM documents WHERE project IN (SELECT project FROM t)),
+v AS (SELECT *, abs(try_cast(replace(figure, ',', '') AS DOUBLE)) AS a FROM f)
+SELECT doc_id, figure FROM v WHERE a IS NOT NULL AND NOT (a = floor(a) AND (a <= 24 OR a BETWEEN 1900 AND 2100)) AND NOT EXISTS (SELECT 1 FROM t WHERE t.project = v.project AND
+  CASE WHEN v.a >= 100 THEN abs(s - v.a) <= greatest(0.5, 0.02::DOUBLE * v.a) WHEN v.a >= 1 THEN abs(s - v.a) <= 0.5 ELSE s = v.a OR floor(s + 0.5) = v.a END)
+""",
+    "answer_commands": r"""
+WITH a AS (SELECT DISTINCT result_id, answer FROM eval_results WHERE answer IS NOT NULL),
+b AS (SELECT result_id, unnest(regexp_extract_all(answer, '```(?:bash|sh|shell)?\s*\n([\s\S]*?)```', 1)) AS block FROM a),
+c AS (SELECT result_id, trim(unnest(string_split(block, chr(10)))) AS command FROM b)
+SELECT result_id, command, nullif(trim(regexp_extract(command, '\b(?:views|resolve)\s+("[^"]*"|\x27[^\x27]*\x27|[^\s-]\S*)', 1), '"'), '') AS topic,
+  len(regexp_extract_all(command, '"[^"]*"|\x27[^\x27]*\x27|\S+'))::INT AS arguments FROM c WHERE command <> '' AND NOT starts_with(command, '#')
+""",
 }
