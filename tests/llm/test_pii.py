@@ -102,6 +102,17 @@ def test_operator(spark):
     assert personal_items(docs.limit(0), names).count() == 0
 
 
+def test_copies_and_frequent_names_are_no_common_words(spark):
+    often = [f"Note {i}: chart {i * 7} by Selma Vanterholm." if i % 2 else f"Hester Vanterholm read page {i}." for i in range(120)]
+    rows = [(i, t, "k", 0) for i, t in enumerate([*texts(), *["Figures of Clive Orlensgard, as agreed."] * 400, *often])]
+    docs = spark.createDataFrame([*rows, (10_001, "Chart by Clive Orlensgard.", "k", 0), (10_002, "Chart by Hester Vanterholm.", "k", 0)], DOCS)
+    names = spark.createDataFrame([(g,) for g in GIVEN], "given_name string")
+    model = fit(docs, names)
+    assert not {"orlensgard", "vanterholm"} & model.common and {"chart", "median"} <= model.common
+    items = {(r["doc_id"], r["item"]) for r in personal_items(docs, names).where("doc_id > 10000 and kind = 'name'").collect()}
+    assert items == {(10_001, "cliveorlensgard"), (10_002, "hestervanterholm")}
+
+
 def test_a_model_without_corpus_still_reads(spark):
     m = train([], [])
     assert ("email", "a@b.example") in got("mail a@b.example", m)

@@ -34,6 +34,9 @@ PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS[1:]}
 #: Documents of the training sample, and the longest text taken into it (in characters).
 SAMPLE, SAMPLE_CHARS = 5000, 20_000
 
+#: A word is no common word if it stands as a family name in this share of the texts that use it.
+NAMED = 0.25
+
 #: A blank, of one to three signs; what separates the groups of a number.
 B = r"(?:[ \t   ]{1,3})"
 SEP = r"(?:[.\-/‐-–]|[ \t   ]{1,3})"
@@ -521,10 +524,84 @@ def infer(ms: list[Mention], model: Model, rounds: int = 6) -> list[int]:
     return keep
 
 
+def _may_name(base: str) -> bool:
+    return len(base) > 2 and base.lower() not in TITLES and base.lower() not in FUNCTION_WORDS
+
+
+def tally(text: str) -> Counter:
+    """What a text adds to the counts of its corpus, ``(what, word, other) -> count``. Of texts: ``n`` all, ``seen`` and
+    ``small`` those that use a word (written small), ``beside`` those in which a capital word stands beside another, as a
+    family name beside a given name; the other is empty for an initial, a title or an address spelled from the word.
+    Of occurrences: ``total`` of a capital word, ``lead`` before a small one and behind no name, ``of`` as in "museum of W",
+    ``pair`` of a word and a preposition behind it."""
+    once: set[tuple[str, str, str]] = {("n", "", "")}
+    out: Counter = Counter()
+    spelled = [fold(re.split(r"[@＠]", m)[0]) for m in MAIL_LIKE.findall(text)]
+    lines = [WORD.findall(x) for x in MAIL_LIKE.sub(" ", text).split("\n")]
+    ws = [w for x in lines for w in x]
+    for w in set(ws):
+        if w[0].isalpha():
+            once.add(("seen", fold(w), ""))
+            if w.islower():
+                once.add(("small", fold(w), ""))
+    for i, w in enumerate(ws):
+        if i and w in PARTICLES and ws[i - 1][0].isalpha() and ws[i - 1].lower() not in PARTICLES:
+            out["pair", ws[i - 1].lower(), w] += 1
+        if w[0].isupper() and len(w) > 2 and _may_name(_strip_possessive(w)):
+            k = fold(_strip_possessive(w))
+            before = ws[i - 1] if i else "."
+            after = ws[i + 1] if i + 1 < len(ws) else "."
+            out["total", k, ""] += 1
+            out["of", k, ""] += before == "of" and not after[0].isupper() and after != ","
+            out["lead", k, ""] += not (before == "," or before[0].isupper()) and (after.islower() or after == ":")
+    for x in lines:
+        for i, w in enumerate(x):
+            if not (w[0].isupper() and _may_name(_strip_possessive(w))):
+                continue
+            k, j = fold(_strip_possessive(w)), i - 1
+            while j >= 0 and i - j < 4 and x[j].lower() in PARTICLES:
+                j -= 1
+            near = [x[j]] if j >= 0 else []
+            if i + 1 < len(x):
+                near.append(x[i + 2] if x[i + 1] == "," and i + 2 < len(x) else x[i + 1])
+            once.update(("beside", k, fold(p)) for o in near if o[0].isupper() and len(o) > 1 for p in _strip_possessive(o).split("-") if fold(p))
+            led = x[j - 1] if j > 0 and x[j] == "." else x[j] if j >= 0 and x[j].lower() in TITLES else ""
+            if led and (led.lower() in TITLES or len(led) == 1 and led.isupper()) or any(len(k) >= 4 and k in e for e in spelled):
+                once.add(("beside", k, ""))
+    out.update(once)
+    return +out
+
+
+def _lexicon(model: Model, counts: Counter) -> None:
+    """The words that are no names, places and lead-ins. Words that many texts use are no names, and written small, fewer
+    suffice; but how often a word is used does not exclude one that stands as a family name in a share of its texts."""
+    by: dict[str, Counter] = defaultdict(Counter)
+    for (what, w, other), c in counts.items():
+        if what == "beside":
+            by["name"][w] += c if not other or other in model.given else 0
+        elif what != "pair":
+            by[what][w] += c
+    seen, small, name, total = by["seen"], by["small"], by["name"], by["total"]
+    n = by["n"][""]
+    many, some = max(6, n // 150), max(3, n // 400)
+    common = {w for w, c in seen.items() if (c >= many or small[w] >= some) and w not in model.given and name[w] < NAMED * c}
+    # capital words that stand before small ones, behind no name, introduce names and are none
+    rest = {w: c for w, c in total.items() if w not in common and w not in model.given}
+    common |= {w for w, c in rest.items() if c >= 4 and by["lead"][w] >= 0.8 * c}
+    common |= {w for w, c in rest.items() if by["of"][w] >= 2}
+    model.common = frozenset(common)
+    model.places = frozenset(w for w in rest if by["of"][w] == 1)
+    model.leadins = frozenset((w, p) for (what, w, p), c in counts.items() if what == "pair" and c >= max(3, n // 600))
+
+
 def train(texts: list[str], given: list[str], epochs: int = 4, rate: float = 0.15, pull: float = 1e-3) -> Model:
     """A model fitted twice: the given names that the first model finds beside two different family names join the listed
-    ones for the second, since the list is incomplete."""
-    first = _train(texts, given, epochs, rate, pull, search=True)
+    ones for the second, since the list is incomplete. Copies of a text count once."""
+    texts = list(dict.fromkeys(texts))
+    counts = Counter()
+    for t in texts:
+        counts.update(tally(t))
+    first = _train(texts, given, counts, epochs, rate, pull, search=True)
     families: dict[str, set[str]] = defaultdict(set)
     for t in texts:
         ms = mentions(t, first)
@@ -533,41 +610,16 @@ def train(texts: list[str], given: list[str], epochs: int = 4, rate: float = 0.1
                 for g in m.given:
                     families[g].add(m.family)
     more = [g for g, f in families.items() if len(f) >= 2]
-    return _train(texts, [*given, *more], epochs, rate, pull)
+    return _train(texts, [*given, *more], counts, epochs, rate, pull)
 
 
-def _train(texts: list[str], given: list[str], epochs: int, rate: float, pull: float, search: bool = False) -> Model:
+def _train(texts: list[str], given: list[str], counts: Counter, epochs: int, rate: float, pull: float, search: bool = False) -> Model:
     """A model fitted on the seeds in ``texts``: log-linear weights by stochastic gradient from the prior, link potentials
-    from the agreement of linked seeds. ``given``: given names, the listed ones and those found."""
+    from the agreement of linked seeds. ``given``: given names, the listed ones and those found. ``counts``: of the corpus, from ``tally``."""
     model = Model(frozenset(fold(g) for g in given if g and fold(g)))
     for k, w in PRIOR.items():
         model.weights[k] = dict(w)
-    # words that many documents use are no names; written small, fewer suffice
-    seen, small = Counter(), Counter()
-    for t in texts:
-        plain = MAIL_LIKE.sub(" ", t)
-        ws = set(WORD.findall(plain))
-        seen.update({fold(w) for w in ws if w[0].isalpha()})
-        small.update({fold(w) for w in ws if w[0].isalpha() and w.islower()})
-    many, some = max(6, len(texts) // 150), max(3, len(texts) // 400)
-    model.common = frozenset({w for w, c in seen.items() if c >= many and w not in model.given} | {w for w, c in small.items() if c >= some and w not in model.given})
-    # capital words that stand before small ones, behind no name, introduce names and are none
-    total, leads, pairs_seen, places = Counter(), Counter(), Counter(), Counter()
-    for t in texts:
-        ws = WORD.findall(MAIL_LIKE.sub(" ", t))
-        for i, w in enumerate(ws):
-            if i and w in PARTICLES and ws[i - 1][0].isalpha() and ws[i - 1].lower() not in PARTICLES:
-                pairs_seen[ws[i - 1].lower(), w] += 1
-            if w[0].isupper() and len(w) > 2 and model.role(w) == "f":
-                total[fold(w)] += 1
-                before = ws[i - 1] if i else "."
-                after = ws[i + 1] if i + 1 < len(ws) else "."
-                places[fold(w)] += before == "of" and not after[0].isupper() and after != ","
-                leads[fold(w)] += not (before == "," or before[0].isupper()) and (after.islower() or after == ":")
-    model.common |= {w for w, c in total.items() if c >= 4 and leads[w] >= 0.8 * c}
-    model.common |= {w for w, c in places.items() if c >= 2}
-    model.places = frozenset(w for w, c in places.items() if c == 1)
-    model.leadins = frozenset(x for x, c in pairs_seen.items() if c >= max(3, len(texts) // 600))
+    _lexicon(model, counts)
     model.search = search
     model.roles.clear()
     rng = np.random.default_rng(7)
@@ -615,11 +667,12 @@ def entities(text: str, model: Model) -> list[tuple[int, int, int]]:
 
 
 def fit(documents: DataFrame, given_names: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """The model of a corpus, fitted on at most ``sample`` documents of at most ``SAMPLE_CHARS`` characters, those with
+    """The model of a corpus, fitted on at most ``sample`` distinct texts of at most ``SAMPLE_CHARS`` characters, those with
     the least hashes. ``given_names`` is a list people keep by hand, fixed in size."""
     picked = (
         documents.select(F.col(text_col).alias("t"))
         .where((F.length("t") > 0) & (F.length("t") <= SAMPLE_CHARS))
+        .distinct()
         .orderBy(F.xxhash64("t"), "t")
         .limit(sample)
     )
