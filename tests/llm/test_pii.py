@@ -113,6 +113,37 @@ def test_copies_and_frequent_names_are_no_common_words(spark):
     assert items == {(10_001, "cliveorlensgard"), (10_002, "hestervanterholm")}
 
 
+def test_all_texts_count_beside_the_sample(spark):
+    """Words, places, lead-ins and given names that stand in texts too long for the sample only."""
+    fill = " ".join(f"The median of page {i} is flat." for i in range(800))
+    long = [f"{fill} The page {i} was vetted by Selma {FAMILIES[i % 7]}a. A quiet brookwort was asked {i} times. Demandé de voir." for i in range(12)]
+    assert min(map(len, long)) > pii.SAMPLE_CHARS
+    docs = spark.createDataFrame([(i, t, "k", 0) for i, t in enumerate([*texts(), *long])], DOCS)
+    names = spark.createDataFrame([(g,) for g in GIVEN], "given_name string")
+    model = fit(docs, names, sample=700)
+    assert "selma" in model.given and "brookwort" in model.common and ("demandé", "de") in model.leadins
+    alone = train(texts(), GIVEN)
+    assert "selma" not in alone.given and "brookwort" not in alone.common
+
+
+def test_counts_of_the_operator_equal_those_in_memory(spark):
+    ts = [*dict.fromkeys(texts()), "Geprüft von Kelmstow, Hester", "The museum of Tamtara is old."]
+    whole = sum((pii.tally(t) for t in ts), pii.Counter())
+    counts = pii.tallied(spark.createDataFrame([(t,) for t in ts], "t string"))
+    assert {(r["what"], r["word"], r["other"]): r["n"] for r in counts.collect()} == dict(whole)
+    given = pii._names(GIVEN)
+    a, b = pii.Model(given), pii.Model(given)
+    pii._lexicon(a, whole)
+    pii._lexicon(b, pii._gather(counts, given))
+    assert (a.common, a.places, a.leadins) == (b.common, b.places, b.leadins) and "tamtara" in a.places
+
+
+def test_a_preposition_alone_makes_no_given_name():
+    """A verb before "von" and a family name is no given name, however many families follow it."""
+    model = train([*texts(), *[f"Geprüft von {f}{e}, {g}" for f in FAMILIES for e in "abcdefghij" for g in GIVEN[:3]]], GIVEN)
+    assert "gepruft" not in model.given
+
+
 def test_a_model_without_corpus_still_reads(spark):
     m = train([], [])
     assert ("email", "a@b.example") in got("mail a@b.example", m)

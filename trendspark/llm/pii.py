@@ -8,16 +8,16 @@ Overlapping mentions exclude each other. Loopy belief propagation passes message
 mention of a person decides the unclear ones. The number of links grows with the mentions, not with their pairs: each
 is linked to the one before it that shares its key.
 
-The weights are fitted on a bounded sample of documents whose mentions are labelled by clear cues (a listed given name,
-a label before a number); weights start from the prior below, so that a small corpus has a usable model too. Every
-document is then read whole, each on its own; nothing but the model travels to the tasks.
+The weights are fitted on a bounded sample of texts whose mentions are labelled by clear cues (a listed given name,
+a label before a number); weights start from the prior below, so that a small corpus has a usable model too. Words
+are counted and unlisted given names searched for in all texts. Every document is then read whole, each on its own; nothing but the model travels to the tasks.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 import unicodedata
@@ -27,6 +27,8 @@ import pandas as pd
 import regex as re
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import checkpointed
+
 NONE, EMAIL, PHONE, IDNUM, ADDRESS, NAME = range(6)
 KINDS = ("none", "email", "phone", "idnum", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS[1:]}
@@ -37,6 +39,12 @@ SAMPLE, SAMPLE_CHARS = 5000, 20_000
 #: A word is no common word if it stands as a family name in this share of the texts that use it.
 NAMED = 0.25
 
+#: A word is a place, and no name, if it stands as in "museum of W" twice and in this share of its capital occurrences.
+OF = 0.02
+
+#: Entries a task counts before it passes them on.
+HELD = 500_000
+
 #: A blank, of one to three signs; what separates the groups of a number.
 B = r"(?:[ \t   ]{1,3})"
 SEP = r"(?:[.\-/‐-–]|[ \t   ]{1,3})"
@@ -524,8 +532,11 @@ def infer(ms: list[Mention], model: Model, rounds: int = 6) -> list[int]:
     return keep
 
 
-def _may_name(base: str) -> bool:
-    return len(base) > 2 and base.lower() not in TITLES and base.lower() not in FUNCTION_WORDS
+@lru_cache(maxsize=200_000)
+def _capital(w: str) -> str:
+    """The folded base of a capital word that may be in a name, else nothing."""
+    base = _strip_possessive(w)
+    return fold(base) if w[0].isupper() and len(base) > 2 and base.lower() not in TITLES and base.lower() not in FUNCTION_WORDS else ""
 
 
 def tally(text: str) -> Counter:
@@ -547,8 +558,8 @@ def tally(text: str) -> Counter:
     for i, w in enumerate(ws):
         if i and w in PARTICLES and ws[i - 1][0].isalpha() and ws[i - 1].lower() not in PARTICLES:
             out["pair", ws[i - 1].lower(), w] += 1
-        if w[0].isupper() and len(w) > 2 and _may_name(_strip_possessive(w)):
-            k = fold(_strip_possessive(w))
+        k = _capital(w)
+        if k:
             before = ws[i - 1] if i else "."
             after = ws[i + 1] if i + 1 < len(ws) else "."
             out["total", k, ""] += 1
@@ -556,9 +567,9 @@ def tally(text: str) -> Counter:
             out["lead", k, ""] += not (before == "," or before[0].isupper()) and (after.islower() or after == ":")
     for x in lines:
         for i, w in enumerate(x):
-            if not (w[0].isupper() and _may_name(_strip_possessive(w))):
+            k, j = _capital(w), i - 1
+            if not k:
                 continue
-            k, j = fold(_strip_possessive(w)), i - 1
             while j >= 0 and i - j < 4 and x[j].lower() in PARTICLES:
                 j -= 1
             near = [x[j]] if j >= 0 else []
@@ -572,6 +583,11 @@ def tally(text: str) -> Counter:
     return +out
 
 
+def _bounds(n: int) -> tuple[int, int, int]:
+    """Of ``n`` texts, those that must use a word, use it written small, or use it with a preposition behind it."""
+    return max(6, n // 150), max(3, n // 400), max(3, n // 600)
+
+
 def _lexicon(model: Model, counts: Counter) -> None:
     """The words that are no names, places and lead-ins. Words that many texts use are no names, and written small, fewer
     suffice; but how often a word is used does not exclude one that stands as a family name in a share of its texts."""
@@ -583,40 +599,59 @@ def _lexicon(model: Model, counts: Counter) -> None:
             by[what][w] += c
     seen, small, name, total = by["seen"], by["small"], by["name"], by["total"]
     n = by["n"][""]
-    many, some = max(6, n // 150), max(3, n // 400)
+    many, some, pairs = _bounds(n)
     common = {w for w, c in seen.items() if (c >= many or small[w] >= some) and w not in model.given and name[w] < NAMED * c}
     # capital words that stand before small ones, behind no name, introduce names and are none
     rest = {w: c for w, c in total.items() if w not in common and w not in model.given}
     common |= {w for w, c in rest.items() if c >= 4 and by["lead"][w] >= 0.8 * c}
-    common |= {w for w, c in rest.items() if by["of"][w] >= 2}
-    model.common = frozenset(common)
-    model.places = frozenset(w for w in rest if by["of"][w] == 1)
-    model.leadins = frozenset((w, p) for (what, w, p), c in counts.items() if what == "pair" and c >= max(3, n // 600))
-
-
-def train(texts: list[str], given: list[str], epochs: int = 4, rate: float = 0.15, pull: float = 1e-3) -> Model:
-    """A model fitted twice: the given names that the first model finds beside two different family names join the listed
-    ones for the second, since the list is incomplete. Copies of a text count once."""
+    often = {w for w, c in rest.items() if by["of"][w] >= max(2, OF * c)}
+    model.common = frozenset(common | often)
+    model.places = frozenset(w for w in rest if by["of"][w] and w not in often)
+    model.leadins = frozenset((w, p) for (what, w, p), c in counts.items() if what == "pair" and c >= pairs)
+
+
+def train(
+    texts: list[str], given: list[str], epochs: int = 4, rate: float = 0.15, pull: float = 1e-3,
+    gather: Callable[[frozenset[str]], Counter] | None = None, seek: Callable[[Model], list[tuple[str, str, bool]]] | None = None,
+) -> Model:
+    """A model fitted twice: the given names that the first model finds beside two different family names, once without a
+    preposition between at least, join the listed ones for the second, since the list is incomplete. Copies of a text count once. ``gather`` and ``seek`` count and search
+    in the whole corpus of which ``texts`` are a sample; without them ``texts`` are the corpus."""
     texts = list(dict.fromkeys(texts))
-    counts = Counter()
-    for t in texts:
-        counts.update(tally(t))
-    first = _train(texts, given, counts, epochs, rate, pull, search=True)
+    if gather is None:
+        counts = Counter()
+        for t in texts:
+            counts.update(tally(t))
+        gather = lambda _: counts
+    first = _train(texts, given, gather(_names(given)), epochs, rate, pull, search=True)
     families: dict[str, set[str]] = defaultdict(set)
-    for t in texts:
-        ms = mentions(t, first)
-        for m, k in zip(ms, infer(ms, first)):
-            if k == NAME and m.given and all(g not in first.given for g in m.given):
-                for g in m.given:
-                    families[g].add(m.family)
-    more = [g for g, f in families.items() if len(f) >= 2]
-    return _train(texts, [*given, *more], counts, epochs, rate, pull)
+    plain: set[str] = set()
+    for g, f, p in seek(first) if seek else (x for t in texts for x in unlisted(t, first)):
+        families[g].add(f)
+        plain |= {g} if p else set()
+    given = [*given, *(g for g, f in families.items() if len(f) >= 2 and g in plain)]
+    return _train(texts, given, gather(_names(given)), epochs, rate, pull)
+
+
+def _names(given: list[str]) -> frozenset[str]:
+    return frozenset(fold(g) for g in given if g and fold(g))
+
+
+def unlisted(text: str, model: Model) -> set[tuple[str, str, bool]]:
+    """``(given name, family name, plain)`` of the names in a text none of whose given names is listed. ``plain``: without
+    a preposition, which may be the sentence's own."""
+    ms = mentions(text, model)
+    fits = [bool(m.given) and all(g not in model.given for g in m.given) for m in ms]
+    if not any(fits):
+        return set()
+    plain = lambda m: PARTICLES.isdisjoint(text[m.start : m.end].lower().split())
+    return {(g, m.family, plain(m)) for m, k, ok in zip(ms, infer(ms, model), fits) if ok and k == NAME for g in m.given}
 
 
 def _train(texts: list[str], given: list[str], counts: Counter, epochs: int, rate: float, pull: float, search: bool = False) -> Model:
     """A model fitted on the seeds in ``texts``: log-linear weights by stochastic gradient from the prior, link potentials
     from the agreement of linked seeds. ``given``: given names, the listed ones and those found. ``counts``: of the corpus, from ``tally``."""
-    model = Model(frozenset(fold(g) for g in given if g and fold(g)))
+    model = Model(_names(given))
     for k, w in PRIOR.items():
         model.weights[k] = dict(w)
     _lexicon(model, counts)
@@ -666,18 +701,63 @@ def entities(text: str, model: Model) -> list[tuple[int, int, int]]:
     return [(m.start, m.end, k) for m, k in zip(ms, infer(ms, model)) if k != NONE]
 
 
+def tallied(texts: DataFrame) -> DataFrame:
+    """``(what, word, other, n)``: ``tally`` summed over the texts (column ``t``)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+        for b in batches:
+            for t in b["t"]:
+                held.update(tally(t))
+                if len(held) > HELD:
+                    yield _rows(held)
+                    held = Counter()
+        yield _rows(held)
+
+    return texts.mapInPandas(run, "what string, word string, other string, n bigint").groupBy("what", "word", "other").agg(F.sum("n").alias("n"))
+
+
+def _rows(counts: Counter) -> pd.DataFrame:
+    return pd.DataFrame([(*k, c) for k, c in counts.items()], columns=["what", "word", "other", "n"])
+
+
+def _gather(counts: DataFrame, given: frozenset[str]) -> Counter:
+    """Those of the corpus' counts that ``_lexicon`` decides by."""
+    n = counts.where("what = 'n'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    of = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
+    by = counts.where("what in ('seen', 'small', 'total', 'lead', 'of', 'beside')").groupBy("word").agg(
+        *[of(w).alias(w) for w in ("seen", "small", "total", "lead", "of")],
+        F.coalesce(F.sum(F.when((F.col("what") == "beside") & ((F.col("other") == "") | F.col("other").isin(*given)), F.col("n"))), F.lit(0)).alias("beside"),
+    )
+    many, some, pairs = _bounds(n)
+    by = by.where((F.col("seen") >= many) | (F.col("small") >= some) | (F.col("of") > 0) | ((F.col("total") >= 4) & (F.col("lead") >= 0.8 * F.col("total"))))
+    out = Counter({("n", "", ""): n})
+    for r in by.collect():
+        out.update({(what, r["word"], ""): r[what] for what in ("seen", "small", "total", "lead", "of", "beside") if r[what]})
+    for r in counts.where((F.col("what") == "pair") & (F.col("n") >= pairs)).collect():
+        out["pair", r["word"], r["other"]] = r["n"]
+    return out
+
+
 def fit(documents: DataFrame, given_names: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """The model of a corpus, fitted on at most ``sample`` distinct texts of at most ``SAMPLE_CHARS`` characters, those with
-    the least hashes. ``given_names`` is a list people keep by hand, fixed in size."""
-    picked = (
-        documents.select(F.col(text_col).alias("t"))
-        .where((F.length("t") > 0) & (F.length("t") <= SAMPLE_CHARS))
-        .distinct()
-        .orderBy(F.xxhash64("t"), "t")
-        .limit(sample)
-    )
+    """The model of a corpus. Words are counted and given names searched for in all texts; the weights are fitted on at most
+    ``sample`` distinct texts of at most ``SAMPLE_CHARS`` characters, those with the least hashes. ``given_names`` is a list
+    people keep by hand, fixed in size."""
+    texts = documents.select(F.col(text_col).alias("t")).where(F.length("t") > 0)
+    counts = checkpointed(tallied(texts.distinct()))
+    picked = texts.where(F.length("t") <= SAMPLE_CHARS).distinct().orderBy(F.xxhash64("t"), "t").limit(sample)
+
+    def seek(model: Model) -> list[tuple[str, str, bool]]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame(sorted({x for t in b["t"] for x in unlisted(t, model)}), columns=["g", "f", "p"])
+
+        # two families a name are enough to know
+        found = texts.mapInPandas(run, "g string, f string, p boolean").groupBy("g").agg(F.min("f").alias("a"), F.max("f").alias("b"), F.bool_or("p").alias("p"))
+        return [(r["g"], f, r["p"]) for r in found.where("a <> b").collect() for f in (r["a"], r["b"])]
+
     names = [r[0] for r in given_names.select("given_name").where("given_name is not null").distinct().collect()]
-    return train([r[0] for r in picked.collect()], names)
+    return train([r[0] for r in picked.collect()], names, gather=lambda given: _gather(counts, given), seek=seek)
 
 
 def find_personal(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
