@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from trendspark.operators import claims, resolve, scoring
@@ -49,6 +51,26 @@ def test_routes(spark):
     assert got == {"gold": ("exact-title", "Q1"), "ag": ("search", "Q2"), "label": ("entity-search", "Q9"), "java": ("search", "Q4"), "nothing": (None, None)}
 
 
+def test_every_title_a_reply_was_asked_for(spark, tmp_path):
+    from trendspark.plans.reference import redirect_chain
+
+    page = lambda title, **k: {"pageid": 1, "ns": 0, "title": title, **k}
+    ids = lambda q: {"pageprops": {"wikibase_item": q}}
+    bodies = [
+        {"pages": [page("Gold", **ids("Q1"))], "normalized": [{"from": "gold", "to": "Aurum"}], "redirects": [{"from": "Aurum", "to": "Gold"}]},
+        {"pages": [page("Silver", **ids("Q2")), page("Tin", **ids("Q3")), {"ns": 0, "title": "None", "missing": True}], "redirects": [{"from": "Argentum", "to": "Silver"}]},
+        {"pages": [page("Lead", **ids("Q4"))]},
+        {"pages": [page("Zinc", **ids("Q5"))], "normalized": [{"from": "zinc", "to": "Zinc"}]},
+    ]
+    rows = [(i, json.dumps({"batchcomplete": True, "query": q})) for i, q in enumerate(bodies)]
+    spark.createDataFrame(rows, "response_id bigint, body string").write.parquet(str(tmp_path / "api_responses.parquet"))
+    got = {(r["title"], r["canonical"], r["redirected_from"], r["missing"], r["qid"]) for r in redirect_chain(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("gold", "Gold", "Aurum", False, "Q1"), ("Argentum", "Silver", "Argentum", False, "Q2"), ("Tin", "Tin", None, False, "Q3"), ("None", "None", None, True, None),
+        ("Lead", "Lead", None, False, "Q4"), ("zinc", "Zinc", None, False, "Q5"),
+    }
+
+
 def test_every_edition_once(spark):
     asked = spark.createDataFrame([("t", "Q1", x) for x in ("en", "de", "fr", "es", "pl", "it")], "topic string, qid string, lang string")
     links = spark.createDataFrame([("Q1", "en", "A"), ("Q1", "de", "B"), ("Q1", "fr", "C")], "qid string, lang string, title string")

@@ -87,6 +87,16 @@ def find_entities(topics: DataFrame, pages: DataFrame, search: DataFrame, items:
     return topics.join(best, "topic", "left").select("topic", "_r.via", "_r.title", "_r.qid", "_r.bytes")
 
 
+def asked_titles(normalized: DataFrame, redirects: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(lang, title)`` a reply was asked for: titles it normalized, titles it redirected that are no normalized
+    form, and pages that neither led to."""
+    to = lambda df: df.select("lang", F.col("to_title").alias("title"))
+    of = lambda df: df.select("lang", F.col("from_title").alias("title"))
+    first = of(redirects).join(to(normalized), ["lang", "title"], "left_anti")
+    direct = pages.select("lang", "title").join(to(normalized).unionByName(to(redirects)), ["lang", "title"], "left_anti")
+    return of(normalized).unionByName(first).unionByName(direct).distinct()
+
+
 def follow_titles(asked: DataFrame, normalized: DataFrame, redirects: DataFrame, pages: DataFrame) -> DataFrame:
     """``asked`` ``(lang, title)`` through normalisation and redirect to its page: adds ``canonical``, ``redirected_from``,
     ``missing``, ``bytes``, ``qid``, ``is_disambig``. A title that no table knows is missing."""

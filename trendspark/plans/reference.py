@@ -234,15 +234,17 @@ def edition_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def redirect_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Titles asked for in every recorded reply, through normalisation and redirect to their page."""
+    """Titles asked for in every recorded reply, through normalisation and redirect to their page. A reply does not hold its
+    request: what it normalized, what it redirected and the pages reached by neither were asked for."""
     t = shredding.flat_tables(table(spark, d, "api_responses"), shredding.REPLY, "body", "response_id")
     key = lambda df: df.withColumn("lang", F.regexp_extract("row_id", r"^([^/]+/[^/]+)", 1))
     pairs = lambda name: key(t[name]).groupBy("lang", F.col("from").alias("from_title")).agg(F.min("to").alias("to_title"))
     pages = key(t["page"]).groupBy("lang", "title").agg(
         F.bool_and(F.col("missing").isNotNull()).alias("missing"), F.max(F.col("length").cast("bigint")).alias("bytes"), F.min("pageprops_wikibase_item").alias("qid"), F.bool_or(F.col("pageprops_disambiguation").isNotNull()).alias("is_disambig")
     )
-    asked = pairs("normalized").select("lang", F.col("from_title").alias("title"))
-    return resolve.follow_titles(asked, pairs("normalized"), pairs("redirect"), pages).select(F.col("lang").alias("reply"), "title", "canonical", "redirected_from", "missing", "qid")
+    normalized, redirects = pairs("normalized"), pairs("redirect")
+    asked = resolve.asked_titles(*[key(t[x]).select("lang", F.col("from").alias("from_title"), F.col("to").alias("to_title")) for x in ("normalized", "redirect")], pages)
+    return resolve.follow_titles(asked, normalized, redirects, pages).select(F.col("lang").alias("reply"), "title", "canonical", "redirected_from", "missing", "qid")
 
 
 def topic_words(spark: SparkSession, d: str) -> DataFrame:
