@@ -35,6 +35,19 @@ def test_spike_of_three_days_beside_a_larger_one():
     assert list(np.flatnonzero(kinds(v) == "spike")) == [100, 101, 102, 104]
 
 
+def test_rounds_go_on_until_nothing_is_added():
+    """Spikes close together hide one another; two of these come to light after the fourth round."""
+    rng = np.random.default_rng(2203)
+    n = int(rng.integers(60, 240))
+    v = made(float(rng.choice([20, 200, 2000])), n=n, seed=2203)
+    first, width = int(rng.integers(5, n // 2)), int(rng.integers(10, 40))
+    at = np.arange(first, min(n, first + width))
+    at = at[rng.random(len(at)) < rng.uniform(0.3, 0.8)]
+    v[at] = np.round(v[at] * np.exp(rng.uniform(0.3, rng.uniform(1, 7), len(at))))
+    found = set(np.flatnonzero(kinds(v) == "spike"))
+    assert {13, 19} <= found <= set(at) and len(found) == 9
+
+
 def test_lasting_changes_and_waves_are_none():
     step = made(200.0)
     step[120:] *= 5

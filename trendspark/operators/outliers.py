@@ -24,8 +24,8 @@ from ..sources.tables import current_meta, edition_of, holding_points
 #: Half width of the running median, longest stretch that is a spike, days looked at on either side of it.
 HALF, LONGEST, SIDE = 7, 4, 4
 #: Deviation up and down, in scatters of the series, from which a stretch is a spike; expected number of chance runs of a stuck
-#: run's length in its series, below which it is one; rounds of outlier tests.
-CRITICAL_UP, CRITICAL_DOWN, CHANCE, ROUNDS = 5.2, 5.6, 0.01, 4
+#: run's length in its series, below which it is one.
+CRITICAL_UP, CRITICAL_DOWN, CHANCE = 5.2, 5.6, 0.01
 #: Days worked on at a time.
 CHUNK = 150_000
 
@@ -110,7 +110,7 @@ def _spikes(series: np.ndarray, day: np.ndarray, values: np.ndarray) -> np.ndarr
     share = np.clip(spread**2 - 1.0 / np.maximum(level, 0.5), 0.002, 4.0)
     share = np.where(np.isnan(share), 0.05, share)[of]
     y = 2 * np.arcsinh(np.sqrt(share * (np.maximum(v, 0) + 0.375))) / np.sqrt(share)
-    for _ in range(ROUNDS):
+    while True:  # until a round adds nothing: what is found only grows
         x = np.where(found, np.nan, y)
         base = _row_medians(_windows(x, -HALF, HALF))
         cell = np.where(inside, of * 7 + weekday, 0)
