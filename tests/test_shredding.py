@@ -1,6 +1,6 @@
 import json
 
-from trendspark.operators.shredding import MANY, REPLY, Edge, Element, SchemaGraph, flat_tables, nested_elements, shred
+from trendspark.operators.shredding import MANY, REPLY, Edge, Element, SchemaGraph, flat_table, flat_tables, nested_elements, opened, orphans, shred
 
 
 def found(spark, bodies):
@@ -28,6 +28,38 @@ def test_wrapped_replies(spark):
         assert found(spark, [body]) == {(0, "search", "", "S")}, body
 
 
+def test_wrapped_to_any_depth(spark):
+    reply = {"query": {"search": [{"title": "S"}]}}
+    bodies, strings, lists, objects = [], reply, reply, reply
+    for _ in range(10):
+        strings, lists, objects = json.dumps(strings), [lists], {"body": objects, "a.b": 1}
+        bodies += [strings, json.dumps(lists), json.dumps(objects), json.dumps({"body": json.dumps([json.dumps(objects)])})]
+    assert found(spark, bodies) == {(i, "search", "", "S") for i in range(len(bodies))}
+
+
+def test_what_damages_a_wrapped_reply(spark):
+    inner = ['{"query": {"search": [{"title": "S"}]', '{"query": NaN, "batchcomplete": 1}', '{"query": {}, "query": {"search": [{"title": "S"}]}}', "[" * 2000 + "]" * 2000]
+    bodies = [json.dumps([x]) for x in inner] + ["[" * 2000 + "]" * 2000, json.dumps(["\ud800", {"query": {"search": {"title": "\ud800 S"}}}])]
+    assert {r[0] for r in found(spark, bodies)} <= {5}
+
+
+def test_trails_are_keys(spark):
+    body = json.dumps([{"query": {"search": [{"title": "S"}]}}, {"a.b/c": [{"query": {"search": {"title": "T"}}}]}])
+    rows = shred(spark.createDataFrame([(1, body)], "i int, body string"), REPLY, "body", ["i"]).where("relation = 'search'").collect()
+    assert {(r["row_path"], r["item"]) for r in rows} == {("/reply:0/search:0", "S"), ("/reply:1.a~2b~1c.0/search:0", "T")}
+    assert opened('[1, "x", "17", null, true]', frozenset({"query"})) == []
+
+
+def test_orphans(spark):
+    df = spark.createDataFrame([(1, json.dumps({"query": {"pages": [PAGE, {"title": "Z"}]}}))] * 2, "response_id bigint, body string")
+    t = flat_tables(df, REPLY, "body", "response_id")
+    assert {tuple(r) for r in orphans(t).collect()} == {("page", 2, 0), ("langlink", 1, 0), ("revision", 1, 0)}
+    t["page"] = t["page"].where("title = 'Z'")
+    assert {(r["relation"], r["orphans"]) for r in orphans(t).collect()} == {("page", 0), ("langlink", 1), ("revision", 1)}
+    one = flat_table(df, REPLY, "body", "response_id", "langlink")
+    assert one.collect() == t["langlink"].collect()
+
+
 def test_entities_and_logs(spark):
     body = {"entities": {"Q1": {"id": "Q1", "sitelinks": {"dewiki": {"site": "dewiki", "title": "T"}, "frwiki": {"site": "frwiki", "title": None}}}}}
     log = {"query": {"logevents": [{"logid": 5, "title": "L"}, {"logid": 6}], "normalized": {"from": "a", "to": "A"}, "redirects": [{"from": "x", "to": "y"}]}}

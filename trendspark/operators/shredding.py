@@ -6,20 +6,23 @@ can occur more than once below its parent, is held by several parents (shared),
 (recursive); every other descendant is inlined into the relation above it, its scalars becoming columns named by the
 path. :func:`shred` reads JSON text as ``VARIANT`` and emits, in one pass over the input and without a shuffle, one row
 per occurrence of every relation with its own key, its parent's key and relation, and the parent's natural key;
-:func:`flat_tables` cuts that stream into one DataFrame per relation.
+:func:`flat_tables` writes that stream once, by relation, and gives one DataFrame per relation.
 
-A repeated element may come as a list, as null, as one bare object or as an object keyed by id.
+A repeated element may come as a list, as null, as one bare object or as an object keyed by id. The records may lie in
+lists, in other objects and in JSON strings, in one another to any depth.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rounding import let
-from ..session import checkpointed
+from ..session import checkpointed, written
 
 ONE, MANY = "?", "*"
 
@@ -75,6 +78,10 @@ class SchemaGraph:
                     todo.append(e.child)
         return seen
 
+    def root_fields(self) -> frozenset[str]:
+        """Fields by which an object is known as a record: the root's scalars and the first steps to its children."""
+        return frozenset(self.elements[self.root].scalars) | {e.path.split(".")[0] for e in self.edges if e.parent == self.root}
+
     def relations(self) -> dict[str, Relation]:
         """Shared inlining: which elements get a relation, and what each relation inlines."""
         reached = {self.root} | self._below(self.root)
@@ -105,16 +112,27 @@ def _get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+def _is_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
+
+
+def _step(key: Column) -> Column:
+    """A key as a step of a path: ``~`` and ``/`` are written ``~0`` and ``~1``."""
+    return F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+
+
 def _occurrences(v: Column, child: Element, times: str) -> Column:
-    """``array<struct<k,n>>`` of the objects in ``v``: the id under which each is held (null in lists) and the object."""
+    """``array<struct<k,p,n>>`` of the objects in ``v``: the id under which each is held (null in lists), its place (id or
+    position in the list), and the object."""
+    none = F.lit(None).cast("string")
 
     def bare(x: Column) -> Column:
-        return F.array(F.struct(F.lit(None).cast("string").alias("k"), x.alias("n")))
+        return F.array(F.struct(none.alias("k"), F.lit("0").alias("p"), x.alias("n")))
 
     def of_object(x: Column, keyed: Column) -> Column:
         if times == ONE:
             return F.when(keyed.isNotNull(), bare(x))
-        entries = F.transform(F.map_entries(keyed), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("n")))
+        entries = F.transform(F.map_entries(keyed), lambda e: F.struct(e["key"].alias("k"), _step(e["key"]).alias("p"), e["value"].alias("n")))
         if not child.marks:
             return entries
         return F.when(F.arrays_overlap(F.map_keys(keyed), F.array(*[F.lit(m) for m in child.marks])), bare(x)).otherwise(entries)
@@ -123,47 +141,89 @@ def _occurrences(v: Column, child: Element, times: str) -> Column:
         by_key = let(_get(x, "$", "map<string,variant>"), lambda m: of_object(x, m))
         if times == ONE:
             return by_key
-        listed = F.transform(_get(x, "$", "array<variant>"), lambda n: F.struct(F.lit(None).cast("string").alias("k"), n.alias("n")))
+        listed = F.transform(_get(x, "$", "array<variant>"), lambda n, i: F.struct(none.alias("k"), i.cast("string").alias("p"), n.alias("n")))
         return F.coalesce(listed, by_key)
 
     return F.filter(let(v, of_value), lambda x: _is_object(x["n"]))
 
 
-def _is_object(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
+def _parsed(text: Column) -> Column:
+    """The one JSON value a text is, else null. Between brackets, what follows a complete value is an error too."""
+    whole = _get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return let(whole, lambda a: F.when(F.size(a) == 1, a[0]))
 
 
-def replies(body: Column, depth: int = 3) -> Column:
-    """The JSON records in a text, as ``array<variant>``: of a list its members, of JSON inside a JSON string (up to
-    ``depth`` times) what that holds. Text that is not one complete JSON value holds none."""
+def _strict(text: str):
+    """A JSON value by the rules of the engine's own parser: no NaN, no key twice."""
 
-    def parsed(text: Column) -> Column:
-        """At most one value. Between brackets, what follows a complete value is an error too."""
-        whole = F.array(_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>"))
-        return F.flatten(F.filter(whole, lambda a: F.size(a) == 1))
+    def pairs(items: list[tuple[str, object]]) -> dict:
+        out = dict(items)
+        if len(out) < len(items):
+            raise ValueError("a key stands twice")
+        return out
 
-    def members(x: Column) -> Column:
-        return F.coalesce(_get(x, "$", "array<variant>"), F.array(x))
+    def constant(name: str):
+        raise ValueError(name)
+
+    return json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+
+
+def opened(text: str, fields: frozenset[str]) -> list[tuple[str, str]]:
+    """``(trail, JSON text)`` of the records in a text: objects that have one of ``fields``. Lists, other objects and strings
+    that are JSON themselves are opened, however deep they lie in one another. The trail names the way: positions and keys,
+    joined by full stops. What is no complete JSON, or nested deeper than a parser goes (1000), holds none."""
+    out: list[tuple[str, str]] = []
+    todo: list[tuple[str, object]] = [("", text)]
+    while todo:
+        trail, x = todo.pop()
+        if isinstance(x, str):
+            if x.lstrip()[:1] in ("{", "[", '"'):
+                try:
+                    todo.append((trail, _strict(x)))
+                except (ValueError, RecursionError):
+                    pass
+        elif isinstance(x, dict) and not fields.isdisjoint(x):
+            try:
+                out.append((trail, json.dumps(x)))
+            except RecursionError:
+                pass
+        elif isinstance(x, (dict, list)):
+            steps = x.items() if isinstance(x, dict) else enumerate(x)
+            held = [(str(k).replace("~", "~0").replace("/", "~1").replace(".", "~2"), v) for k, v in steps]
+            todo += [(f"{trail}.{k}" if trail else k, v) for k, v in reversed(held)]
+    return out
 
-    def opened(x: Column) -> Column:
-        nested = _get(x, "$", "array<variant>").isNotNull() | _get(x, "$", "map<string,variant>").isNotNull()
-        return F.when(nested, F.array(x)).otherwise(parsed(_get(x, "$", "string")))
 
-    found = parsed(body)
-    wrapped = found
-    for _ in range(depth):
-        wrapped = F.flatten(F.transform(F.flatten(F.transform(wrapped, opened)), members))
-    return F.when(F.ltrim(body).startswith("{"), found).otherwise(wrapped)
+def records(df: DataFrame, body: str, fields: frozenset[str]) -> DataFrame:
+    """``df`` with ``_records``, ``array<struct<trail,n>>``: the records in the JSON text ``body``.
+
+    A text that is one record, as most are, never leaves the JVM. Only wrapped ones (lists, strings, other objects) go
+    through Python, which opens them to any depth within the same pass.
+    """
+
+    @F.pandas_udf("array<struct<trail: string, text: string>>")
+    def unwrapped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else opened(t, fields))
+
+    has = F.lit(False)
+    for f in sorted(fields):
+        has = has | _get(F.col("_whole"), f"$.{f}", "variant").isNotNull()
+    df = df.withColumn("_whole", _parsed(F.col(body))).withColumn("_plain", has)
+    df = df.withColumn("_open", unwrapped(F.when(F.col("_whole").isNotNull() & ~F.col("_plain"), F.col(body))))
+    inner = F.transform(F.coalesce("_open", F.array().cast("array<struct<trail:string,text:string>>")), lambda o: F.struct(o["trail"].alias("trail"), F.try_parse_json(o["text"]).alias("n")))
+    whole = F.array(F.struct(F.lit("").alias("trail"), F.col("_whole").alias("n")))
+    return df.withColumn("_records", F.when(F.col("_plain"), whole).otherwise(inner)).drop("_whole", "_plain", "_open")
 
 
 def shred(df: DataFrame, graph: SchemaGraph, body: str, keep: list[str]) -> DataFrame:
     """One row per occurrence of every relation in the JSON text ``body``; the columns ``keep`` are carried along.
 
-    Result: ``keep``, then ``relation``, ``row_path`` (the key within the record: relation and position of every step),
+    Result: ``keep``, then ``relation``, ``row_path`` (the key within the text: relation and place of every step),
     ``parent_relation``, ``parent_path`` (the foreign key; null for a root), ``parent_key`` (natural key of the parent),
-    ``item`` (natural key), ``node`` (the object itself, ``VARIANT``). Null, empty, damaged or non-object text gives no
-    row; an element without its needed field gives none for itself and what it holds. Other columns of ``df`` are left
-    out, whatever their names.
+    ``item`` (natural key), ``node`` (the object itself, ``VARIANT``). A record is an object with a field of the root,
+    wrapped in whatever lists, objects and JSON strings. Null, empty, damaged or other text gives no row; an element
+    without its needed field gives none for itself and what it holds. Other columns of ``df`` are left out, whatever
+    their names.
     """
     rels = graph.relations()
     text = "string"
@@ -177,11 +237,11 @@ def shred(df: DataFrame, graph: SchemaGraph, body: str, keep: list[str]) -> Data
     def has(name: str) -> Callable[[Column], Column]:
         return lambda x: _get(x["n"], f"$.{name}").isNotNull()
 
-    def occurrence(c: Relation, r: Relation, path: Column, item: Column) -> Callable[[Column, Column], Column]:
+    def occurrence(c: Relation, r: Relation, path: Column, item: Column) -> Callable[[Column], Column]:
         e = c.element
 
-        def one(x: Column, i: Column) -> Column:
-            here = F.concat(path, F.lit(f"/{e.name}:"), i.cast(text))
+        def one(x: Column) -> Column:
+            here = F.concat(path, F.lit(f"/{e.name}:"), x["p"])
             own = F.coalesce(_get(x["n"], f"$.{e.key}"), x["k"]) if e.key else x["k"]
             me = F.array(row(e.name, here, r.element.name, path, item, own, x["n"]))
             more = [] if c.recursive else below(c, here, x["n"], own)
@@ -197,48 +257,75 @@ def shred(df: DataFrame, graph: SchemaGraph, body: str, keep: list[str]) -> Data
             held = _occurrences(_get(node, at, "variant"), e, times)
             if e.needs:
                 held = F.filter(held, has(e.needs))
-            one = occurrence(c, r, path, item)
-            parts.append(F.coalesce(F.flatten(F.transform(held, one)), F.array()))
+            parts.append(F.coalesce(F.flatten(F.transform(held, occurrence(c, r, path, item))), F.array()))
         return parts
 
     root = rels[graph.root]
     none = F.lit(None).cast(text)
 
-    def of_record(x: Column, i: Column) -> Column:
-        path = F.concat(F.lit(f"/{graph.root}:"), i.cast(text))
-        item = _get(x, f"$.{root.element.key}") if root.element.key else none
-        return F.concat(F.array(row(graph.root, path, None, none, none, item, x)), *below(root, path, x, item))
+    def of_record(x: Column) -> Column:
+        path = F.concat(F.lit(f"/{graph.root}:"), x["trail"])
+        item = _get(x["n"], f"$.{root.element.key}") if root.element.key else none
+        return F.concat(F.array(row(graph.root, path, None, none, none, item, x["n"])), *below(root, path, x["n"], item))
 
-    objects = F.filter(replies(F.col(body)), lambda x: _get(x, "$", "map<string,variant>").isNotNull())
-    rows = df.where(F.col(body).isNotNull()).select(*keep, F.explode(F.flatten(F.transform(objects, of_record))).alias("_r")).select(*keep, "_r.*")
+    held = records(df.where(F.col(body).isNotNull()).select(*keep, F.col(body).alias("_body")), "_body", graph.root_fields())
+    rows = held.select(*keep, F.explode(F.flatten(F.transform("_records", of_record))).alias("_r")).select(*keep, "_r.*")
     loops = [r for r in rels.values() if r.recursive]
     parts = [rows]
     while loops:  # a level of recursion at a time, for as long as there is one
         level = checkpointed(parts[-1].where("_open"))
         if level.isEmpty():
             break
-        held = [F.when(F.col("relation") == r.element.name, F.concat(*below(r, F.col("row_path"), F.col("node"), F.col("item")))) for r in loops if r.children]
-        parts.append(level.select(*keep, F.explode(F.coalesce(*held)).alias("_r")).select(*keep, "_r.*"))
+        nested = [F.when(F.col("relation") == r.element.name, F.concat(*below(r, F.col("row_path"), F.col("node"), F.col("item")))) for r in loops if r.children]
+        parts.append(level.select(*keep, F.explode(F.coalesce(*nested)).alias("_r")).select(*keep, "_r.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.drop("_open")
 
 
+def _flat(df: DataFrame, graph: SchemaGraph, body: str, id_col: str, names: list[str]) -> DataFrame:
+    """The rows of some relations with their keys; ``_f`` holds the values of the relation's columns. Rows with equal id
+    and text are one record: what is told apart is the flat row, not the text, which never moves."""
+    rows = shred(df.withColumn("_t", F.substring(F.sha2(body, 256), 1, 16)), graph, body, [id_col, "_t"]).where(F.col("relation").isin(*names))
+    rels = graph.relations()
+    values = F.lit(None).cast("array<string>")
+    for n in names:
+        values = F.when(F.col("relation") == n, F.array(*[_get(F.col("node"), p) for p in rels[n].columns.values()]).cast("array<string>")).otherwise(values)
+    head = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("#"), F.col("_t"))
+    keys = [F.concat(head, "row_path").alias("row_id"), F.concat(head, "parent_path").alias("parent_id"), "parent_relation", id_col, F.col("item").alias("natural_key")]
+    return rows.select("relation", *keys, values.alias("_f")).distinct()
+
+
+def _relation(rows: DataFrame, relation: Relation, id_col: str) -> DataFrame:
+    cols = [F.col("_f")[i].alias(c) for i, c in enumerate(relation.columns)]
+    return rows.where(F.col("relation") == relation.element.name).select("row_id", "parent_id", "parent_relation", id_col, "natural_key", *cols)
+
+
+def flat_table(df: DataFrame, graph: SchemaGraph, body: str, id_col: str, name: str) -> DataFrame:
+    """The one relation ``name`` of :func:`flat_tables`, without writing the others."""
+    return _relation(_flat(df, graph, body, id_col, [name]), graph.relations()[name], id_col)
+
+
 def flat_tables(df: DataFrame, graph: SchemaGraph, body: str, id_col: str) -> dict[str, DataFrame]:
     """One DataFrame per relation: ``row_id``, ``parent_id`` and ``parent_relation`` (foreign key; for a root null),
-    ``<id_col>`` and the relation's columns as text. Rows of ``df`` with equal id and text are one record. Equal ids
-    with different texts are told apart by a hash of the text inside the key."""
-    once = df.select(id_col, body).where(F.col(body).isNotNull()).dropDuplicates()
-    tagged = shred(once.withColumn("_t", F.hex(F.xxhash64(body))), graph, body, [id_col, "_t"])
-    head = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("#"), F.col("_t"))
-    out = {}
-    for name, r in graph.relations().items():
-        cols = [_get(F.col("node"), p).alias(c) for c, p in r.columns.items()]
-        out[name] = tagged.where(F.col("relation") == name).select(
-            F.concat(head, "row_path").alias("row_id"), F.concat(head, "parent_path").alias("parent_id"), "parent_relation", id_col, F.col("item").alias("natural_key"), *cols
-        )
-    return out
+    ``<id_col>``, ``natural_key`` and the relation's columns as text. The texts are parsed once: the rows of all relations
+    are written to the shared folder by relation, and each table reads its own part. Rows of ``df`` with equal id and text
+    are one record. Equal ids with different texts are told apart by a hash of the text inside the key."""
+    rels = graph.relations()
+    rows = written(_flat(df, graph, body, id_col, sorted(rels)), "relation")
+    return {n: _relation(rows, r, id_col) for n, r in rels.items()}
+
+
+def orphans(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(relation, rows, orphans)``: of every relation but the root, its rows and those whose parent is in no table."""
+    keys = None
+    for n, t in tables.items():
+        part = t.select(F.lit(n).alias("relation"), "row_id", "parent_id", "parent_relation")
+        keys = part if keys is None else keys.unionByName(part)
+    up = keys.select(F.col("relation").alias("parent_relation"), F.col("row_id").alias("parent_id"), F.lit(1).alias("_up"))
+    held = keys.where("parent_id is not null").join(up, ["parent_relation", "parent_id"], "left")
+    return held.groupBy("relation").agg(F.count("*").alias("rows"), F.count_if(F.col("_up").isNull()).alias("orphans"))
 
 
 #: The recorded replies: schema graph of their payloads.

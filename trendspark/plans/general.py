@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import outliers, regrid, shredding, trailing
@@ -12,9 +14,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return shredding.nested_elements(table(spark, d, "api_responses"))
 
 
-def p1_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of pages, singleton descendants inlined."""
-    return shredding.flat_tables(table(spark, d, "api_responses"), shredding.REPLY, "body", "response_id")["page"]
+#: The query of each flat table, and the relation it is.
+FLAT = {
+    "p1_replies": "reply", "p1_pages": "page", "p1_search_hits": "search", "p1_normalized": "normalized", "p1_redirects": "redirect", "p1_logevents": "logevent",
+    "p1_langlinks": "langlink", "p1_revisions": "revision", "p1_entities": "entity", "p1_labels": "label", "p1_descriptions": "description", "p1_sitelinks": "sitelink",
+}
+
+
+def _flat_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return shredding.flat_table(table(spark, d, "api_responses"), shredding.REPLY, "body", "response_id", FLAT[name])
+
+    query.__name__, query.__doc__ = name, f"The flat table of the relation {FLAT[name]}, singleton descendants inlined, with its key and its parent's."
+    return query
+
+
+def p1_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every flat table, and those among them whose parent row is missing: none."""
+    return shredding.orphans(shredding.flat_tables(table(spark, d, "api_responses"), shredding.REPLY, "body", "response_id"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +55,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return outliers.implausible_points(table(spark, d, "point_cache"), table(spark, d, "series_meta"), table(spark, d, "project_totals"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pages, p2_found, p2_trailing, p4_found, p4_grid, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, *map(_flat_query, FLAT), p1_orphans, p2_found, p2_trailing, p4_found, p4_grid, p5_found)}
 
 _TRAILING = """
 WITH p AS (
@@ -65,7 +82,101 @@ i AS (SELECT series_id, d, v, seen_at, CASE
     END AS ep FROM n),
 """
 
+_WRAPPED = """
+WITH RECURSIVE w AS (
+  SELECT DISTINCT response_id, response_id::VARCHAR || '#' || substr(sha256(body), 1, 16) AS id, '' AS trail, body::JSON AS j FROM api_responses WHERE json_valid(body)
+  UNION ALL
+  SELECT response_id, id, CASE WHEN h.k IS NULL THEN trail WHEN trail = '' THEN h.k ELSE trail || '.' || h.k END, h.j FROM (
+    SELECT response_id, id, trail, unnest(CASE
+      WHEN json_type(j) = 'VARCHAR' AND coalesce(json_valid(j->>'$'), false) THEN [{'k': NULL::VARCHAR, 'j': (j->>'$')::JSON}]
+      WHEN json_type(j) = 'ARRAY' THEN list_transform(range(json_array_length(j)::BIGINT), lambda i: {'k': i::VARCHAR, 'j': json_extract(j, '$[' || i || ']')})
+      WHEN json_type(j) = 'OBJECT' AND NOT list_has_any(json_keys(j), ['query', 'entities', 'success', 'batchcomplete']) THEN
+        list_transform(json_keys(j), lambda k: {'k': replace(replace(replace(k, '~', '~0'), '/', '~1'), '.', '~2'), 'j': json_extract(j, '$."' || k || '"')})
+      ELSE [] END) AS h FROM w)),
+reply AS (
+  SELECT response_id, id || '/reply:' || trail AS row_id, j FROM w
+  WHERE json_type(j) = 'OBJECT' AND list_has_any(json_keys(j), ['query', 'entities', 'success', 'batchcomplete']))"""
+
+
+def _held(name: str, parent: str, path: str, marks: str, needs: str | None) -> str:
+    """The occurrences of an element below its parent: of a list, of one object, or of an object keyed by id."""
+    return f""",
+{name} AS (SELECT * FROM (
+  SELECT response_id, parent_id, h.k, parent_id || '/{name}:' || replace(replace(h.p, '~', '~0'), '/', '~1') AS row_id, h.j FROM (
+    SELECT response_id, parent_id, unnest(CASE
+      WHEN json_type(v) = 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: {{'k': NULL::VARCHAR, 'p': i::VARCHAR, 'j': json_extract(v, '$[' || i || ']')}})
+      WHEN json_type(v) = 'OBJECT' AND list_has_any(json_keys(v), [{marks}]) THEN [{{'k': NULL::VARCHAR, 'p': '0', 'j': v}}]
+      WHEN json_type(v) = 'OBJECT' THEN list_transform(json_keys(v), lambda k: {{'k': k, 'p': k, 'j': json_extract(v, '$."' || k || '"')}}) ELSE [] END) AS h
+    FROM (SELECT response_id, row_id AS parent_id, json_extract(j, '$.{path}') AS v FROM {parent})))
+  WHERE json_type(j) = 'OBJECT'{f" AND j->>'$.{needs}' IS NOT NULL" if needs else ''})"""
+
+
+#: Relation: parent, path, fields by which a bare object is known, field it needs, natural key, columns.
+_ELEMENTS = {
+    "page": ("reply", "query.pages", "'title', 'ns', 'pageid', 'missing'", "title", "title", "pageid ns title missing length pagelanguage contentmodel pageprops.wikibase_item pageprops.disambiguation pageprops.defaultsort"),
+    "search": ("reply", "query.search", "'title', 'pageid'", "title", "title", "ns title pageid size wordcount snippet timestamp"),
+    "normalized": ("reply", "query.normalized", "'from', 'to'", "from", "from", "from to fromencoded"),
+    "redirect": ("reply", "query.redirects", "'from', 'to'", "from", "from", "from to tofragment"),
+    "logevent": ("reply", "query.logevents", "'logid', 'title'", "title", "logid", "logid ns title type action timestamp params.target_ns params.target_title"),
+    "langlink": ("page", "langlinks", "'lang', 'title'", "title", "lang", "lang title"),
+    "revision": ("page", "revisions", "'timestamp', 'size'", "timestamp", "timestamp", "timestamp size"),
+    "entity": ("reply", "entities", "'id', 'sitelinks'", None, "id", "id type"),
+    "label": ("entity", "labels", "'language', 'value'", None, "language", "language value"),
+    "description": ("entity", "descriptions", "'language', 'value'", None, "language", "language value"),
+    "sitelink": ("entity", "sitelinks", "'site', 'title'", "title", "site", "site title"),
+}
+
+
+def _relation_sql(name: str) -> str:
+    if name == "reply":
+        return _WRAPPED + """
+SELECT DISTINCT row_id, NULL::VARCHAR AS parent_id, NULL::VARCHAR AS parent_relation, response_id, NULL::VARCHAR AS natural_key, j->>'$.success' AS success,
+  j->>'$.batchcomplete' AS batchcomplete, j->>'$.query.searchinfo.totalhits' AS query_searchinfo_totalhits FROM reply"""
+    parent, path, marks, needs, key, columns = _ELEMENTS[name]
+    above = "" if parent == "reply" else _held(parent, *_ELEMENTS[parent][:4])
+    shown = ", ".join(f"j->>'$.{c}' AS \"{c.replace('.', '_')}\"" for c in columns.split())
+    return _WRAPPED + above + _held(name, parent, path, marks, needs) + f"""
+SELECT DISTINCT row_id, parent_id, '{parent}' AS parent_relation, response_id, coalesce(j->>'$.{key}', k) AS natural_key, {shown} FROM {name}"""
+
+
+def _found_sql() -> str:
+    parts, above = [], ""
+    for name in _ELEMENTS:
+        above += _held(name, *_ELEMENTS[name][:4])
+    for name in shredding.CASES:
+        parent, key = _ELEMENTS[name][0], _ELEMENTS[name][4]
+        of = f"coalesce(p.j->>'$.{_ELEMENTS[parent][4]}', p.k, '')" if parent != "reply" else "''"
+        source = f"{name} c JOIN {parent} p ON p.row_id = c.parent_id" if parent != "reply" else f"{name} c"
+        parts.append(f"SELECT c.response_id, '{name}' AS kind, {of} AS parent, coalesce(c.j->>'$.{key}', c.k) AS item FROM {source}")
+    return _WRAPPED + above + "\nSELECT DISTINCT * FROM (" + "\nUNION ALL ".join(parts) + ") WHERE item IS NOT NULL"
+
+
+def _orphans_sql() -> str:
+    names = [*_ELEMENTS]
+    above = "".join(_held(n, *_ELEMENTS[n][:4]) for n in names)
+    counts = " UNION ALL ".join(
+        f"SELECT '{n}' AS relation, count(DISTINCT c.row_id) AS rows, count(DISTINCT c.row_id) FILTER (p.row_id IS NULL) AS orphans FROM {n} c LEFT JOIN {_ELEMENTS[n][0]} p ON p.row_id = c.parent_id" for n in names
+    )
+    return _WRAPPED + above + f"\nSELECT * FROM ({counts}) WHERE rows > 0"
+
+
+def _chain_sql() -> str:
+    above = "".join(_held(n, *_ELEMENTS[n][:4]) for n in ("page", "normalized", "redirect"))
+    return _WRAPPED + above + """,
+n AS (SELECT parent_id AS r, j->>'$.from' AS f, j->>'$.to' AS t FROM normalized), e AS (SELECT parent_id AS r, j->>'$.from' AS f, j->>'$.to' AS t FROM redirect),
+n1 AS (SELECT r, f, min(t) AS t FROM n GROUP BY 1, 2), e1 AS (SELECT r, f, min(t) AS t FROM e GROUP BY 1, 2),
+p AS (SELECT parent_id AS r, j->>'$.title' AS title, bool_and(j->>'$.missing' IS NOT NULL) AS missing, min(j->>'$.pageprops.wikibase_item') AS qid FROM page GROUP BY 1, 2),
+a AS (SELECT r, f AS title FROM n UNION SELECT r, f FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.r = e.r AND n.t = e.f)
+  UNION SELECT r, title FROM p WHERE NOT EXISTS (SELECT 1 FROM (FROM n UNION ALL FROM e) x WHERE x.r = p.r AND x.t = p.title))
+SELECT a.r AS reply, a.title, coalesce(e1.t, n1.t, a.title) AS canonical, CASE WHEN e1.t IS NOT NULL THEN coalesce(n1.t, a.title) END AS redirected_from, coalesce(p.missing, true) AS missing, p.qid
+FROM a LEFT JOIN n1 ON n1.r = a.r AND n1.f = a.title LEFT JOIN e1 ON e1.r = a.r AND e1.f = coalesce(n1.t, a.title) LEFT JOIN p ON p.r = a.r AND p.title = coalesce(e1.t, n1.t, a.title)"""
+
+
 ORACLES = {
+    "redirect_chain": _chain_sql(),
+    "p1_found": _found_sql(),
+    "p1_orphans": _orphans_sql(),
+    **{q: _relation_sql(n) for q, n in FLAT.items()},
     "p2_found": _TRAILING
     + """, u AS (SELECT series_id, day, 7 AS span_days, total_7 AS t FROM t UNION ALL SELECT series_id, day, 30, total_30 FROM t),
 b AS (SELECT series_id, span_days, max(t) AS m FROM u GROUP BY 1, 2),
