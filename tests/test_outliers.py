@@ -57,6 +57,43 @@ def test_lasting_changes_and_waves_are_none():
     assert not (np.concatenate([kinds(step), kinds(wave), kinds(season)]) != "").any()
 
 
+def remembering(slope=0.85, level=2000.0, n=400, seed=0):
+    """A series in which what is left of a day's deviation goes on for days."""
+    rng = np.random.default_rng(seed)
+    u = np.zeros(n)
+    for t in range(1, n):
+        u[t] = slope * u[t - 1] + 0.05 * rng.standard_normal()
+    return np.round(level * np.exp(u))
+
+
+def spikes(v, **how):
+    n = np.arange(len(v))
+    return set(np.flatnonzero(outliers._spikes(np.zeros(len(v), int), n, v, **how)))
+
+
+def test_the_autoregression_decides():
+    """Spikes that are large against the residuals, but not against the scatter of the series."""
+    with_it = without = 0
+    for seed in range(12):
+        v = remembering(seed=seed)
+        at = np.array([60, 150, 240, 330])
+        v[at] = np.round(v[at] * np.exp(0.28))
+        got = spikes(v)
+        with_it += len(got & set(at))
+        without += len(spikes(v, order=0) & set(at))
+        assert not got - set(at)
+    assert with_it >= 36 and without <= with_it - 10, (with_it, without)
+
+
+def test_level_shifts_decide():
+    """A dip on the second day of a new, higher level lies above the old one."""
+    for seed in range(5):
+        v = made(200.0, seed=seed, rhythm=0.0)
+        v[120:] *= 5
+        v[121] = 330
+        assert spikes(v) == {121} and spikes(v, shifts=False) != {121}
+
+
 def test_stuck_runs_against_own_scatter():
     v = made(200.0)
     v[50:57] = v[50]

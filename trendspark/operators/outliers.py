@@ -2,11 +2,13 @@
 
 ``impossible`` is a physical limit: below 0, or above all views of the series' edition in that month. ``stuck`` is a run
 of consecutive days with one non-zero count that the series' own scatter would hardly ever produce. What is left is put
-through a robust autoregression: counts are brought to a scale of constant scatter, the weekly rhythm is taken out, an
-autoregression of the deviations from the running median is fitted by medians, and each stretch of a few days is tested
-as an additive outlier against the level before *and* after it. A level shift departs from one side only and is never
-one; slow waves and seasons move the level with them. Outliers found are taken out and the tests repeated, so that a
-large spike does not hide a smaller one beside it, until nothing more is found.
+through a robust autoregression: counts are brought to a scale of constant scatter, the weekly rhythm is taken out, and
+the deviations from the running median are regressed on those of the day before by biweights. A day's residual is what
+the autoregression cannot foretell, from the days before it and, read backwards, from the days after it. A stretch of one to
+four days is an additive outlier if both residuals are large in one direction on each of its days. A day that departs from
+what was before, but agrees with what comes after, begins a new level: levels and running medians do not reach across it.
+Outliers and level shifts found are taken into account and the tests repeated, so that a large spike does not hide a smaller
+one beside it, until a round finds neither. Slow waves and seasons move the running median with them.
 
 A series has at most one holding point per calendar day, so it is bounded by the calendar whatever the number of rows.
 """
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..sources.tables import current_meta, edition_of, holding_points
 
-#: Half width of the running median, longest stretch that is a spike, days looked at on either side of it.
-HALF, LONGEST, SIDE = 7, 4, 4
+#: Half width of the running median, longest stretch that is a spike, days looked at on either side of it, and of a shift.
+HALF, LONGEST, SIDE, SPAN = 7, 4, 4, 9
 #: Deviation up and down, in scatters of the series, from which a stretch is a spike; expected number of chance runs of a stuck
 #: run's length in its series, below which it is one.
 CRITICAL_UP, CRITICAL_DOWN, CHANCE = 5.2, 5.6, 0.01
+#: Residual, in scatters, from which a day begins a new level; slope below which a series counts as without memory.
+CRITICAL_SHIFT, LEAST_SLOPE = 5.2, 0.12
 #: Days worked on at a time.
 CHUNK = 150_000
 
@@ -63,7 +67,7 @@ def _group_medians(x: np.ndarray, g: np.ndarray, groups: int) -> np.ndarray:
 def _axis(series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All series' readings on one axis: the position of every reading, and the series of every position (-1 between
     two series, where so many positions are empty that no window reaches from one into the other)."""
-    gap = HALF + LONGEST + SIDE + 1
+    gap = max(HALF, SPAN) + LONGEST + SIDE + 1
     code = np.cumsum(np.r_[0, series[1:] != series[:-1]])
     at = np.arange(len(series)) + code * gap
     owner = np.full(at[-1] + 1, -1)
@@ -92,64 +96,129 @@ def _stuck(series: np.ndarray, day: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (v != 0) & (length >= 4) & (expected < CHANCE)
 
 
-def _spikes(series: np.ndarray, day: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which readings are spikes: iterative additive-outlier tests on a robust autoregression."""
-    at, owner = _axis(series)
-    n_series = owner.max() + 1
-    of = np.where(owner < 0, 0, owner)
-    inside = owner >= 0
-    v = np.full(len(owner), np.nan)
-    weekday = np.zeros(len(owner), dtype=np.int64)
-    v[at], weekday[at] = values, day % 7
-    found = np.zeros(len(v), dtype=bool)
-    logs = np.log(np.maximum(v, 0) + 0.5)
-    level = _group_medians(np.where(inside, v, np.nan), of, n_series)
-    rough = logs - _row_medians(_windows(logs, -HALF, HALF))
-    spread = 1.4826 * _group_medians(np.where(inside, np.abs(rough), np.nan), of, n_series)
+def _same_segment(m: np.ndarray, x: np.ndarray, segment: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Windows of ``x`` without what lies beyond a level shift."""
+    if not m.any():
+        return _windows(x, first, last)
+    return np.where(_windows(segment, first, last) == segment[:, None], _windows(x, first, last), np.nan)
+
+
+def _autoregression(u: np.ndarray, of: np.ndarray, inside: np.ndarray, n_series: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per series slope and scatter of an autoregression of the deviations ``u`` on the day before. The slope starts from the
+    median of slopes and is fitted by biweights, so that no outlier bears on it; one that could be chance is 0."""
+    before = np.r_[np.nan, u[:-1]]
+    both = np.flatnonzero(inside & ~np.isnan(u) & ~np.isnan(before))
+    g, y, x = of[both], u[both], before[both]
+    n = np.bincount(g, minlength=n_series)
+    scale = 1.4826 * _group_medians(np.where(inside, np.abs(u), np.nan), of, n_series)
+    scale = np.where(np.isnan(scale), 1.0, np.maximum(scale, 0.9))
+    if not order:
+        return np.zeros(n_series), scale
+    far = np.abs(x) > 0.7 * scale[g]
+    slope = _group_medians(y[far] / x[far], g[far], n_series)
+    slope = np.clip(np.where(np.isnan(slope), 0.0, slope), -0.5, 0.9)
+    for _ in range(2):
+        r = (y - slope[g] * x) / (4.685 * np.maximum(scale[g] * np.sqrt(1 - slope[g] ** 2), 0.5))
+        # lags far out are as harmful as values far out
+        w = np.square(np.maximum(1 - r * r, 0)) * np.square(np.maximum(1 - np.square(x / (4.685 * scale[g])), 0))
+        top, low = np.bincount(g, w * x * y, n_series), np.bincount(g, w * x * x, n_series)
+        slope = np.clip(np.divide(top, low, out=np.zeros(n_series), where=low > 0), -0.5, 0.9)
+    slope = np.where(np.abs(slope) < np.maximum(LEAST_SLOPE, 2.5 / np.sqrt(np.maximum(n, 1))), 0.0, slope)
+    sigma = 1.4826 * _group_medians(np.where(inside, np.abs(u - slope[of] * before), np.nan), of, n_series)
+    return slope, np.fmax(sigma, scale * np.sqrt(1 - slope**2))
+
+
+def _round(y: np.ndarray, found: np.ndarray, cut: np.ndarray, of: np.ndarray, inside: np.ndarray, weekday: np.ndarray, n_series: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """One round of tests: which positions are outliers, and at which a new level begins, given those found so far."""
+    segment = np.cumsum(cut).astype(float)
+    x = np.where(found, np.nan, y)
+    base = _row_medians(_same_segment(cut, x, segment, -HALF, HALF))
+    cell = np.where(inside, of * 7 + weekday, 0)
+    rhythm = _group_medians(np.where(inside, x - base, np.nan), cell, n_series * 7)
+    rhythm = np.where(np.isnan(rhythm), 0.0, rhythm)[cell]
+    x, flat = x - rhythm, y - rhythm
+    base = _row_medians(_same_segment(cut, x, segment, -HALF, HALF))
+    u = x - base
+    slope, sigma = _autoregression(u, of, inside, n_series, order)
+    phi, unit = slope[of], sigma[of]
+    total = unit / np.sqrt(1 - phi * phi)
+    new = np.zeros(len(y), dtype=bool)
+    left = _row_medians(_same_segment(cut, x, segment, -SIDE, -1))
+    last = np.r_[np.nan, x[:-1]]
+    last = np.where(np.isnan(last) | np.isnan(left) | cut, 0.0, last - left)  # the day before, against its level
+    taken = _windows(found.astype(float), 0, LONGEST - 1)
+    for length in range(1, LONGEST + 1):
+        stretch = _windows(flat, 0, length - 1)
+        right = _row_medians(_same_segment(cut, x, segment, length, length + SIDE - 1))
+        following = np.r_[x[length:], np.full(length, np.nan)]
+        following = np.where(np.isnan(following) | np.isnan(right), 0.0, following - right)
+        up = inside & ~(np.isnan(left) & np.isnan(right)) & (np.nansum(taken[:, :length], axis=1) < length)
+        down = up.copy()
+        for k in range(length):
+            v = stretch[:, k]
+            gone = np.isnan(v)
+            # residuals of the day, foretold from the side before and from the side after; an additive outlier departs from both
+            # in one direction, the first day of a new level from one of them only
+            around = np.where(np.isnan(left) | np.isnan(right), (v - base) / total, np.nan)  # for a side without readings
+            ahead, behind = phi ** (k + 1), phi ** (length - k)
+            forward, backward = v - left - ahead * last, v - right - behind * following
+            s_f, s_b = unit * np.sqrt((1 - ahead**2) / (1 - phi**2)), unit * np.sqrt((1 - behind**2) / (1 - phi**2))
+            top = np.fmin(np.fmin(forward / s_f, backward / s_b), around)
+            bottom = np.fmax(np.fmax(forward / s_f, backward / s_b), around)
+            up &= gone | (top > CRITICAL_UP)
+            down &= gone | (bottom < -CRITICAL_DOWN)
+        hit = np.flatnonzero(up | down)
+        for k in range(length):
+            new[np.minimum(hit + k, len(y) - 1)] = True
+    new &= inside & ~np.isnan(y)
+    # level shifts: the residual of one day is large, and the days on either side keep to levels that far apart
+    clean = np.where(new, np.nan, x)
+    before, after = _same_segment(cut, clean, segment, -SPAN, -1), _same_segment(cut, clean, segment, 0, SPAN - 1)
+    enough = (np.count_nonzero(~np.isnan(before), axis=1) >= SPAN // 2 + 1) & (np.count_nonzero(~np.isnan(after), axis=1) >= SPAN // 2 + 1)
+    low, high = _row_medians(before), _row_medians(after)
+    step = clean - left - phi * last
+    with np.errstate(invalid="ignore"):
+        shift = inside & enough & (np.abs(step) > CRITICAL_SHIFT * unit) & (np.abs(high - low) > CRITICAL_SHIFT * unit) & (np.sign(step) == np.sign(high - low))
+        shift &= (np.abs(clean - high) < 0.5 * np.abs(high - low)) & (np.abs(np.r_[np.nan, clean[:-1]] - low) < 0.5 * np.abs(high - low))
+    # of shifts close together one a round: that whose two levels fit the days best
+    misfit = np.full(len(y), np.inf)
+    some = np.flatnonzero(shift)
+    misfit[some] = np.nansum(np.abs(before[some] - low[some, None]), axis=1) + np.nansum(np.abs(after[some] - high[some, None]), axis=1)
+    least = np.fmin.reduce(_windows(misfit, -SPAN, SPAN), axis=1)
+    return new, shift & (misfit <= least)
+
+
+def _spikes(series: np.ndarray, day: np.ndarray, values: np.ndarray, order: int = 1, shifts: bool = True) -> np.ndarray:
+    """Which readings are spikes: additive outliers among the residuals of a robust autoregression, tested against level
+    shifts, in rounds until one finds neither. Only series in which a round found something go on to the next.
+    ``order`` 0 leaves out the autoregression, ``shifts`` the level shifts (to see what they do)."""
+    code = np.cumsum(np.r_[0, series[1:] != series[:-1]])
     # counts scatter as their root plus a share of the level; this share decides where the scale turns from root to log
-    share = np.clip(spread**2 - 1.0 / np.maximum(level, 0.5), 0.002, 4.0)
-    share = np.where(np.isnan(share), 0.05, share)[of]
-    y = 2 * np.arcsinh(np.sqrt(share * (np.maximum(v, 0) + 0.375))) / np.sqrt(share)
-    while True:  # until a round adds nothing: what is found only grows
-        x = np.where(found, np.nan, y)
-        base = _row_medians(_windows(x, -HALF, HALF))
-        cell = np.where(inside, of * 7 + weekday, 0)
-        rhythm = _group_medians(np.where(inside, x - base, np.nan), cell, n_series * 7)
-        rhythm = np.where(np.isnan(rhythm), 0.0, rhythm)[cell]
-        x, flat = x - rhythm, y - rhythm
-        base = _row_medians(_windows(x, -HALF, HALF))
-        u = x - base
-        # autoregression of the deviations on the day before, by the median of slopes weighted towards large lags
-        before = np.r_[np.nan, u[:-1]]
-        scale = 1.4826 * _group_medians(np.where(inside, np.abs(u), np.nan), of, n_series)
-        scale = np.where(np.isnan(scale), 1.0, np.maximum(scale, 0.9))
-        far = inside & (np.abs(before) > 0.7 * scale[of])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            slope = _group_medians(np.where(far, u / before, np.nan), of, n_series)
-        slope = np.clip(np.where(np.isnan(slope), 0.0, slope), -0.5, 0.8)
-        innovation = u - slope[of] * before
-        sigma = 1.4826 * _group_medians(np.where(inside, np.abs(innovation), np.nan), of, n_series)
-        sigma = np.where(np.isnan(sigma), 1.0, np.maximum(sigma, 0.9)) / np.sqrt(1 - slope**2)
-        unit = np.maximum(sigma, scale)[of]
-        new = np.zeros(len(v), dtype=bool)
-        left = _row_medians(_windows(x, -SIDE, -1))
-        for length in range(1, LONGEST + 1):
-            stretch = _windows(flat, 0, length - 1)
-            taken = _windows(found.astype(float), 0, length - 1)
-            low, high = np.fmin.reduce(stretch, axis=1), np.fmax.reduce(stretch, axis=1)
-            right = _row_medians(_windows(x, length, length + SIDE - 1))
-            top, bottom = np.fmax(left, right), np.fmin(left, right)
-            # at a series' end one side has no readings: there the running median stands in
-            up = (low - np.fmax(top, base) > CRITICAL_UP * unit) & inside
-            down = (np.fmin(bottom, base) - high > CRITICAL_DOWN * unit) & inside
-            hit = np.flatnonzero((up | down) & ~np.isnan(top) & (np.nansum(taken, axis=1) < length))
-            for k in range(length):
-                new[np.minimum(hit + k, len(v) - 1)] = True
-        new &= inside & ~np.isnan(y)
-        if not (new & ~found).any():
-            break
-        found |= new
-    return found[at]
+    n_all = code[-1] + 1
+    logs = np.log(np.maximum(values, 0) + 0.5)
+    at, owner = _axis(code)
+    spaced = np.full(len(owner), np.nan)
+    spaced[at] = logs
+    rough = (spaced - _row_medians(_windows(spaced, -HALF, HALF)))[at]
+    spread = 1.4826 * _group_medians(np.abs(rough), code, n_all)
+    share = np.clip(spread**2 - 1.0 / np.maximum(_group_medians(values, code, n_all), 0.5), 0.002, 4.0)
+    share = np.where(np.isnan(share), 0.05, share)[code]
+    scaled = 2 * np.arcsinh(np.sqrt(share * (np.maximum(values, 0) + 0.375))) / np.sqrt(share)
+    found, begins = np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=bool)
+    rows = np.arange(len(values))
+    while len(rows):  # what is found only grows, so this ends
+        at, owner = _axis(code[rows])
+        n_series = owner.max() + 1
+        of, inside = np.where(owner < 0, 0, owner), owner >= 0
+        place = lambda a, fill: (out := np.full(len(owner), fill), out.__setitem__(at, a))[0]
+        new, shift = _round(place(scaled[rows], np.nan), place(found[rows], False), place(begins[rows], False), of, inside, place(day[rows] % 7, 0), n_series, order)
+        more = new[at] & ~found[rows]
+        step = shift[at] & ~begins[rows] if shifts else np.zeros(len(rows), dtype=bool)
+        found[rows] |= more
+        begins[rows] |= step
+        changed = np.bincount(owner[at][more | step], minlength=n_series) > 0
+        rows = rows[changed[owner[at]]]
+    return found
 
 
 def judge(series: np.ndarray, day: np.ndarray, v: np.ndarray, impossible: np.ndarray) -> np.ndarray:

@@ -51,11 +51,28 @@ def p4_grid(spark: SparkSession, d: str) -> DataFrame:
     return regrid.hourly_grid(table(spark, d, "live_points")).withColumn("value", F.floor(F.col("value") * 1000 + 0.500001) / 1000)
 
 
+def p4_counter(spark: SparkSession, d: str) -> DataFrame:
+    """The readings taken as those of a cumulative counter: what accrued in every hour, and where the counter was reset."""
+    points = table(spark, d, "live_points").select("series_id", regrid.moment_of(F.col("d")).alias("at"), "v", "seen_at")
+    grid = regrid.regrid(points, "series_id", "at", "v", "seen_at", regrid.COUNTER)
+    return grid.select("series_id", F.date_format("cell", "yyyyMMddHH").alias("slot"), "readings", "resets", (F.floor(F.col("value") * 1000 + 0.500001) / 1000).alias("value"), "state")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return outliers.implausible_points(table(spark, d, "point_cache"), table(spark, d, "series_meta"), table(spark, d, "project_totals"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, *map(_flat_query, FLAT), p1_orphans, p2_found, p2_trailing, p4_found, p4_grid, p5_found)}
+def p5_impossible(spark: SparkSession, d: str) -> DataFrame:
+    """The points beyond a physical limit alone."""
+    return p5_found(spark, d).where("kind = 'impossible'").select("series_id", "d")
+
+
+def p5_stuck(spark: SparkSession, d: str) -> DataFrame:
+    """The points in stuck runs alone."""
+    return p5_found(spark, d).where("kind = 'stuck'").select("series_id", "d")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, *map(_flat_query, FLAT), p1_orphans, p2_found, p2_trailing, p4_found, p4_grid, p4_counter, p5_found, p5_impossible, p5_stuck)}
 
 _TRAILING = """
 WITH p AS (
@@ -82,6 +99,15 @@ i AS (SELECT series_id, d, v, seen_at, CASE
     END AS ep FROM n),
 """
 
+_POINTS = """
+WITH h AS (
+  SELECT series_id, try_strptime(substr(regexp_replace(d, '[^0-9]', '', 'g'), 1, 8), '%Y%m%d')::DATE AS day,
+         nullif((max({'f': fetched_at, 'v': coalesce(v, -9223372036854775807)})).v, -9223372036854775807) AS v FROM point_cache WHERE series_id IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT series_id, regexp_replace(lower(trim((max({'u': updated, 'p': project})).p)), '\\.org$', '') AS project FROM series_meta GROUP BY 1),
+t AS (SELECT regexp_replace(lower(trim(project)), '\\.org$', '') AS project, trim(ym) AS ym, max(v) AS most FROM project_totals WHERE v > 0 GROUP BY 1, 2),
+q AS (SELECT h.*, coalesce(v < 0 OR v > most, false) AS bad FROM h LEFT JOIN m USING (series_id) LEFT JOIN t ON t.project = m.project AND t.ym = strftime(day, '%Y%m') WHERE day IS NOT NULL)
+"""
+
 _WRAPPED = """
 WITH RECURSIVE w AS (
   SELECT DISTINCT response_id, response_id::VARCHAR || '#' || substr(sha256(body), 1, 16) AS id, '' AS trail, body::JSON AS j FROM api_responses WHERE json_valid(body)
@@ -201,4 +227,25 @@ t AS (
   SELECT g.series_id, g.c, coalesce(readings, 0) AS readings, CASE WHEN readings > 0 THEN coalesce(a / nullif(s, 0), last) WHEN s > 0 THEN a / s END AS value,
          CASE WHEN readings > 0 THEN 'read' WHEN s > 0 THEN 'filled' ELSE 'uncovered' END AS state FROM g LEFT JOIN k USING (series_id, c) LEFT JOIN w USING (series_id, c))
 SELECT series_id, strftime(make_timestamp(c * 3600000000), '%Y%m%d%H') AS slot, readings, floor(value * 1000 + 0.500001) / 1000 AS value, state FROM t""",
+    "p4_counter": _READINGS
+    + """u AS (SELECT series_id, ep, (max({'o': seen_at, 'v': v})).v AS v FROM i WHERE ep IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT *, lead(ep) OVER w AS e1, lead(v) OVER w AS v1, lag(v) OVER w AS v0 FROM u WINDOW w AS (PARTITION BY series_id ORDER BY ep)),
+y AS (SELECT *, CASE WHEN v1 >= v THEN v1 - v ELSE v1 END AS inc, unnest(generate_series(floor(ep / 3600)::BIGINT, floor(e1 / 3600)::BIGINT)) AS c FROM x WHERE e1 - ep <= 21600),
+w AS (SELECT series_id, c, sum(inc * o / (e1 - ep)) AS a, sum(o) AS s FROM (SELECT *, least(e1, (c + 1) * 3600) - greatest(ep, c * 3600) AS o FROM y) GROUP BY 1, 2),
+k AS (SELECT series_id, floor(ep / 3600)::BIGINT AS c, count(*) AS readings, count(*) FILTER (v < v0) AS resets FROM x GROUP BY 1, 2),
+g AS (SELECT series_id, unnest(generate_series(min(c), max(c))) AS c FROM k GROUP BY 1),
+t AS (
+  SELECT g.series_id, g.c, coalesce(readings, 0) AS readings, coalesce(resets, 0) AS resets, CASE WHEN readings > 0 THEN coalesce(a, 0) WHEN s > 0 THEN a END AS value,
+         CASE WHEN readings > 0 THEN 'read' WHEN s > 0 THEN 'filled' ELSE 'uncovered' END AS state FROM g LEFT JOIN k USING (series_id, c) LEFT JOIN w USING (series_id, c))
+SELECT series_id, strftime(make_timestamp(c * 3600000000), '%Y%m%d%H') AS slot, readings, resets, floor(value * 1000 + 0.500001) / 1000 AS value, state FROM t""",
+    "p5_impossible": _POINTS + "SELECT series_id, strftime(day, '%Y%m%d') AS d FROM q WHERE bad",
+    "p5_stuck": _POINTS
+    + """, r AS (SELECT series_id, day, v::DOUBLE AS v FROM q WHERE NOT bad AND v IS NOT NULL),
+f AS (SELECT *, coalesce(day - lag(day) OVER w = 1, false) AS follows, lag(v) OVER w AS v0 FROM r WINDOW w AS (PARTITION BY series_id ORDER BY day)),
+n AS (SELECT *, sum(CASE WHEN follows AND v = v0 AND v <> 0 THEN 0 ELSE 1 END) OVER (PARTITION BY series_id ORDER BY day) AS run FROM f),
+l AS (SELECT *, count(*) OVER (PARTITION BY series_id, run) AS len FROM n),
+s AS (SELECT *, CASE WHEN follows AND len < 5 THEN abs(v - v0) END AS step FROM l),
+c AS (SELECT series_id, count(*) AS days, 1.4826 * median(step) AS scatter, count(step) AS pairs, count(*) FILTER (step = 0) AS equal FROM s GROUP BY 1),
+p AS (SELECT *, least(1, greatest(0.0001, (equal + 0.5) / (pairs + 1.0), CASE WHEN scatter = 0 THEN 1 ELSE 1 / (sqrt(2 * pi()) * scatter) END)) AS p FROM c)
+SELECT series_id, strftime(day, '%Y%m%d') AS d FROM s JOIN p USING (series_id) WHERE v <> 0 AND len >= 4 AND days * pow(p::DOUBLE, len - 1) < 0.01""",
 }
