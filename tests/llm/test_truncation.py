@@ -1,5 +1,7 @@
+import math
 import random
 
+from trendspark.llm import truncation
 from trendspark.llm.truncation import find_truncated, truncation_by_source
 
 SENTENCES = [
@@ -44,9 +46,44 @@ def test_a_usual_ellipsis_is_no_cut(spark):
 def test_lengths_that_pile_up_are_limits(spark):
     long = [" ".join(random.Random(s).choices(SENTENCES, k=12)) for s in range(30)]
     base = corpus(n=60)
-    got = found(spark, base + [t[:400] for t in long] + [t[:300] + "…" for t in long])
-    assert all(got[len(base) + k] for k in range(60))
-    assert sum(got[len(base) + k] == "length" for k in range(60)) == 60
+    cuts = [t[:400] for t in long] + [t[:300] + "…" for t in long]
+    got = found(spark, base + cuts)
+    assert {k for k in range(60) if not got[len(base) + k]} == {k for k, t in enumerate(cuts) if t.endswith(".")}
+    # an end the corpus knows as one: the length alone raises no verdict, nor does the end; both together do
+    known = [" ".join([*random.Random(s).choices(SENTENCES, k=7), "x" * 500])[:430] + "\n\nThanks for asking" for s in range(30)]
+    assert not any(found(spark, corpus(n=120) + known[:4])[120 + k] for k in range(4))
+    got = found(spark, base + known)
+    assert {got[len(base) + k] for k in range(30)} == {"length"}
+
+
+def test_a_length_near_the_shortest_is_no_limit(spark):
+    """Few texts are shorter than the shortest: there, only longer ones tell how many are usual."""
+    lengths = [n for n in range(230, 1200) for _ in range(6)] + [1200] * 300
+    rows = spark.createDataFrame([("m", f"{i}", n, n + 2, None, 1) for i, n in enumerate(lengths)], "_source string, _h string, chars int, bytes int, unmarked int, sig bigint")
+    assert {(r["measure"], r["length"]) for r in truncation._limits(rows).collect()} == {("chars", 1200), ("bytes", 1202)}
+
+
+def test_trie_and_length_are_added_up():
+    w, p = truncation.WEIGHTS, truncation.PRIOR
+    assert all(p + w[k] > 0 for k in ("word", "context", "sequence", "structure")) and all(p + w[k] < 0 for k in ("unknown", "usual", "stop"))
+    assert p + w["unknown"] + math.log(truncation.PILE_FACTOR) > 0 > p + w["usual"] + math.log(truncation.PILE_FACTOR)
+    assert p + w["usual"] + truncation.LENGTH_MOST > 0 > p + w["stop"] + truncation.LENGTH_MOST
+
+
+def test_both_ways_to_drop_sequences_agree(spark, monkeypatch):
+    base = corpus() + ["The series starts late and is compl", "Readers come mostly in winter, which the"]
+    one = found(spark, base)
+    monkeypatch.setattr(truncation, "ASKED", 0)
+    assert found(spark, base) == one
+
+
+def test_tails_end_as_the_whole_text_does(spark):
+    texts = [t + e for t in corpus(3, 20) for e in ("", "…", " r_20250521T0518_4db", " 1,234.5", " 12abc", "\n\n", " " + "y" * 600, "\n" * 500 + "z")]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    s = truncation.F.col("s")
+    for r in truncation._with_last_tokens(df, "a", s).withColumn("b", truncation._tokens(s)).collect():
+        n = min(5, len(r["b"]))
+        assert r["a"][-n:] == r["b"][-n:], r["s"][-40:]
 
 
 def test_copies_are_no_limit(spark):
