@@ -76,3 +76,10 @@ def test_empty(spark):
 def test_source_spellings(spark):
     df = spark.createDataFrame([("A_b",), (" a-B ",), ("a b",)], "source string").select(mixing._source("source").alias("s"))
     assert {r["s"] for r in df.collect()} == {"a-b"}
+
+
+def test_checks_hold_whatever_the_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_TEXTS", 2)
+    for total in (None, 900, 3000):
+        rows = mixing.mixture_checks(docs(spark, corpus()), targets(spark, WANT), total).collect()
+        assert {tuple(r)[1:] for r in rows} == {(0, 0, 0, 0)} and len(rows) == 4

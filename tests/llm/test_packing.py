@@ -71,13 +71,24 @@ def test_texts(spark, monkeypatch):
 
 def test_ranks_are_dense_whatever_the_skew(spark):
     df = spark.range(500).selectExpr("cast(if(id % 3 = 0, 1, id) as string) k", "id")
-    rows = packing._ranked(df, ["k"], "id").collect()
+    rows = packing._ranked(df, ["k"], "id", 16).collect()
     by = defaultdict(list)
     for r in rows:
         by[r["k"]].append(r["_rank"])
     assert all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
+def test_checks_tell_what_is_wrong(spark):
+    docs = spark.createDataFrame([(i, "word " * (10 + 9 * i)) for i in range(12)], "doc_id bigint, text string")
+    limits = spark.createDataFrame([("small", 64, 1)], LIMITS)
+    packed = pack(docs, limits)
+    tell = lambda df: packing.packing_checks(docs, df, limits).first().asDict()
+    assert tell(packed) == {"pack_name": "small", "capacity": 64, "texts": 12, "lost": 0, "overfull": 0, "torn": 0, "split": 0}
+    assert tell(packed.where("doc_id <> 3"))["lost"] == 1 and tell(packed.withColumn("container", packed.container * 0))["overfull"] == 1
+    assert tell(packed.withColumn("first_token", packed.first_token + 1))["torn"] == 12
+    assert tell(packed.limit(0)) == {"pack_name": "small", "capacity": 64, "texts": 0, "lost": 12, "overfull": 0, "torn": 0, "split": 0}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     limits = spark.createDataFrame([("small", 64, 1)], LIMITS)

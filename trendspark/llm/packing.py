@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..session import checkpointed
 from . import tokens
 
-#: Parts into which the items of one size are split for ranking.
-PARTS = 256
+#: Items of one size that are ranked in one task.
+PART_ITEMS = 100_000
 
 
 class _Gaps:
@@ -113,9 +113,9 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return runs, made
 
 
-def _ranked(items: DataFrame, keys: list[str], order: str) -> DataFrame:
+def _ranked(items: DataFrame, keys: list[str], order: str, parts: int) -> DataFrame:
     """``items`` and ``_rank`` from 0 within ``keys``: counts per part of a key come first, ranks inside a part after."""
-    items = items.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(PARTS)))
+    items = items.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
     by = W.partitionBy(*keys).orderBy("_part")
     before = items.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     before = before.select(*keys, "_part", (F.sum("_n").over(by) - F.col("_n")).alias("_before"))
@@ -133,6 +133,7 @@ def pack(documents: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_c
     """
     sized = tokens.with_token_counts(documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x")), "_x", tokenizer).select("_id", "n_tokens")
     sized = checkpointed(sized)  # counted once, for the histogram and for the assignment
+    parts = max(16, sized.count() // PART_ITEMS)
     packs = [(r[0], int(r[1])) for r in limits.select("pack_name", "capacity_tokens").where("pack_name is not null and capacity_tokens > 0").distinct().collect()]
     spark = documents.sparkSession
     schema = f"pack_name string, capacity int, {id_col} {sized.schema['_id'].dataType.simpleString()}, piece int, first_token bigint, n_tokens bigint, container bigint"
@@ -165,12 +166,12 @@ def pack(documents: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_c
             yield b.assign(container=out)[["pack_name", "capacity", "_id", "size", "full", "container"]]
 
     id_type = sized.schema["_id"].dataType.simpleString()
-    ranked = _ranked(items.where("size > 0"), ["pack_name", "capacity", "size"], "_id")
+    ranked = _ranked(items.where("size > 0"), ["pack_name", "capacity", "size"], "_id", parts)
     rests = ranked.mapInPandas(assign, f"pack_name string, capacity int, _id {id_type}, size bigint, full bigint, container bigint").select(
         "pack_name", "capacity", "_id", F.col("full").cast("int").alias("piece"), (F.col("full") * F.col("capacity")).alias("first_token"), F.col("size").alias("n_tokens"), "container"
     )
     # full pieces: container numbers behind the planned ones, by the same distributed ranking over the number of pieces
-    big = items.where("full > 0").withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(PARTS)))
+    big = items.where("full > 0").withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(parts)))
     offsets = big.groupBy("pack_name", "capacity", "_part").agg(F.sum("full").alias("_n"))
     offsets = offsets.select("pack_name", "capacity", "_part", (F.sum("_n").over(W.partitionBy("pack_name", "capacity").orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = W.partitionBy("pack_name", "capacity", "_part").orderBy("_id", "full").rowsBetween(W.unboundedPreceding, -1)
@@ -187,6 +188,26 @@ def pack(documents: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_c
     return rests.unionByName(fulls).unionByName(empty).withColumnRenamed("_id", id_col)
 
 
+def packing_checks(documents: DataFrame, packed: DataFrame, limits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per container size ``(pack_name, capacity, texts, lost, overfull, torn, split)``: texts with a row, and of what must not be the
+    number: texts without one, containers beyond capacity, texts whose pieces do not lie end to end, texts split though
+    they fit."""
+    pieces = W.partitionBy("pack_name", "capacity", id_col).orderBy("first_token")
+    rows = packed.withColumn("_gap", (F.col("first_token") != F.coalesce(F.lag(F.col("first_token") + F.col("n_tokens")).over(pieces), F.lit(0))).cast("int"))
+    texts = rows.groupBy("pack_name", "capacity", id_col).agg(F.max("_gap").alias("gap"), F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
+    of = texts.groupBy("pack_name", "capacity").agg(
+        F.count("*").alias("texts"), F.sum("gap").cast("bigint").alias("torn"), F.count_if(F.col("n") != F.greatest(F.lit(1), F.ceil(F.col("t") / F.col("capacity")))).alias("split")
+    )
+    full = packed.where("container is not null").groupBy("pack_name", "capacity", "container").agg(F.sum("n_tokens").alias("t")).groupBy("pack_name", "capacity").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"))
+    packs = limits.select("pack_name", F.col("capacity_tokens").cast("int").alias("capacity")).where("pack_name is not null and capacity > 0").distinct()
+    wanted = documents.select(F.col(id_col)).distinct().select("*", F.explode(F.array(*[F.struct(F.lit(r[0]).alias("pack_name"), F.lit(r[1]).alias("capacity")) for r in packs.collect()])).alias("_p")).select(id_col, "_p.*")
+    lost = wanted.join(texts.select("pack_name", "capacity", id_col), ["pack_name", "capacity", id_col], "left_anti").groupBy("pack_name", "capacity").agg(F.count("*").alias("lost"))
+    rows = packs
+    for part in (of, full, lost):
+        rows = rows.join(part, ["pack_name", "capacity"], "left")
+    return rows.select("pack_name", "capacity", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("texts", "lost", "overfull", "torn", "split")])
+
+
 def fill_report(packed: DataFrame) -> DataFrame:
     """Per container size: containers used, the least that could do, and the share of their space that is filled."""
     return (

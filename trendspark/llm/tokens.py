@@ -26,18 +26,20 @@ def _tokenizer(path: str):
 
 
 def count(texts: list[str], path: str = TOKENIZER) -> list[int]:
-    """Tokens of each text; special tokens' strings count as ordinary text."""
+    """Tokens of each text; special tokens' strings count as ordinary text. Copies among the texts are encoded once."""
     out: list[int] = []
     some: list[str] = []
     held = 0
-    for t in [*texts, None]:
+    once = dict.fromkeys(texts)
+    for t in [*once, None]:
         if some and (t is None or len(some) >= TEXTS or held + len(t) > CHARS):
             out += [len(e.ids) for e in _tokenizer(path).encode_batch(some, add_special_tokens=False)]
             some, held = [], 0
         if t is not None:
             some.append(t)
             held += len(t)
-    return out
+    sizes = dict(zip(once, out))
+    return [sizes[t] for t in texts]
 
 
 def with_token_counts(df: DataFrame, text_col: str, path: str = TOKENIZER, name: str = "n_tokens") -> DataFrame:
