@@ -1,3 +1,7 @@
+import copy
+import time
+
+import numpy as np
 import pytest
 
 from trendspark.llm import pii
@@ -80,6 +84,102 @@ def test_repeated_mentions_agree(model):
     assert ("name", "Selma Quorndale") in got(t, model)
 
 
+def without(model, **parts):
+    """The model with some parts put back to the prior, or taken out."""
+    out = copy.deepcopy(model)
+    for name, value in parts.items():
+        setattr(out, name, value)
+    return out
+
+
+NO_LINKS = {k: [0.0, 0.0] for k in pii.LINKS}
+PRIOR_WEIGHTS = {k: dict(w) for k, w in pii.PRIOR.items()}
+
+
+def test_links_decide(model):
+    """Names without a listed given name, that only another mention tells of: the same family name, the same with another
+    ending, an address spelled from the name."""
+    bare = without(model, links=NO_LINKS)
+    for text, name in (
+        ("Chart by Clive Quorndale.\n\nLater Selma Quorndale wrote again.", "Selma Quorndale"),
+        ("Chart by Clive Quorndalesk.\n\nWe asked Selma Quorndaleski again.", "Selma Quorndaleski"),
+        ("We asked Selma Quorndale again.\n\nselma.quorndale@post.example.com", "Selma Quorndale"),
+    ):
+        assert ("name", name) in got(text, model) and ("name", name) not in got(text, bare), text
+
+
+def number(i, k, sep):
+    d = f"{(712345678 + 7919013 * i + 104729 * k) % 900000000 + 100000000}"
+    return sep.join((d[:3], d[3:6], d[6:]))
+
+
+def cued(n=60):
+    """Numbers that are phone numbers before "nach Feierabend" and tickets before "im Archiv", a cue telling which; and "Rufzeichen"
+    before numbers that a cue tells of elsewhere in the text."""
+    out = []
+    for i in range(n):
+        out += [f"Please call {number(i, 1, '-')} nach Feierabend.\nPlease phone {number(i, 1, '.')} nach Feierabend.", f"See ticket {number(i, 2, '-')} im Archiv."]
+        out += [f"Please phone {number(i, 3, '-')} first.\nRufzeichen {number(i, 3, '')} wurde notiert."]
+    return out
+
+
+def test_fitted_weights_decide():
+    """A form that says little: the words behind it, seen with other forms, tell what it is."""
+    m = train([*texts(), *cued()], GIVEN)
+    t = "The number 981234567 nach Feierabend."
+    assert got(t, m) == {("phone", "981234567")} and not got(t, without(m, weights=PRIOR_WEIGHTS))
+    t = "The number 981-234-567 im Archiv."
+    assert not got(t, m) and got(t, without(m, weights=PRIOR_WEIGHTS)) == {("phone", "981-234-567")}
+
+
+def test_labels_travel_over_links_into_the_weights():
+    """No cue stands on the line of a number behind "Rufzeichen"; the linked number tells what it is, and the word is learned."""
+    t = "Rufzeichen 981234567 wurde notiert."
+    m = train([*texts(), *cued()], GIVEN)
+    assert got(t, m) == {("phone", "981234567")} and not got(t, without(m, weights=PRIOR_WEIGHTS))
+    apart = [x for t in cued() for x in t.split("\n")]
+    assert not got(t, train([*texts(), *apart], GIVEN))
+
+
+def test_links_are_fitted_with_the_weights():
+    """Where linked mentions agree their potential grows, where they do not it falls."""
+    agree = train([*texts(), *[f"Please call {number(i, 1, '-')}.\nPlease phone {number(i, 1, '.')}." for i in range(80)]], GIVEN)
+    differ = train([*texts(), *[f"Please call {number(i, 1, '-')}.\nSee ticket {number(i, 1, '.')}." for i in range(80)]], GIVEN)
+    assert differ.links["same"][0] < pii.LINKS["same"][0] < agree.links["same"][0]
+
+
+def test_messages_pass_until_they_are_still(model):
+    """A chain of names, each linked to the next, with one clear case at its end: it takes as many rounds as links."""
+    chain = "abcdefghi"
+    ms = mentions("\n\n".join([*(f"Selma {a}orst-{b}orst" for a, b in zip(chain.upper(), chain[1:].upper())), "Chart by Clive Iorst."]), model)
+    far, _ = pii.beliefs(ms, model)
+    near, _ = pii.beliefs(ms, model, rounds=2)
+    assert len(ms) >= 9 and np.abs(far - near).max() > 0.01
+    again, _ = pii.beliefs(ms, model, rounds=1000)
+    assert np.abs(far - again).max() < 0.05
+
+
+def test_time_grows_with_the_mentions(model):
+    """Ten times the mentions: not much more than ten times the work."""
+    one = "".join(f"{g} {f}{i}a, {g.lower()}.{f.lower()}{i}@post.example.com, +44 20 7946 0{100 + i}\n" for i in range(60) for g, f in [("Hester", "Kelmstow"), ("Selma", "Bexlcombe")])
+    took = []
+    for text in (one, one * 10):
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            entities(text, model)
+            best = min(best, time.perf_counter() - began)
+        took.append(best)
+    assert took[1] < 16 * took[0], took
+
+
+def test_sample_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, t, "k", 0) for i, t in enumerate(texts())], DOCS)
+    names = spark.createDataFrame([(g,) for g in GIVEN], "given_name string")
+    one, many = (fit(docs.repartition(n), names, sample=400) for n in (1, 13))
+    assert one.weights == many.weights and one.links == many.links and one.common == many.common
+
+
 def test_links_are_linear_and_exclude_overlaps(model):
     ms = mentions("Clive Dunskmere " * 400, model)
     assert len(pii._links(ms)) < 12 * len(ms)

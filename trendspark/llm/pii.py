@@ -3,19 +3,23 @@
 A skip-chain conditional random field over the mentions of a document. Formats and a small grammar of names propose
 mentions; each is a node with the labels its form allows, ``none`` among them. Node potentials are log-linear in
 features of form, word pieces and context. Neighbours on a line are linked (the chain), and so are distant mentions
-with the same or a similar key: a name, its family name elsewhere, the address spelled from it (the skip chain).
-Overlapping mentions exclude each other. Loopy belief propagation passes messages over the links, so that one clear
-mention of a person decides the unclear ones. The number of links grows with the mentions, not with their pairs: each
-is linked to the one before it that shares its key.
-
-The weights are fitted on a bounded sample of texts whose mentions are labelled by clear cues (a listed given name,
-a label before a number); weights start from the prior below, so that a small corpus has a usable model too. Words
-are counted and unlisted given names searched for in all texts. Every document is then read whole, each on its own; nothing but the model travels to the tasks.
+(the skip chain): with the same key (a number, a family name), with a similar one (a family name that is inflected or
+misspelt at its end), and a name with an address whose local part is spelled from it. Overlapping mentions exclude each
+other. Loopy belief propagation passes messages over the links until they no longer change, so that one clear mention
+of a person decides the unclear ones. Each mention is linked to the one before it that shares its key, so links, and the
+time a document takes, grow with its mentions, not with their pairs.
+
+Weights of features and of links are fitted together, by pseudo-likelihood: each labelled mention given its features and
+the labels of those it is linked to. Labels come from clear cues (a listed given name, a label before a number) in a bounded
+sample of texts, with the cue hidden in half of the cases; what the fitted field then finds in the sample joins them,
+weighted by its odds, so that words beside linked mentions are learned too. Weights start from the prior below, so that a small
+corpus has a usable model. Words are counted and unlisted given names searched for in all texts. Every document is then
+read whole, each on its own; nothing but the model travels to the tasks.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -130,20 +134,22 @@ class Mention:
     seed: int | None = None
     family: str = ""
     given: tuple[str, ...] = ()
+    mail: Mention | None = None
 
 
 @dataclass
 class Model:
     """``weights``: label -> feature -> weight. ``common``: words that are no names.
     ``leadins``: words with a preposition they are often followed by. ``places``: words seen as in "museum of W". ``search``:
-    whether common words in capitals may be given names, as in the search for those that are. ``links``: potentials of agreement."""
+    whether common words in capitals may be given names, as in the search for those that are. ``links``: potentials of two linked mentions that both are something, and that
+    both are none."""
 
     given: frozenset[str]
     common: frozenset[str] = frozenset()
     leadins: frozenset[tuple[str, str]] = frozenset()
     places: frozenset[str] = frozenset()
     weights: dict[int, dict[str, float]] = field(default_factory=lambda: defaultdict(dict))
-    links: dict[str, float] = field(default_factory=lambda: {"same": 1.5, "line": 0.5})
+    links: dict[str, list[float]] = field(default_factory=lambda: {k: list(v) for k, v in LINKS.items()})
     search: bool = False
     roles: dict[str, str] = field(default_factory=dict)
 
@@ -174,11 +180,18 @@ class Model:
         return self.__dict__ | {"roles": {}}
 
 
+#: Potentials of links before any data: of two mentions that both are something, of two that both are none.
+LINKS = {"same": (1.5, 1.5), "similar": (1.2, 0.3), "line": (0.5, 0.5), "mail": (3.0, 0.0)}
+#: Links that tell of one label, and not only that both mentions are something.
+ONE_LABEL = frozenset({"same", "similar"})
+#: Most a potential can become, margin from which a label found is learned from, change of a message that is none.
+LINK_MOST, LIKELY, STILL = 4.0, 0.7, 1e-3
+
 #: Weights before any data: bias, and what the form says by itself.
 PRIOR: dict[int, dict[str, float]] = {
     EMAIL: {"bias": 4.0},
     ADDRESS: {"bias": 2.0, "form=a_en_plain": -2.5, "form=a_bare": -2.5, "alone": 2.0, "row": 1.0, "closed": 2.0},
-    NAME: {"bias": -1.5, "listed": 4.0, "initial": 2.5, "title": 1.5, "swapped": -0.5, "row": 1.5, "mail": 3.0, "upper": -0.5, "lower": -1.5, "prev_of": -0.5, "next_common_lower": -1.0, "alone": 2.0, "given_common": -1.0, "cut_short": -5.0, "particle_after_word": -3.0, "particle_first": 3.0, "particle_left": -3.0},
+    NAME: {"bias": -1.5, "listed": 4.0, "initial": 2.5, "title": 1.5, "swapped": -0.5, "row": 1.5, "upper": -0.5, "lower": -1.5, "prev_of": -0.5, "next_common_lower": -1.0, "alone": 2.0, "given_common": -1.0, "cut_short": -5.0, "particle_after_word": -3.0, "particle_first": 3.0, "particle_left": -3.0},
     PHONE: {"bias": -1.0, "cue_phone": 3.0, "cue_id": -4.0, "cue_other": -4.0, "row": 1.0, "alone": 0.5, **{f"form={k}": w for k, w in {"intl": 4.0, "nanp": 3.0, "trunk_br": 3.0, "fr": 3.0, "trunk": 2.0, "three": 2.0, "es": 2.0, "bare": 0.0}.items()}},
     IDNUM: {"bias": -1.0, "cue_id": 4.0, "cue_phone": -2.0, "cue_other": -3.0, "alone": 0.5, **{f"form={k}": w for k, w in {"ssn": 3.0, "ni": 3.0, "lic_dash": 2.5, "lic": 3.0, "pass": 2.0, "dni": 3.0, "nie": 3.0, "nir": 2.0, "taxde": 2.0, "eleven": 2.0, "card": 0.0}.items()}},
 }
@@ -255,8 +268,28 @@ def mentions(text: str, model: Model) -> list[Mention]:
 
     for m in _scan(text, lines, _AT_SIGN, EMAIL_FORM):
         local = fold(re.split(_AT + rf"|{B}at{B}", m.group(), maxsplit=1)[0])
-        out.append(Mention(m.start(), m.end(), (NONE, EMAIL), context(m.start(), m.end())[0], ["x:" + fold(m.group())], EMAIL, local))
-    emails = [m for m in out]
+        plain = "@" in m.group() and not any(c.isspace() for c in m.group())
+        out.append(Mention(m.start(), m.end(), (NONE, EMAIL), [*context(m.start(), m.end())[0], "form=" + ("plain" if plain else "spelled")], ["x:" + fold(m.group())], EMAIL if plain else None, local))
+    emails = list(out)
+    spelled: dict[int, dict[str, list[int]]] = {}  # by length: pieces of local parts, and the addresses that have them
+
+    def address_of(name: str, at: int) -> Mention | None:
+        """The nearest address whose local part is spelled from a name, the one before it first."""
+        if len(name) < 4 or not emails:
+            return None
+        n = len(name)
+        if n not in spelled:
+            spelled[n] = {}
+            for k, e in enumerate(emails):
+                for piece in {e.family[i : i + n] for i in range(len(e.family) - n + 1)}:
+                    spelled[n].setdefault(piece, []).append(k)
+        those = spelled[n].get(name)
+        if not those:
+            return None
+        k = bisect_right(those, bisect_right(email_starts, at) - 1)
+        return emails[those[k - 1] if k else those[0]]
+
+    email_starts = [e.start for e in emails]
     for m in _scan(text, lines, _STREET, ADDRESS_FORM):
         s = m.group()
         form = m.lastgroup
@@ -359,9 +392,7 @@ def mentions(text: str, model: Model) -> list[Mention]:
         if nxt[:1].islower() and after and fold(after[0]) in model.common:
             f.append("next_common_lower")
         head = fold(text[words[first][0] : words[fam][0]]) if swapped else ""
-        mail = any(len(fd) >= 4 and head + fd in e.family for e in emails)
-        if mail:
-            f.append("mail")
+        mail = address_of(head + fd, a) if len(fd) >= 4 else None
         # a preposition before a family name that comes first may be the sentence's own
         if swapped and first < fam:
             led = first == fam - 1 and bool(before) and (before[-1], words[first][2].lower()) in model.leadins
@@ -379,7 +410,9 @@ def mentions(text: str, model: Model) -> list[Mention]:
             seed = NONE
         parts = [p for p in re.split(r"[-]", family) if len(p) > 2]
         first_names = tuple(fold(p) for g in given for p in _strip_possessive(words[g][2]).split("-"))
-        out.append(Mention(a, b, (NONE, NAME), f, [f"n:{fold(p)}" for p in parts], seed, fd, first_names))
+        folded = [fold(p) for p in parts]
+        keys = [f"n:{p}" for p in folded] + [f"s:{p[:6]}" for p in folded if len(p) > 6]
+        out.append(Mention(a, b, (NONE, NAME), f, keys, seed, fd, first_names, mail))
 
     for i in range(n):
         if kind[i] == "" and words[i][2].lower() not in PARTICLES:
@@ -449,21 +482,27 @@ def _links(ms: list[Mention], strength: np.ndarray | None = None) -> list[tuple[
     only, so that exclusion makes no loops of its own."""
     links: list[tuple[int, int, str]] = []
     last: dict[str, int] = {}
+    place = {id(m): i for i, m in enumerate(ms) if EMAIL in m.kinds}
     open_: list[int] = []
     stronger: dict[int, list[int]] = defaultdict(list)
     for i, m in enumerate(ms):
-        open_ = [j for j in open_ if ms[j].end > m.start]
+        open_ = [j for j in open_ if ms[j].end > m.start]  # a form spans some words at most, so these are few
         if strength is not None:
-            for j in open_[-6:]:
+            for j in open_:
                 stronger[i].append(j)
                 stronger[j].append(i)
         open_.append(i)
         if i and ms[i - 1].end <= m.start and "row" in m.feats and "row" in ms[i - 1].feats:
             links.append((i - 1, i, "line"))
+        if m.mail is not None and id(m.mail) in place:
+            links.append((place[id(m.mail)], i, "mail"))
+        met: set[int] = set()
         for k in m.keys:
-            if k in last and ms[last[k]].end <= m.start:
-                links.append((last[k], i, "same"))
-            if k not in last or ms[last[k]].end <= m.start:
+            j = last.get(k)
+            if j is not None and ms[j].end <= m.start and j not in met:
+                met.add(j)  # whole keys stand before their beginnings: what is the same is not similar besides
+                links.append((j, i, "similar" if k[0] == "s" else "same"))
+            if j is None or ms[j].end <= m.start:
                 last[k] = i
     for i, others in stronger.items():
         best = max(others, key=lambda j: (strength[j], -j))
@@ -487,47 +526,59 @@ def _lse(a: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(a - top[..., None]).sum(axis=-1))
 
 
-def infer(ms: list[Mention], model: Model, rounds: int = 6) -> list[int]:
-    """Most likely label of every mention, by loopy belief propagation."""
-    if not ms:
-        return []
+def beliefs(ms: list[Mention], model: Model, rounds: int = 200) -> tuple[np.ndarray, list[tuple[int, int, str]]]:
+    """Potential of every label of every mention after messages have passed over the links until they no longer change,
+    and the links. Without loops that takes as many rounds as the longest path has links; messages that still swing after
+    ``rounds`` / 4 are damped, and end with ``rounds``."""
     u = np.array([_unary(m, model) for m in ms])
     links = _links(ms, u[:, 1:].max(axis=1))
     if links:
         size = len(KINDS)
-        agree = np.zeros((size, size))
         tables = {}
-        for name in ("same", "line"):
-            t = agree.copy()
-            t[1:, 1:] += model.links[name]
-            t[0, 0] += model.links[name]
-            tables[name] = t
-        exclude = agree.copy()
-        exclude[1:, 1:] = -50.0
-        tables["not"] = exclude
+        for name, (on, off) in model.links.items():
+            tables[name] = np.zeros((size, size))
+            tables[name][1:, 1:] = np.eye(size - 1) * on if name in ONE_LABEL else on
+            tables[name][0, 0] = off
+        tables["not"] = np.zeros((size, size))
+        tables["not"][1:, 1:] = -50.0
         src = np.array([x for a, b, _ in links for x in (a, b)])
         dst = np.array([x for a, b, _ in links for x in (b, a)])
         pot = np.array([tables[k] for _, _, k in links for _ in range(2)])
         back = np.arange(len(src)) ^ 1
         msg = np.zeros((len(src), size))
-        for _ in range(rounds):
+        for r in range(rounds):
             total = u.copy()
             np.add.at(total, dst, msg)
             cavity = total[src] - msg[back]
-            new = _lse(cavity[:, None, :] + pot.transpose(0, 2, 1))
+            new = _lse(cavity[:, None, :] + pot)
             new -= new.max(axis=1, keepdims=True)
-            msg = 0.5 * msg + 0.5 * new
+            if 4 * r > rounds:
+                new = 0.5 * msg + 0.5 * new
+            still = np.abs(new - msg).max() < STILL
+            msg = new
+            if still:
+                break
         np.add.at(u, dst, msg)
+    return u, links
+
+
+def infer(ms: list[Mention], model: Model) -> list[int]:
+    """Most likely label of every mention, by loopy belief propagation."""
+    if not ms:
+        return []
+    u, _ = beliefs(ms, model)
     label = u.argmax(axis=1)
     # what still overlaps: the stronger stands, then the longer
     keep, order = [0] * len(ms), sorted(range(len(ms)), key=lambda i: (-(u[i, label[i]] - u[i, NONE]), ms[i].start - ms[i].end))
-    spans: list[tuple[int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for i in order:
         if label[i] != NONE:
             a, b = ms[i].start, ms[i].end
-            k = np.searchsorted([s[0] for s in spans], a) if spans else 0
-            if (k == 0 or spans[k - 1][1] <= a) and (k == len(spans) or spans[k][0] >= b):
-                spans.insert(int(k), (a, b))
+            k = bisect_left(starts, a)
+            if (k == 0 or ends[k - 1] <= a) and (k == len(starts) or starts[k] >= b):
+                starts.insert(k, a)
+                ends.insert(k, b)
                 keep[i] = int(label[i])
     return keep
 
@@ -649,17 +700,13 @@ def unlisted(text: str, model: Model) -> set[tuple[str, str, bool]]:
 
 
 def _train(texts: list[str], given: list[str], counts: Counter, epochs: int, rate: float, pull: float, search: bool = False) -> Model:
-    """A model fitted on the seeds in ``texts``: log-linear weights by stochastic gradient from the prior, link potentials
-    from the agreement of linked seeds. ``given``: given names, the listed ones and those found. ``counts``: of the corpus, from ``tally``."""
+    """A model fitted on the seeds in ``texts`` and on what it then finds in them. ``given``: given names, the listed ones and those found. ``counts``: of the corpus, from ``tally``."""
     model = Model(_names(given))
     for k, w in PRIOR.items():
         model.weights[k] = dict(w)
     _lexicon(model, counts)
     model.search = search
     model.roles.clear()
-    rng = np.random.default_rng(7)
-    examples: list[tuple[Mention, int]] = []
-    pairs: dict[str, list[int]] = {"same": [0, 0], "line": [0, 0]}
     found = [mentions(t, model) for t in texts]
     if search:  # beside a common word, a word that resembles no family name of a clear case is none
         known = {m.family[:4] for ms in found for m in ms if m.seed == NAME}
@@ -667,32 +714,70 @@ def _train(texts: list[str], given: list[str], counts: Counter, epochs: int, rat
             for m in ms:
                 if "given_common" in m.feats and m.family[:4] not in known:
                     m.seed = NONE
+    _fit(model, [_labelled(ms, [m.seed for m in ms]) for ms in found if ms], epochs, rate, pull)
+    # what the field finds is a label too, of the weight its odds have: words beside linked mentions tell of others without a link
+    likely = []
     for ms in found:
-        examples += [(m, m.seed) for m in ms if m.seed is not None]
-        for a, b, kind in _links(ms):
-            if kind != "not" and ms[a].seed is not None and ms[b].seed is not None:
-                pairs[kind][(ms[a].seed != NONE) != (ms[b].seed != NONE)] += 1
-    # the cue that made the seed is hidden in half the cases, so that the other features learn to do without
-    cue = {"listed", "cue_phone", "cue_id", "cue_other", "prev_of"}
+        if any(m.seed is None for m in ms):
+            u, _ = beliefs(ms, model)
+            best, ranked = u.argmax(axis=1), np.sort(u, axis=1)
+            margin = ranked[:, -1] - ranked[:, -2]
+            known = [m.seed if m.seed is not None else int(k) if x >= LIKELY else None for m, k, x in zip(ms, best, margin)]
+            likely.append(_labelled(ms, known, [1.0 if m.seed is not None else float(np.tanh(x / 2)) for m, x in zip(ms, margin)]))
+        elif ms:
+            likely.append(_labelled(ms, [m.seed for m in ms]))
+    _fit(model, likely, max(1, epochs // 2), rate, pull)
+    model.weights = {k: {f: v for f, v in w.items() if abs(v) > 0.01} for k, w in model.weights.items()}
+    return model
+
+
+Example = tuple[Mention, int, float, list[tuple[str, int]]]
+#: Features that made the label of a mention.
+CUES = frozenset({"listed", "cue_phone", "cue_id", "cue_other", "prev_of"})
+
+
+def _labelled(ms: list[Mention], labels: list[int | None], weights: list[float] | None = None) -> list[Example]:
+    """Mentions with a label, its weight, and the labels of those they are linked to."""
+    near: dict[int, list[tuple[str, int]]] = defaultdict(list)
+    for a, b, kind in _links(ms):
+        for x, y in ((a, b), (b, a)):
+            if labels[y] is not None:
+                near[x].append((kind, labels[y]))
+    return [(m, y, weights[i] if weights else 1.0, near[i]) for i, (m, y) in enumerate(zip(ms, labels)) if y is not None]
+
+
+def _agree(kind: str, label: int, other: int) -> int | None:
+    """Which potential of a link two labels bring to bear: 0 if both are something (the same thing, for some links), 1 if both are none."""
+    if label == NONE or other == NONE:
+        return 1 if label == other else None
+    return 0 if label == other or kind not in ONE_LABEL else None
+
+
+def _fit(model: Model, documents: list[list[Example]], epochs: int, rate: float, pull: float) -> None:
+    """Weights of features and links by stochastic gradient on the pseudo-likelihood, from where they are, drawn to the prior.
+    The cue that made a label is hidden in half the cases, so that the other features, and the links, learn to do without."""
+    rng = np.random.default_rng(7)
+    examples = [x for d in documents for x in d]
     for epoch in range(epochs):
+        step = rate / (1 + epoch)
         for at in rng.permutation(len(examples)):
-            m, y = examples[at]
-            feats = [f for f in m.feats if f not in cue] if rng.random() < 0.5 else m.feats
-            u = np.array([0.0 if k == NONE else sum(model.weights[k].get(f, 0.0) for f in feats) for k in m.kinds])
+            m, y, weight, near = examples[at]
+            feats = [f for f in m.feats if f not in CUES] if rng.random() < 0.5 else m.feats
+            met = [[(kind, which) for kind, other in near if (which := _agree(kind, k, other)) is not None] for k in m.kinds]
+            u = np.array([sum(model.links[kind][which] for kind, which in x) + (sum(model.weights[k].get(f, 0.0) for f in feats) if k != NONE else 0.0) for k, x in zip(m.kinds, met)])
             p = np.exp(u - u.max())
             p /= p.sum()
-            for k, pk in zip(m.kinds, p):
+            for k, pk, x in zip(m.kinds, p, met):
+                g = weight * step * ((k == y) - pk)
                 if k != NONE:
-                    g = rate / (1 + epoch) * ((k == y) - pk)
                     w = model.weights[k]
                     for f in feats:
                         if f not in PRIOR[k] or f.startswith("form="):
                             old = w.get(f, 0.0)
                             w[f] = old + g - pull * rate * (old - PRIOR[k].get(f, 0.0))
-    for kind, (same, differ) in pairs.items():
-        model.links[kind] = float(np.clip(0.5 * np.log((same + 3.0) / (differ + 1.0)), 0.0, 2.0))
-    model.weights = {k: {f: v for f, v in w.items() if abs(v) > 0.01} for k, w in model.weights.items()}
-    return model
+                for kind, which in x:
+                    old = model.links[kind][which]
+                    model.links[kind][which] = float(min(LINK_MOST, max(0.0, old + g - pull * rate * (old - LINKS[kind][which]))))
 
 
 def entities(text: str, model: Model) -> list[tuple[int, int, int]]:
@@ -741,11 +826,15 @@ def _gather(counts: DataFrame, given: frozenset[str]) -> Counter:
 
 def fit(documents: DataFrame, given_names: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The model of a corpus. Words are counted and given names searched for in all texts; the weights are fitted on at most
-    ``sample`` distinct texts of at most ``SAMPLE_CHARS`` characters, those with the least hashes. ``given_names`` is a list
+    ``sample`` distinct texts of at most ``SAMPLE_CHARS`` characters, those whose hashes lie below a bound. ``given_names`` is a list
     people keep by hand, fixed in size."""
     texts = documents.select(F.col(text_col).alias("t")).where(F.length("t") > 0)
     counts = checkpointed(tallied(texts.distinct()))
-    picked = texts.where(F.length("t") <= SAMPLE_CHARS).distinct().orderBy(F.xxhash64("t"), "t").limit(sample)
+    n = counts.where("what = 'n'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # a share of the hashes that gives the sample, seldom more: so much reaches the driver, from however many tasks
+    share = min(1.0, (sample - 3 * sample**0.5) / max(1, n)) if n > sample else 1.0
+    picked = texts.where((F.length("t") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.lit(round(share * (1 << 30))))).distinct()
+    picked = sorted(r[0] for r in picked.collect())[:sample]
 
     def seek(model: Model) -> list[tuple[str, str, bool]]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -757,7 +846,7 @@ def fit(documents: DataFrame, given_names: DataFrame, text_col: str = "text", sa
         return [(r["g"], f, r["p"]) for r in found.where("a <> b").collect() for f in (r["a"], r["b"])]
 
     names = [r[0] for r in given_names.select("given_name").where("given_name is not null").distinct().collect()]
-    return train([r[0] for r in picked.collect()], names, gather=lambda given: _gather(counts, given), seek=seek)
+    return train(picked, names, gather=lambda given: _gather(counts, given), seek=seek)
 
 
 def find_personal(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
