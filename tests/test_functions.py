@@ -1,9 +1,11 @@
+import random
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from trendspark.functions import dates, rounding, text
+from trendspark.operators import claims
 
 
 def values(spark, rows, schema, *cols):
@@ -14,6 +16,14 @@ def test_rounding(spark):
     xs = [1.25, -1.25, 2.5, -2.5, 0.0, None]
     got = values(spark, [(x,) for x in xs], "x double", rounding.round_half(F.col("x"), 1), rounding.round_up_half(F.col("x")))
     assert got == [(1.3, 1), (-1.3, -1), (2.5, 3), (-2.5, -2), (0.0, 0), (None, None)]
+    for k, xs in ((1, [1.45, 0.15, 0.25, -1.45, 8.05, 1e17, 123456789.05, 0.05, 4.35, 1e300]), (2, [1.005, 2.675, 0.125, 1.115, 1e-300]), (4, [0.00005, 1.00005, 12345.67895])):
+        got = values(spark, [(x,) for x in xs], "x double", rounding.round_half(F.col("x"), k))
+        assert [g for g, in got] == [float(rounding.fixed(x, k)) for x in xs]
+    rng = random.Random(3)
+    xs = [n / 100 for n in range(-2000, 2000, 5)] + [rng.uniform(-1000, 1000) for _ in range(2000)] + [rng.randrange(10**9) / 1000 for _ in range(2000)]
+    got = values(spark, [(x,) for x in xs], "x double", *(rounding.round_half(F.col("x"), k) for k in (0, 1, 2)))
+    assert got == [tuple(float(rounding.fixed(x, k)) for k in (0, 1, 2)) for x in xs]
+    assert values(spark, [(-0.04,)], "x double", rounding.round_half(F.col("x"), 1).cast("string")) == [("0.0",)]
     assert [rounding.fixed(x, 2) for x in (1.005, 2.675, None)] == ["1.00", "2.67", None]
     assert rounding.fixed(0.25, 1) == "0.3"
 
@@ -59,5 +69,8 @@ def test_prose(spark):
     rows = [("One is 1,234.5. Two: -3%\n- three 7",)]
     (r,) = values(spark, rows, "t string", text.sentences(F.col("t")), text.numbers(F.col("t")))
     assert r == (["One is 1,234.5.", "Two:", "-3%", "- three 7"], [1234.5, -3.0, 7.0])
-    got = values(spark, [("it is up",), ("see it.wikipedia",), ("the IT edition",), ("(it)",)], "s string", F.col("s").rlike(text.code_pattern("it")))
-    assert [x[0] for x in got] == [False, True, True, True]
+    (r,) = values(spark, [("0\n11\n22\n33: 44\n 5",)], "t string", text.sentences(F.col("t")))
+    assert r == (["0", "11", "22", "33:", "44", "5"],)
+    got = values(spark, [("it is up",), ("see it.wikipedia",), ("the IT edition",), ("(it)",), ("In Basque",), ("in zh-yue",), ("ZH",), ("Europe",)], "s string", claims._editions_named(F.col("s"), {"it": "Italian", "eu": "Basque", "zh": "Chinese", "zh-yue": "Cantonese"}))
+    assert [set(x[0]) for x in got] == [set(), {"it"}, {"it"}, {"it"}, {"eu"}, {"zh-yue"}, {"zh"}, set()]
+    assert text.language_names(spark, ["eu", "hy", "ta", "xx"]) == {"eu": "Basque", "hy": "Armenian", "ta": "Tamil", "xx": "xx"}

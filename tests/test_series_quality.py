@@ -98,7 +98,7 @@ def test_evidence(spark):
     assert got == {"a": ("article_event", 3, "move/move, protect/modify"), "b": ("edits_only", 0, None), "c": ("no_activity", 0, None)}
 
 
-SIGNALS = """series_id string, median_daily double, changepoint struct<month:date,direction:string,ratio:double>, cause string, yoy_pct double, yoy_excl_spikes double,
+SIGNALS = """series_id string, median_daily double, changepoint struct<month:date,direction:string,ratio:double,before:bigint,after:bigint>, cause string, yoy_pct double, yoy_excl_spikes double,
 monthly_spike struct<count:int,share_of_views:double>, spike_share double, days_missing_share double, months_available int"""
 FINE = ("s", 500.0, None, None, -5.0, None, None, 0.0, 0.0, 24)
 
@@ -107,7 +107,7 @@ FINE = ("s", 500.0, None, None, -5.0, None, None, 0.0, 0.0, 24)
     ("change", "reasons", "confidence"),
     [
         ({}, [], "high"), ({1: None}, ["no_signal"], "low"), ({1: 0.5}, ["no_signal"], "low"), ({1: 5.0}, ["very_low_volume"], "medium"), ({1: 20.0}, ["low_volume"], "high"),
-        ({2: (date(2025, 1, 1), "drop", 9.0), 3: "article_event"}, ["changepoint_article_event"], "low"), ({2: (date(2025, 1, 1), "drop", 9.0)}, ["changepoint_unexplained"], "low"),
+        ({2: (date(2025, 1, 1), "drop", 9.0, 900, 100), 3: "article_event"}, ["changepoint_article_event"], "low"), ({2: (date(2025, 1, 1), "drop", 9.0, 900, 100)}, ["changepoint_unexplained"], "low"),
         ({5: 3.0}, ["spike_sign_flip"], "high"), ({5: 0.0}, ["spike_sign_flip"], "high"), ({5: -1.0}, [], "high"), ({6: (1, 0.3)}, ["monthly_spike"], "high"), ({7: 0.21}, ["spike_heavy"], "high"),
         ({8: 0.11}, ["sparse"], "high"), ({9: 23}, ["short_history"], "high"), ({1: 20.0, 8: 0.5, 9: 3}, ["low_volume", "sparse", "short_history"], "medium"),
         ({1: 5.0, 6: (1, 0.3), 9: 3}, ["very_low_volume", "monthly_spike", "short_history"], "low"),

@@ -3,13 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 from pyspark.sql import Column, functions as F
 
 
+#: Splits a double into two halves of 26 bits, whose products are exact.
+_SPLIT = float(2**27 + 1)
+
+
 def round_half(x: Column, k: int = 0) -> Column:
-    """``x`` to ``k`` decimals, ties away from zero (1.25 -> 1.3, -2.5 -> -3), as a double."""
+    """``x`` to ``k`` decimals, as a double: the exact binary value is rounded, ties away from zero. So 0.25 gives 0.3, but 1.45, which
+    as a double is a little less, gives 1.4.
+
+    ``|x| * 10^k`` is rounded itself; its error is found by splitting both factors, and added to what is left beyond the
+    whole number. From 2^52 on there is nothing to round.
+    """
+    m = float(10**k)
+    m_high = m * _SPLIT - (m * _SPLIT - m)
+    m_low = m - m_high
+    v = F.abs(x.cast("double"))
+    product = v * m
+    high = v * _SPLIT - (v * _SPLIT - v)
+    low = v - high
+    error = ((high * m_high - product) + high * m_low + low * m_high) + low * m_low
+    whole = F.floor(product)
+    up = (product - whole - 0.5) + error >= 0
+    return F.signum(x.cast("double")) * F.when(product < float(2**52), (whole + up.cast("int")) / m).otherwise(v) + F.lit(0.0)  # no -0
+
+
+def round_near(x: Column, k: int = 6) -> Column:
+    """``x`` to about ``k`` decimals, for results that are compared with those of another order of summation."""
     m = float(10**k)
     return F.signum(x) * F.floor(F.abs(x) * m + 0.5) / m
 
@@ -21,7 +45,7 @@ def round_up_half(x: Column) -> Column:
 
 def fixed(x: float | None, k: int) -> str | None:
     """Display form with ``k`` decimals of the exact binary value, ties away from zero."""
-    return None if x is None else str(Decimal(x).quantize(Decimal(1).scaleb(-k), rounding=ROUND_HALF_UP))
+    return None if x is None else str(Decimal(x).quantize(Decimal(1).scaleb(-k), rounding=ROUND_HALF_UP, context=Context(prec=400)))
 
 
 def percent_change(before: Column, after: Column) -> Column:

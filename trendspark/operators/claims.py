@@ -7,10 +7,12 @@ run's rows are an array; every sentence of a draft meets those of its own run on
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rounding import let, round_half, round_up_half
-from ..functions.text import CAUTION, DECLINE, GROWTH, LANGUAGES, WORD_CODES, figure_value, figures, sentences
+from ..functions.text import CAUTION, DECLINE, GROWTH, WORD_CODES, figure_value, figures, language_names, sentences
 
 #: Figures the documentation states, which any text may quote.
 DOCUMENTED = (7.0, 25.0, 1e6)
@@ -48,23 +50,25 @@ def untraceable_figures(drafts: DataFrame, key: str, text: str, shown: str) -> D
     return rows.where(F.col("_v").isNotNull() & ~exempt(F.col("_v")) & ~traceable(F.col("_v"), F.coalesce("_s", F.array().cast("array<double>")))).select(key, "figure").distinct()
 
 
-def _editions_named(sentence: Column) -> Column:
-    """Codes of the editions a sentence names, by code or by language: one pattern each for codes, for codes that are words
-    (see :func:`code_pattern`) and for names, instead of two a language."""
+def _editions_named(sentence: Column, names: dict[str, str]) -> Column:
+    """Codes of the editions a sentence names, by code or by language; ``names``: the language of every code that the results
+    have. One pattern for codes, one for codes that are English words and so must be written as codes are, one for names."""
+    if not names:
+        return F.array().cast("array<string>")
+    some = lambda xs: "|".join(re.escape(x) for x in sorted(xs, key=len, reverse=True)) or "(?!)"
+    plain, words = [c for c in names if c not in WORD_CODES], [c for c in names if c in WORD_CODES]
     found = lambda pattern: F.regexp_extract_all(sentence, F.lit(pattern), F.lit(0))
-    plain = "|".join(c for c in LANGUAGES if c not in WORD_CODES)
-    words = "|".join(c for c in LANGUAGES if c in WORD_CODES)
-    by_word = rf"\b(?:{words})\.wikipedia\b|\((?:{words})\)|\b(?:{words}):|\b(?:{words.upper()})\b"
-    codes = F.transform(F.concat(found(rf"(?i)(?<![a-z])(?:{plain})(?![a-z])"), found(by_word)), lambda x: F.lower(F.regexp_extract(x, "[A-Za-z]+", 0)))
-    of_name = F.create_map(*[F.lit(x) for c, n in LANGUAGES.items() for x in (n.lower(), c)])
-    names = F.transform(found(rf"(?i)\b(?:{'|'.join(LANGUAGES.values())})"), lambda x: of_name[F.lower(x)])
-    return F.concat(codes, names)
+    written = rf"\b(?:{some(words)})(?=\.wikipedia\b|:)|(?<=\()(?:{some(words)})(?=\))|\b(?:{some([w.upper() for w in words])})\b"
+    codes = F.transform(F.concat(found(rf"(?i)(?<![a-z])(?:{some(plain)})(?![a-z])"), found(written)), F.lower)
+    of_name: dict[str, str] = {n.lower(): c for c, n in reversed(names.items())}
+    named = F.transform(found(rf"(?i)\b(?:{some(of_name)})"), lambda x: F.create_map(*[F.lit(v) for n, c in of_name.items() for v in (n, c)])[F.lower(x)])
+    return F.concat(codes, named)
 
 
-def _rows_named(sentence: Column, rows: Column) -> Column:
+def _rows_named(sentence: Column, rows: Column, names: dict[str, str]) -> Column:
     """The rows a sentence is about: their edition is named, or a title that is not the topic's own."""
     about = lambda named: F.filter(rows, lambda r: F.array_contains(named, r["lang"]) | (r["distinguishing"] & (F.instr(sentence, r["title"]) > 0)))
-    return let(_editions_named(sentence), about)
+    return let(_editions_named(sentence, names), about)
 
 
 def check_claims(drafts: DataFrame, runs: DataFrame, results: DataFrame) -> DataFrame:
@@ -77,6 +81,8 @@ def check_claims(drafts: DataFrame, runs: DataFrame, results: DataFrame) -> Data
     own = results.join(runs.select("run_id", "topic", "label"), "run_id", "left").withColumn(
         "distinguishing", F.col("title").isNotNull() & (F.col("title") != "") & ~generic(F.col("title"), F.col("topic")) & ~generic(F.col("title"), F.col("label"))
     )
+    codes = sorted(r[0] for r in results.select(F.lower("lang")).distinct().where("lower(lang) is not null").collect())  # as many as there are editions
+    names = language_names(drafts.sparkSession, codes)
     fields = ("lang", "title", "confidence", "raw_yoy", "normalized_yoy", "figures", "numbers", "distinguishing")
     by_run = own.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
     doc = F.array(*[F.lit(x) for x in DOCUMENTED])
@@ -88,7 +94,7 @@ def check_claims(drafts: DataFrame, runs: DataFrame, results: DataFrame) -> Data
     )
     said = base.select("draft_id", "shared", "rows", F.explode(sentences(F.col("text"))).alias("sentence"))
     # the row (if it is one) is told once a sentence: the explode keeps it from being told again for every use
-    one = let(_rows_named(F.col("sentence"), F.col("rows")), lambda refs: F.when(F.size(refs) == 1, refs[0]))
+    one = let(_rows_named(F.col("sentence"), F.col("rows"), names), lambda refs: F.when(F.size(refs) == 1, refs[0]))
     said = said.where(F.col("sentence").rlike(r"[0-9]")).select("draft_id", "shared", "rows", "sentence", one.alias("row"), F.explode(figures(F.col("sentence"))).alias("figure"))
     said = said.where("row is not null").withColumn("v", figure_value(F.col("figure")))
     said = said.where(F.col("v").isNotNull() & ~exempt(F.col("v"))).withColumn("a", F.abs("v"))

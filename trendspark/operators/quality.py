@@ -95,7 +95,7 @@ def changepoints(months: DataFrame) -> DataFrame:
             ratio = F.exp(F.abs(jump))
             found = F.struct(
                 F.get(F.col("months"), k)["month"].alias("month"), F.when(jump > 0, "drop").otherwise("rise").alias("direction"),
-                round_half(ratio, 1).alias("ratio"), round_half(share, 2).alias("share_of_total_change"),
+                let(ratio, lambda q: round_half(q, 1)).alias("ratio"), round_half(share, 2).alias("share_of_total_change"),
                 round_up_half(F.expm1(b)).alias("before"), round_up_half(F.expm1(a)).alias("after"),
             )
             return F.when((F.array_max(views) >= BREAK_LEVEL) & (share >= BREAK_SHARE) & (ratio >= BREAK_RATIO) & severed, found)
@@ -116,7 +116,7 @@ def monthly_spikes(months: DataFrame) -> DataFrame:
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, m: s + m["views"])
 
     def hits(m: Column, med: Column, mad: Column, level: Column) -> Column:
-        z = lambda x: round_half(Z_SCALE * (damped(x) - med) / F.when(mad > 0, mad), 1)
+        z = lambda x: let(Z_SCALE * (damped(x) - med) / F.when(mad > 0, mad), lambda q: round_half(q, 1))
         judged = F.transform(m, lambda e: F.struct(e["month"].alias("month"), e["views"].alias("views"), z(e["views"]).alias("z")))
         return F.when(mad > 0, F.filter(judged, lambda e: (e["z"] > Z_LIMIT) | ((level > 0) & (e["views"] >= MIN_RATIO * level))))
 
@@ -128,7 +128,7 @@ def monthly_spikes(months: DataFrame) -> DataFrame:
     found = let(F.transform("months", lambda m: damped(m["views"])), lambda x: let(array_median(x), lambda med: with_deviation(months_, x, med)))
 
     def spike(h: Column) -> Column:
-        share = F.coalesce(round_half(F.try_divide(total(h), total(months_)), 3), F.lit(0.0))
+        share = F.coalesce(let(F.try_divide(total(h), total(months_)), lambda q: round_half(q, 3)), F.lit(0.0))
         return F.when(F.size(h).between(1, MOST_MONTHS), F.struct(h.alias("months"), F.size(h).alias("count"), share.alias("share_of_views")))
 
     return months.withColumn("monthly_spike", let(F.when(F.size("months") >= LEAST_MONTHS, found), spike))
@@ -167,7 +167,7 @@ def break_evidence(breaks: DataFrame, log: DataFrame, revisions: DataFrame) -> D
     return spans.join(events, [BY, "month"], "left").join(edits, [BY, "month"], "left").select(BY, "month", cause.alias("cause"), F.coalesce("events", F.lit(0)).alias("events"), "kinds")
 
 
-#: The rubric: rule, cost, whether it disqualifies.
+#: The rubric, as rule, cost, and whether it disqualifies.
 RULES = (
     ("no_signal", 0.50, True), ("very_low_volume", 0.35, False), ("low_volume", 0.15, False), ("changepoint_article_event", 0.35, True),
     ("changepoint_unexplained", 0.35, True), ("spike_sign_flip", 0.30, False), ("monthly_spike", 0.25, False), ("spike_heavy", 0.20, False),
@@ -180,23 +180,27 @@ def _rule_tests() -> dict[str, tuple[Column, Column]]:
     """Per rule: when it fires, and why in words."""
     m = F.coalesce("median_daily", F.lit(0.0))
     cp, cause, spike = F.col("changepoint"), F.col("cause"), F.col("monthly_spike")
-    volume = lambda tail: F.concat(F.lit("median "), F.format_string("%.1f", m), F.lit(" views/day: "), F.lit(tail))
-    level = F.concat(F.lit("level "), cp["direction"], F.lit(" of "), cp["ratio"].cast("string"), F.lit("x at "), F.date_format(cp["month"], "yyyyMM"))
-    part = lambda x, tail: F.concat(round_up_half(x * 100).cast("string"), F.lit(tail))
+    share = lambda x: F.concat(round_up_half(x * 100).cast("string"), F.lit(" %"))
+    facts = lambda **kv: F.concat_ws(", ", *[F.concat(F.lit(k.replace("_", " ") + ": "), v if isinstance(v, Column) else F.lit(v)) for k, v in kv.items()])
+    a_day = lambda limit: facts(median_views_a_day=F.format_string("%.1f", m), wanted=f"at least {limit}")
+    level = facts(
+        new_level=F.concat(cp["direction"], F.lit(" by "), cp["ratio"].cast("string")), from_month=F.date_format(cp["month"], "yyyyMM"),
+        views_a_month=F.concat(cp["before"].cast("string"), F.lit(" before, "), cp["after"].cast("string"), F.lit(" after")), log=F.coalesce(cause, F.lit("not looked up")),
+    )
     return {
-        "no_signal": (m < 1, volume("too little traffic for a trend")),
-        "very_low_volume": ((m >= 1) & (m < 10), volume("a percentage of so little is mostly noise")),
-        "low_volume": ((m >= 10) & (m < 50), volume("single events move the figure")),
-        "changepoint_article_event": (cp.isNotNull() & cause.eqNullSafe("article_event"), F.concat(level, F.lit("; the article was moved or merged then"))),
-        "changepoint_unexplained": (cp.isNotNull() & ~cause.eqNullSafe("article_event"), F.concat(level, F.lit("; the two halves measure different levels"))),
+        "no_signal": (m < 1, a_day(1)),
+        "very_low_volume": ((m >= 1) & (m < 10), a_day(10)),
+        "low_volume": ((m >= 10) & (m < 50), a_day(50)),
+        "changepoint_article_event": (cp.isNotNull() & cause.eqNullSafe("article_event"), level),
+        "changepoint_unexplained": (cp.isNotNull() & ~cause.eqNullSafe("article_event"), level),
         "spike_sign_flip": (
             F.signum("yoy_excl_spikes") != F.signum("yoy_pct"),
-            F.concat(round_half(F.col("yoy_pct"), 1).cast("string"), F.lit("% becomes "), F.col("yoy_excl_spikes").cast("string"), F.lit("% without spike days")),
+            facts(change=F.concat(round_half(F.col("yoy_pct"), 1).cast("string"), F.lit(" %")), change_without_spike_days=F.concat(F.col("yoy_excl_spikes").cast("string"), F.lit(" %"))),
         ),
-        "monthly_spike": (spike.isNotNull(), F.concat(spike["count"].cast("string"), F.lit(" month(s) carry "), part(spike["share_of_views"], "% of all views"))),
-        "spike_heavy": (F.col("spike_share") > 0.2, part(F.col("spike_share"), "% of all views fall on spike days")),
-        "sparse": (F.col("days_missing_share") > 0.1, part(F.col("days_missing_share"), "% of days have no data")),
-        "short_history": (F.col("months_available") < 24, F.concat(F.lit("only "), F.col("months_available").cast("string"), F.lit(" complete months"))),
+        "monthly_spike": (spike.isNotNull(), facts(outstanding_months=spike["count"].cast("string"), their_views=share(spike["share_of_views"]))),
+        "spike_heavy": (F.col("spike_share") > 0.2, facts(views_on_spike_days=share(F.col("spike_share")))),
+        "sparse": (F.col("days_missing_share") > 0.1, facts(days_without_a_count=share(F.col("days_missing_share")))),
+        "short_history": (F.col("months_available") < 24, facts(complete_months=F.col("months_available").cast("string"), wanted="24")),
     }
 
 

@@ -13,7 +13,7 @@ CHECKS = ("ran_a_command", "correct_commands", "required_content", "avoided_wron
 def commands_in(text: Column) -> Column:
     """Command lines of the fenced shell blocks in a text."""
     blocks = F.regexp_extract_all(text, F.lit(r"```(?:bash|sh|shell)?\s*\n([\s\S]*?)```"), F.lit(1))
-    lines = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(b, "\n"), F.trim)))
+    lines = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(b, "\n"), lambda x: F.trim(x))))
     return F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
 
 

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from ..functions.text import STOPWORDS
+from ..functions.text import QUALIFIER, STOPWORDS
+from ..operators.quality import RULES
+
+def _rd(x: str, k: int) -> str:
+    """``x`` to ``k`` decimals: the digits of the exact binary value, rounded as a decimal number."""
+    return f"round(printf('%.25f', ({x})::DOUBLE)::DECIMAL(38, 25), {k})::DOUBLE"
+
 
 # Building blocks, each a chain of common table expressions that uses the ones before.
 _DAILY = """
@@ -29,10 +35,10 @@ _TOTALS = """
 totals AS (
   SELECT project, strptime(ym || '01', '%Y%m%d')::DATE AS month, max(v) AS project_views
   FROM project_totals WHERE v IS NOT NULL AND project IS NOT NULL GROUP BY 1, 2)"""
-_NORMAL = """
+_NORMAL = f"""
 normal AS (
   SELECT n.*, t.project_views,
-         CASE WHEN n.complete AND t.project_views > 0 THEN sign(n.views) * floor(abs(n.views / t.project_views * 1e6) * 10000 + 0.5) / 10000 END AS per_million
+         CASE WHEN n.complete AND t.project_views > 0 THEN {_rd('n.views / t.project_views * 1e6', 4)} END AS per_million
   FROM (SELECT monthly.*, meta.project FROM monthly JOIN meta USING (series_id)) n LEFT JOIN totals t USING (project, month))"""
 _MEDIAN = """
 med90 AS (
@@ -51,19 +57,19 @@ blocks AS (
 compared AS (
   SELECT *, months_available >= 12 AS enough, months_available >= 12 AND gaps = 0 AS known,
          p * 1e6 / nullif(ptot, 0) AS np, r * 1e6 / nullif(rtot, 0) AS nr FROM blocks)"""
-_SPIKES = """
+_SPIKES = f"""
 dz AS (SELECT *, ln(1 + greatest(coalesce(views, 0), 0)::DOUBLE) AS x FROM daily),
 dm AS (SELECT series_id, median(x) AS med, median(coalesce(views, 0)) AS mv, count(*) AS n FROM dz GROUP BY 1),
 da AS (SELECT series_id, median(abs(x - med)) AS mad FROM dz JOIN dm USING (series_id) GROUP BY 1),
 dj AS (SELECT dz.*, dm.mv, dm.n, CASE WHEN mad > 0 THEN 0.6745::DOUBLE * (x - med) / mad END AS z, mad FROM dz JOIN dm USING (series_id) JOIN da USING (series_id)),
 dh AS (SELECT *, CASE WHEN mad > 0 THEN z > 3.5 ELSE mv >= 1 AND coalesce(views, 0) >= greatest(4 * mv, mv + 1) END AS hit FROM dj),
 dc AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY series_id) AS hits FROM dh),
-spikes AS (SELECT series_id, day, views, sign(z) * floor(abs(z) * 10 + 0.5) / 10 AS z FROM dc WHERE hit AND hits <= greatest(5, floor(0.05::DOUBLE * n + 0.5))),
+spikes AS (SELECT series_id, day, views, {_rd('z', 1)} AS z FROM dc WHERE hit AND hits <= greatest(5, floor(0.05::DOUBLE * n + 0.5))),
 shares AS (
-  SELECT a.series_id, coalesce(b.n, 0) AS spike_days, CASE WHEN a.t > 0 THEN sign(coalesce(b.v, 0)) * floor(abs(coalesce(b.v, 0) / a.t) * 1000 + 0.5) / 1000 ELSE 0.0 END AS spike_share
+  SELECT a.series_id, coalesce(b.n, 0) AS spike_days, CASE WHEN a.t > 0 THEN {_rd('coalesce(b.v, 0) / a.t', 3)} ELSE 0.0 END AS spike_share
   FROM (SELECT series_id, coalesce(sum(views), 0) AS t FROM daily GROUP BY 1) a
   LEFT JOIN (SELECT series_id, count(*) AS n, sum(views) AS v FROM spikes GROUP BY 1) b USING (series_id))"""
-_SPLIT = """
+_SPLIT = f"""
 cm AS (
   SELECT series_id, month, views, ln(1 + greatest(views, 0)::DOUBLE) AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY series_id) AS n
   FROM monthly WHERE complete WINDOW w AS (PARTITION BY series_id ORDER BY month)),
@@ -79,19 +85,19 @@ parts AS (
   SELECT series_id, k, d, n, vs, ms, list_aggregate(xs[greatest(1, k - 2):k], 'median') AS b, list_aggregate(xs[k + 1:k + 3], 'median') AS a,
          list_aggregate(xs[1:3], 'median') - list_aggregate(xs[n - 2:n], 'median') AS total FROM split JOIN lists USING (series_id)),
 breaks AS (
-  SELECT series_id, ms[k + 1] AS month, CASE WHEN b - a > 0 THEN 'drop' ELSE 'rise' END AS direction, floor(exp(abs(b - a)) * 10 + 0.5) / 10 AS ratio,
-         floor(((b - a) / total) * 100 + 0.5) / 100 AS share_of_total_change, floor(exp(b) - 1 + 0.5)::BIGINT AS before, floor(exp(a) - 1 + 0.5)::BIGINT AS after
+  SELECT series_id, ms[k + 1] AS month, CASE WHEN b - a > 0 THEN 'drop' ELSE 'rise' END AS direction, {_rd('exp(abs(b - a))', 1)} AS ratio,
+         {_rd('(b - a) / total', 2)} AS share_of_total_change, floor(exp(b) - 1 + 0.5)::BIGINT AS before, floor(exp(a) - 1 + 0.5)::BIGINT AS after
   FROM parts WHERE list_max(vs) >= 100 AND total <> 0 AND (b - a) / total >= 0.6 AND exp(abs(b - a)) >= 1.8
     AND CASE WHEN b - a > 0 THEN list_max(vs[k + 1:n]) < list_min(vs[1:k]) ELSE list_min(vs[k + 1:n]) > list_max(vs[1:k]) END)"""
-_MSPIKE = """
+_MSPIKE = f"""
 mm AS (SELECT series_id, median(x) AS med, median(views) AS mv, count(*) AS n, sum(views) AS t FROM cm GROUP BY 1),
 ma AS (SELECT series_id, median(abs(x - med)) AS mad FROM cm JOIN mm USING (series_id) GROUP BY 1),
 mz AS (
-  SELECT cm.series_id, cm.month, cm.views, sign(q) * floor(abs(q) * 10 + 0.5) / 10 AS z, mv, t
+  SELECT cm.series_id, cm.month, cm.views, {_rd('q', 1)} AS z, mv, t
   FROM (SELECT cm.*, mm.mv, mm.t, 0.6745::DOUBLE * (x - med) / mad AS q FROM cm JOIN mm USING (series_id) JOIN ma USING (series_id) WHERE mm.n >= 6 AND mad > 0) cm),
 mspikes AS (
   SELECT series_id, string_agg(strftime(month, '%Y%m'), ',' ORDER BY month) AS months, count(*)::INT AS n,
-         coalesce(sign(sum(views) / nullif(max(t), 0)) * floor(abs(sum(views) / nullif(max(t), 0)) * 1000 + 0.5) / 1000, 0.0) AS share
+         coalesce({_rd('sum(views) / nullif(max(t), 0)', 3)}, 0.0) AS share
   FROM mz WHERE z > 3.5 OR (mv > 0 AND views >= 4 * mv) GROUP BY 1 HAVING count(*) <= 3)"""
 
 
@@ -105,7 +111,7 @@ sf AS (SELECT series_id, median(v) AS fill FROM sa WHERE NOT hit GROUP BY 1),
 ss AS (
   SELECT series_id, sum(CASE WHEN hit THEN fill ELSE v END) FILTER (rn <= {n}) AS r, sum(CASE WHEN hit THEN fill ELSE v END) FILTER (rn BETWEEN {n + 1} AND {2 * n}) AS p
   FROM sa JOIN sf USING (series_id) WHERE hits > 0 AND n >= {2 * n} GROUP BY 1),
-sensitive AS (SELECT series_id, CASE WHEN p > 0 THEN sign((r / p - 1) * 100) * floor(abs((r / p - 1) * 100) * 10 + 0.5) / 10 END AS yoy_excl_spikes FROM ss)"""
+sensitive AS (SELECT series_id, CASE WHEN p > 0 THEN {_rd('(r / p - 1) * 100', 1)} END AS yoy_excl_spikes FROM ss)"""
 
 
 _EVIDENCE = """
@@ -119,6 +125,11 @@ re AS (
 evidence AS (
   SELECT b.series_id, b.month, CASE WHEN le.events > 0 THEN 'article_event' WHEN re.edits > 0 THEN 'edits_only' ELSE 'no_activity' END AS cause,
          coalesce(le.events, 0) AS events, coalesce(le.kinds, '') AS kinds FROM breaks b LEFT JOIN le USING (series_id) LEFT JOIN re USING (series_id))"""
+_FIRES = {
+    "no_signal": "med < 1", "very_low_volume": "med >= 1 AND med < 10", "low_volume": "med >= 10 AND med < 50", "monthly_spike": "ms IS NOT NULL", "spike_heavy": "spike_share > 0.2",
+    "changepoint_article_event": "cp IS NOT NULL AND cause IS NOT DISTINCT FROM 'article_event'", "changepoint_unexplained": "cp IS NOT NULL AND cause IS DISTINCT FROM 'article_event'",
+    "spike_sign_flip": "sign(ex) <> sign(yoy)", "sparse": "missing > 0.1", "short_history": "months < 24",
+}
 _RATED = """
 signals AS (
   SELECT d.series_id, d.share AS missing, coalesce(m.median_daily, 0) AS med, s.spike_share, sensitive.yoy_excl_spikes AS ex, lists.n AS months, b.month AS cp, e.cause,
@@ -127,19 +138,9 @@ signals AS (
   LEFT JOIN sensitive USING (series_id) LEFT JOIN (SELECT series_id, count(*) FILTER (complete) AS n FROM normal GROUP BY 1) lists USING (series_id) LEFT JOIN breaks b USING (series_id)
   LEFT JOIN evidence e USING (series_id) LEFT JOIN mspikes ms USING (series_id) LEFT JOIN compared c USING (series_id)),
 fired AS (
-  SELECT series_id, list_filter([
-    CASE WHEN med < 1 THEN {'id': 'no_signal', 'c': 0.5::DOUBLE, 'q': true} END,
-    CASE WHEN med >= 1 AND med < 10 THEN {'id': 'very_low_volume', 'c': 0.35::DOUBLE, 'q': false} END,
-    CASE WHEN med >= 10 AND med < 50 THEN {'id': 'low_volume', 'c': 0.15::DOUBLE, 'q': false} END,
-    CASE WHEN cp IS NOT NULL AND cause IS NOT DISTINCT FROM 'article_event' THEN {'id': 'changepoint_article_event', 'c': 0.35::DOUBLE, 'q': true} END,
-    CASE WHEN cp IS NOT NULL AND cause IS DISTINCT FROM 'article_event' THEN {'id': 'changepoint_unexplained', 'c': 0.35::DOUBLE, 'q': true} END,
-    CASE WHEN sign(ex) <> sign(yoy) THEN {'id': 'spike_sign_flip', 'c': 0.3::DOUBLE, 'q': false} END,
-    CASE WHEN ms IS NOT NULL THEN {'id': 'monthly_spike', 'c': 0.25::DOUBLE, 'q': false} END,
-    CASE WHEN spike_share > 0.2 THEN {'id': 'spike_heavy', 'c': 0.2::DOUBLE, 'q': false} END,
-    CASE WHEN missing > 0.1 THEN {'id': 'sparse', 'c': 0.15::DOUBLE, 'q': false} END,
-    CASE WHEN months < 24 THEN {'id': 'short_history', 'c': 0.2::DOUBLE, 'q': false} END], lambda r: r IS NOT NULL) AS rules FROM signals),
+  SELECT series_id, list_filter([""" + ", ".join(f"CASE WHEN {_FIRES[r]} THEN {{'id': '{r}', 'c': {c}::DOUBLE, 'q': {str(q).lower()}}} END" for r, c, q in RULES) + """], lambda r: r IS NOT NULL) AS rules FROM signals),
 scored AS (
-  SELECT series_id, rules, floor(greatest(0.0, 1.0 - coalesce(list_sum(list_transform(rules, lambda r: r.c)), 0.0)) * 100 + 0.5) / 100 AS score,
+  SELECT series_id, rules, """ + _rd("greatest(0.0, list_reduce(list_prepend(1.0::DOUBLE, list_transform(rules, lambda r: r.c)), lambda x, y: x - y))", 2) + """ AS score,
          coalesce(list_bool_or(list_transform(rules, lambda r: r.q)), false) AS out FROM fired),
 rated AS (
   SELECT series_id, CASE WHEN out THEN 'low' WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS confidence, score,
@@ -160,7 +161,7 @@ def _r6(x: str) -> str:
 
 _WORDS = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TOKENS = r"list_filter(string_split(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) >= 2 AND NOT list_contains([{w}], w))"
-_BARE = r"trim(regexp_replace({c}, '(?i)\s*\([^()]*\)\s*$|\s*,?\s*(?:inc|inc\.|ltd|ltd\.|llc|plc|corp|corp\.|corporation|company|gmbh|s\.a\.)\s*$', ''))"
+_BARE = "trim(regexp_replace({c}, '" + QUALIFIER.replace("{", "{{").replace("}", "}}") + "', ''))"
 _NUM = r"list_transform(regexp_extract_all(text, '-?[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')::DOUBLE)"
 
 ORACLES = {
@@ -236,13 +237,13 @@ FROM (SELECT DISTINCT ON (result_id, results_file, scenario) * FROM eval_results
     "eval_checks": "SELECT lower(trim(model)) AS model, " + ", ".join(f"count(*) FILTER (checks.{c}) AS {c}" for c in ("ran_a_command", "correct_commands", "required_content", "avoided_wrong_claims", "numbers_traceable", "topic_extracted"))
     + " FROM (SELECT DISTINCT ON (result_id, results_file, scenario) * FROM eval_results) GROUP BY 1",
     "abbrev_numbers": "SELECT project, ym, " + ", ".join(
-        f"""CASE WHEN {x} < 1000 THEN {x}::VARCHAR WHEN {x} < 9950 THEN printf('%.1fk', floor({x} / 1000.0 * 10 + 0.5) / 10) WHEN {x} < 999500 THEN floor({x} / 1000.0 + 0.5)::BIGINT || 'k'
-ELSE printf('%.1fM', floor({x} / 1e6 * 10 + 0.5) / 10) END AS {n}""" for x, n in (("v", "short"), ("(v // 1000)", "thousandth"))) + " FROM (SELECT DISTINCT project, ym, v FROM project_totals WHERE v IS NOT NULL)",
+        f"""CASE WHEN {x} < 1000 THEN {x}::VARCHAR WHEN {x} < 9950 THEN printf('%.1fk', {_rd(f'{x} / 1000.0::DOUBLE', 1)}) WHEN {x} < 999500 THEN floor({x} / 1000.0 + 0.5)::BIGINT || 'k'
+ELSE printf('%.1fM', {_rd(f'{x} / 1e6', 1)}) END AS {n}""" for x, n in (("v", "short"), ("(v // 1000)", "thousandth"))) + " FROM (SELECT DISTINCT project, ym, v FROM project_totals WHERE v IS NOT NULL)",
     "date_scalars": """SELECT DISTINCT strftime(o, '%Y%m%d') AS d, strftime(o + INTERVAL 45 DAY, '%Y%m%d') AS plus45, strftime(o + INTERVAL 1 MONTH, '%Y%m%d') AS plus_month, strftime(o - INTERVAL 12 MONTH, '%Y%m%d') AS year_before,
 strftime(date_trunc('month', o), '%Y%m%d') AS month_start, strftime(last_day(o), '%Y%m%d') AS month_end, day(last_day(o))::INT AS days, strftime(o, '%m.%y') AS label,
 'Q' || quarter(o) || ' ' || strftime(o, '%y') AS quarter FROM (SELECT o_orderdate::DATE AS o FROM orders)""",
     "math_scalars": f"""SELECT l_orderkey, l_linenumber, {_r6('ln(1 + x)')} AS damped, CASE WHEN x > 0 THEN ceil(x / pow(10.0, floor(log10(x)))) * pow(10.0, floor(log10(x))) ELSE 1.0 END AS ceiling,
-floor(x / 1000 * 10 + 0.5) / 10 AS tenths, floor(x + 0.5)::BIGINT AS whole, sign(c) * floor(abs(c) * 10000 + 0.5) / 10000 AS change
+{_rd('x / 1000', 1)} AS tenths, {_rd('x / 8', 2)} AS eighths, {_rd('l_quantity::DOUBLE * 0.05::DOUBLE', 1)} AS twentieths, floor(x + 0.5)::BIGINT AS whole, sign(c) * floor(abs(c) * 10000 + 0.5) / 10000 AS change
 FROM (SELECT *, (x * (1 - l_discount::DOUBLE) / x - 1) * 100 AS c FROM (SELECT *, l_extendedprice::DOUBLE AS x FROM lineitem))""",
     "json_scalars": "SELECT event_id, substr(sha1(props), 1, 16) AS key, len(json_keys(props))::INT AS fields FROM events",
     "request_keys": "SELECT DISTINCT series_id, substr(sha1(lower(access)), 1, 16) AS key, replace(agent, '-', '_') || 'wiki' AS site, agent || '.wikipedia' AS project FROM series_meta",
@@ -256,6 +257,9 @@ FROM (SELECT o_orderpriority, o_orderdate::DATE AS day, count(*) AS n FROM order
     "market_share_by_region": """SELECT r_name, strftime(month, '%Y%m') AS ym, orders, floor(orders / sum(orders) OVER (PARTITION BY month) * 1e6 * 1000 + 0.5) / 1000 AS per_million FROM (
 SELECT r_name, date_trunc('month', o_orderdate) AS month, count(*) AS orders FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2)""",
+    "sentence_counts": r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.!?;:])\s+', '\1' || chr(30), 'g'), '\n+', chr(30), 'g'),
+  '(^|\s)[-*•]\s+', chr(30), 'g'), chr(30)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(s)::INT AS sentences, length(array_to_string(s, ''))::INT AS letters FROM s""",
     "untraceable_figures": _with(_TOTALS) + r"""
 , t AS (SELECT DISTINCT project, floor(project_views / 1000000)::DOUBLE AS s FROM totals),
 f AS (SELECT DISTINCT doc_id, project, unnest(regexp_extract_all(text, '-?[0-9][0-9,]*(?:\.[0-9]+)?')) AS figure FROM documents WHERE project IN (SELECT project FROM t)),

@@ -20,7 +20,7 @@ AS_OF = date(2025, 8, 1)
 
 
 def _r(c: str | Column, k: int = 6) -> Column:
-    return rounding.round_half(F.col(c) if isinstance(c, str) else c, k)
+    return rounding.round_near(F.col(c) if isinstance(c, str) else c, k)
 
 
 def _ym(c: str) -> Column:
@@ -326,7 +326,7 @@ def math_scalars(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("l_extendedprice").cast("double")
     return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", _r(rounding.damped(x)).alias("damped"), _r(rounding.nice_ceiling(x), 2).alias("ceiling"),
-        rounding.round_half(x / 1000, 1).alias("tenths"), rounding.round_up_half(x).alias("whole"), _r(rounding.percent_change(x, x * (1 - F.col("l_discount").cast("double"))), 4).alias("change"),
+        rounding.round_half(x / 1000, 1).alias("tenths"), rounding.round_half(x / 8, 2).alias("eighths"), rounding.round_half(F.col("l_quantity").cast("double") * 0.05, 1).alias("twentieths"), rounding.round_up_half(x).alias("whole"), _r(rounding.percent_change(x, x * (1 - F.col("l_discount").cast("double"))), 4).alias("change"),
     )
 
 

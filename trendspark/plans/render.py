@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from html import escape
 import math
 import unicodedata
@@ -10,31 +12,40 @@ from ..functions.rounding import fixed
 
 COLOURS = ("#1b6ca8", "#d1495b", "#3b8e5a", "#e0962f", "#7a5aa6", "#4a4a4a", "#1aa39a", "#a8577e")
 
-FIXED_LIMITS = (
-    "Views measure curiosity, not demand.",
-    "Figures are per language edition; one edition serves many countries.",
-    "Shares divide by all views of the edition, which makes editions comparable.",
-    "Automated traffic is excluded.",
+@dataclass(frozen=True)
+class Facts:
+    """What the notes of a report depend on."""
+
+    topic: str
+    rows: int
+    senses: tuple[str, ...]
+    gap_days: int
+    broader: int
+    unmeasured: int
+    below_high: int
+
+
+#: Notes for a report's reader: on what they depend, and what they say. The first are told whatever the result.
+NOTES: tuple[tuple[Callable[[Facts], bool], Callable[[Facts], str]], ...] = (
+    (lambda f: bool(f.senses), lambda f: f"Other articles bear the name {f.topic}, among them {', '.join(f.senses)}: check that the one measured is meant."),
+    (lambda f: True, lambda f: "Counted are pages opened by people. Opening a page shows interest in reading, and nothing beyond it."),
+    (lambda f: True, lambda f: "A row is a language, wherever its readers live; no row is a country."),
+    (lambda f: True, lambda f: "Per million: of a million pages opened in the edition in the same months. Compare editions by this figure."),
+    (lambda f: f.below_high > 0, lambda f: f"{f.below_high} of {f.rows} rows have a rating below high. Build nothing on a row rated low."),
+    (lambda f: f.unmeasured > 0, lambda f: f"{f.unmeasured} of the editions asked for could not be measured. That an article is absent says nothing about its readers."),
+    (lambda f: f.broader > 0, lambda f: f"{f.broader} edition(s) treat the topic inside a wider article; the row measures that article."),
+    (lambda f: f.gap_days > 0, lambda f: f"A series lacks the counts of up to {f.gap_days} days; in sums these are nothing."),
+    (lambda f: True, lambda f: "Ratings follow rules of fixed cost: equal figures have equal ratings."),
 )
-CLOSING_LIMIT = "Confidence is computed by a fixed rubric over the series, not judged."
 
 
 def limitations(rows: list[dict], unresolved: int = 0, senses: list[str] | None = None, topic: str = "") -> list[str]:
-    """What a reader must know, derived from the result rows; an ambiguous topic comes first."""
-    out = list(FIXED_LIMITS)
-    if senses:
-        out.insert(0, f'"{topic}" is not a unique name; there is also {", ".join(senses)}.')
-    worst = max((r.get("window_days_missing") or 0 for r in rows), default=0)
-    if worst:
-        out.append(f"Some days have no data (up to {worst} of a series); they count as zero.")
-    if any(r.get("status") == "measures_broader_topic" for r in rows):
-        out.append("At least one edition measures a broader article.")
-    if unresolved:
-        out.append(f"{unresolved} requested edition(s) could not be measured; a missing article is a gap, not zero interest.")
-    flagged = [r for r in rows if r.get("confidence") not in (None, "high")]
-    if flagged:
-        out.append(f"{len(flagged)} of {len(rows)} rows are not rated high; a low row is no finding.")
-    return [*out, CLOSING_LIMIT]
+    """The notes that hold for the result rows."""
+    facts = Facts(
+        topic, len(rows), tuple(senses or ()), max((r.get("window_days_missing") or 0 for r in rows), default=0), sum(r.get("status") == "measures_broader_topic" for r in rows),
+        unresolved, sum(r.get("confidence") not in (None, "high") for r in rows),
+    )
+    return [say(facts) for holds, say in NOTES if holds(facts)]
 
 
 def width(s: str) -> int:
@@ -43,14 +54,16 @@ def width(s: str) -> int:
 
 
 def clip(s: str, n: int) -> str:
+    """A text in at most ``n`` columns; what is cut ends with an ellipsis."""
     if width(s) <= n:
         return s
-    out = ""
+    out, taken = [], 0
     for c in s:
-        if width(out + c) > n - 1:
+        taken += width(c)
+        if taken > n - 1:
             break
-        out += c
-    return out + "…"
+        out.append(c)
+    return "".join(out) + "…"
 
 
 def padded(s: str, n: int) -> str:
