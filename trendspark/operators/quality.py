@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.rounding import array_median, damped, let, percent_change, round_half, round_up_half
-from .series import BY
+from ..functions.rounding import array_median, damped, let, percent_change, round_half, round_near, round_up_half
+from .series import BY, comparison_columns, comparison_sums, normalized
 
 #: Robust z from which a value is a spike, and the factor that relates deviation and standard deviation.
 Z_LIMIT, Z_SCALE = 3.5, 0.6745
@@ -30,17 +30,22 @@ def robust_z(daily: DataFrame) -> DataFrame:
     return rows.withColumn("z", F.when(F.col("mad") > 0, Z_SCALE * (F.col("x") - F.col("med")) / F.col("mad")))
 
 
-def detect_spikes(daily: DataFrame) -> DataFrame:
-    """``(series_id, day, views, z)`` of spike days; none for a series that is scattered rather than spiky."""
+def marked_spikes(daily: DataFrame) -> DataFrame:
+    """``daily`` with ``z`` and ``spike``, whether the day is one; no day is in a series that is scattered rather than spiky."""
     whole = W.partitionBy(BY)
     filled = F.coalesce("views", F.lit(0))
     rows = robust_z(daily).withColumns({"_m": F.median(filled).over(whole), "_n": F.count("*").over(whole)})
     level = F.col("_m") >= 1
     equal = level & (filled >= F.greatest(MIN_RATIO * F.col("_m"), F.col("_m") + 1))
-    rows = rows.withColumn("_hit", F.when(F.col("mad") > 0, F.col("z") > Z_LIMIT).otherwise(equal))
+    rows = rows.withColumn("_hit", F.coalesce(F.when(F.col("mad") > 0, F.col("z") > Z_LIMIT).otherwise(equal), F.lit(False)))
     rows = rows.withColumn("_hits", F.count_if("_hit").over(whole))
     most = F.greatest(F.lit(MOST_HITS), round_up_half(MOST_SHARE * F.col("_n")))
-    return rows.where(F.col("_hit") & (F.col("_hits") <= most)).select(BY, "day", "views", round_half(F.col("z"), 1).alias("z"))
+    return rows.withColumn("spike", F.col("_hit") & (F.col("_hits") <= most)).drop("_m", "_n", "_hit", "_hits", "x", "med", "mad")
+
+
+def detect_spikes(daily: DataFrame) -> DataFrame:
+    """``(series_id, day, views, z)`` of spike days; none for a series that is scattered rather than spiky."""
+    return marked_spikes(daily).where("spike").select(BY, "day", "views", round_half(F.col("z"), 1).alias("z"))
 
 
 def spike_summary(daily: DataFrame, spikes: DataFrame) -> DataFrame:
@@ -52,27 +57,32 @@ def spike_summary(daily: DataFrame, spikes: DataFrame) -> DataFrame:
 
 
 def complete_months(monthly: DataFrame) -> DataFrame:
-    """One row per series: ``months``, the complete ones in order as ``array<struct<month,views>>`` (may be empty)."""
-    rows = F.collect_list(F.when(F.col("complete"), F.struct("month", "views")))
-    return monthly.groupBy(BY).agg(F.array_sort(rows).alias("months"))
+    """One row per series: ``months``, the complete ones in order as ``array<struct<month,views>>`` (may be empty), and ``split``."""
+    return with_split(monthly).groupBy(BY).agg(_months(), F.min("split").alias("split"))
 
 
-def _mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+def _months() -> Column:
+    return F.array_sort(F.collect_list(F.when(F.col("complete"), F.struct("month", "views")))).alias("months")
 
 
-def best_split(logs: Column) -> Column:
-    """``struct<d,o,k>``: the split k (values before it) with the largest difference of the two means, the first of equals."""
+def with_split(monthly: DataFrame) -> DataFrame:
+    """``monthly`` with ``split`` (months before it) and ``difference``: where the means of the damped views of the complete months
+    before and from there differ most, the first of equals; null for series with too few. Running means: one pass."""
+    by = W.partitionBy(BY, "complete")
+    upto = by.orderBy("month").rowsBetween(W.unboundedPreceding, -1)
+    fro = by.orderBy("month").rowsBetween(W.currentRow, W.unboundedFollowing)
+    x = damped(F.col("views"))
+    rows = monthly.withColumns({"_k": F.row_number().over(by.orderBy("month")) - 1, "_all": F.count("*").over(by), "_b": F.avg(x).over(upto), "_a": F.avg(x).over(fro)})
+    can = F.col("complete") & (F.col("_all") >= 2 * MIN_SIDE + 2) & F.col("_k").between(MIN_SIDE, F.col("_all") - MIN_SIDE)
+    rows = rows.withColumn("_d", F.when(can, round_near(F.abs(F.col("_b") - F.col("_a")), 10)))
+    series = W.partitionBy(BY)
+    rows = rows.withColumn("difference", F.max("_d").over(series))
+    return rows.withColumn("split", F.min(F.when(F.col("_d") == F.col("difference"), F.col("_k"))).over(series)).drop("_k", "_all", "_b", "_a", "_d")
 
-    def of(x: Column) -> Column:
-        n = F.size(x)
-        each = F.transform(
-            F.sequence(F.lit(MIN_SIDE), n - MIN_SIDE),
-            lambda k: F.struct(F.abs(_mean(F.slice(x, F.lit(1), k)) - _mean(F.slice(x, k + 1, n - k))).alias("d"), (-k).alias("o"), k.alias("k")),
-        )
-        return F.when(n >= 2 * MIN_SIDE + 2, F.array_max(each))
 
-    return let(logs, of)
+def best_splits(monthly: DataFrame) -> DataFrame:
+    """``(series_id, k, difference)`` of the series that have a split."""
+    return with_split(monthly).where("split is not null").groupBy(BY).agg(F.min("split").alias("k"), F.max("difference").alias("difference"))
 
 
 def changepoints(months: DataFrame) -> DataFrame:
@@ -107,7 +117,7 @@ def changepoints(months: DataFrame) -> DataFrame:
         return F.when(k.isNotNull(), let(before, lambda b: let(after, lambda a: judged(x, k, b, a))))
 
     logs = F.transform("months", lambda m: damped(m["views"]))
-    return months.withColumn("changepoint", let(logs, lambda x: let(best_split(x)["k"], lambda k: at_split(x, k))))
+    return months.withColumn("changepoint", let(logs, lambda x: at_split(x, F.col("split"))))
 
 
 def monthly_spikes(months: DataFrame) -> DataFrame:
@@ -220,16 +230,58 @@ def assess(signals: DataFrame) -> DataFrame:
     return rows.withColumns({"confidence": label, "reasons": reasons}).drop("_r")
 
 
-def signals(daily: DataFrame, monthly: DataFrame, comparison: DataFrame, median: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
-    """All signals of every series of ``daily``, one row each. ``evidence``: :func:`break_evidence`, joined before the rubric."""
-    spikes = detect_spikes(daily)
-    months = monthly_spikes(changepoints(complete_months(monthly)))
-    missing = daily.groupBy(BY).agg((F.count_if(F.col("views").isNull()) / F.count("*")).alias("days_missing_share"))
-    rows = (
-        missing.join(median, BY, "left").join(spike_summary(daily, spikes), BY, "left").join(change_without_spikes(daily, spikes), BY, "left")
-        .join(months.select(BY, F.size("months").alias("months_available"), "changepoint", "monthly_spike"), BY, "left")
-        .join(comparison.select(BY, F.col("raw.yoy_pct").alias("yoy_pct")), BY, "left")
+def profile(daily: DataFrame, totals: DataFrame, n: int, days: int = 90, half: int = 365) -> DataFrame:
+    """All signals of every series of ``daily`` ``(series_id, project, day, views)``, one row each: the shares and counts of days, the median of
+    the latest ``days``, spikes, what is left of the change over ``half`` days without them, breaks, outstanding months, the
+    comparison of the latest ``n`` months with those before, and all ``monthly`` figures in order.
+
+    One pass over the days: windows and both aggregations run on one partitioning by series, nothing is joined but the
+    totals, a row per edition and month. A series is bounded by the calendar.
+    """
+    whole = W.partitionBy(BY)
+    v = F.coalesce("views", F.lit(0))
+    rows = marked_spikes(daily).withColumns({
+        "_rn": F.row_number().over(whole.orderBy(F.desc("day"))), "_fill": F.median(F.when(~F.col("spike"), v)).over(whole),
+        "_n": F.count("*").over(whole), "_s": F.count_if("spike").over(whole),
+    })
+    value = F.when(F.col("spike"), F.col("_fill")).otherwise(v)
+    rows = rows.withColumn("month", F.trunc("day", "month").cast("date"))
+    monthly = rows.groupBy(BY, "month").agg(
+        F.first("project").alias("project"), F.coalesce(F.sum("views"), F.lit(0)).alias("views"), F.count("*").alias("days_present"), F.count_if(F.col("views").isNull()).alias("days_missing"),
+        F.count_if(F.col("views") == 0).alias("days_zero"), F.collect_list(F.when(F.col("_rn") <= days, v)).alias("_last"), F.count_if("spike").alias("_spikes"),
+        F.coalesce(F.sum(F.when(F.col("spike"), F.col("views"))), F.lit(0)).alias("_spike_views"), F.sum(F.when(F.col("_rn") <= half, value)).alias("_late"),
+        F.sum(F.when((F.col("_rn") > half) & (F.col("_rn") <= 2 * half), value)).alias("_early"), F.first((F.col("_s") > 0) & (F.col("_n") >= 2 * half) & F.col("_fill").isNotNull()).alias("_told"),
+    ).withColumn("complete", F.col("days_present") == F.day(F.last_day("month")))
+    monthly, sums = comparison_sums(with_split(normalized(monthly, totals)), n)
+    g = monthly.groupBy(BY).agg(
+        F.first("project").alias("project"), *sums, _months(), F.min("split").alias("split"), F.sum("days_present").alias("_days"), F.sum("days_missing").alias("window_days_missing"),
+        F.sum("days_zero").alias("window_days_zero"), F.flatten(F.collect_list("_last")).alias("_last"), F.sum("views").alias("_t"), F.sum("_spikes").alias("spike_days"), F.sum("_spike_views").alias("_sv"),
+        F.sum("_late").alias("_l"), F.sum("_early").alias("_e"), F.first("_told").alias("_told"),
+        F.array_sort(F.collect_list(F.struct("month", "views", "complete", "project_views", "per_million", "days_missing"))).alias("monthly"),
+    )
+    share = F.when(F.col("_t") > 0, round_half(F.col("_sv") / F.col("_t"), 3)).otherwise(0.0)
+    out = monthly_spikes(changepoints(g)).select(
+        BY, "project", *[c for c in comparison_columns(n)], array_median(F.col("_last")).cast("double").alias("median_daily"), "spike_days", share.alias("spike_share"),
+        F.when(F.col("_told"), round_half(percent_change(F.col("_e"), F.col("_l")), 1)).alias("yoy_excl_spikes"),
+        (F.col("window_days_missing") / F.col("_days")).alias("days_missing_share"), "window_days_missing", "window_days_zero", "changepoint", "monthly_spike", "monthly",
+    )
+    return out.withColumn("yoy_pct", F.col("raw.yoy_pct"))
+
+
+def with_evidence(profiles: DataFrame, log: DataFrame | None, revisions: DataFrame | None) -> DataFrame:
+    """``profiles`` with ``cause``, ``events`` and ``kinds`` of each series' break as in :func:`break_evidence`; null without a break or
+    without tables to look into. Log and revisions are joined to the profiles, not the profiles to themselves."""
+    if log is None or revisions is None:
+        return profiles.withColumns({"cause": F.lit(None).cast("string"), "events": F.lit(None).cast("bigint"), "kinds": F.lit(None).cast("string")})
+    seen = log.select(F.col(BY).alias("_s"), "ts", "kind", F.lit(True).alias("_log")).unionByName(
+        revisions.select(F.col(BY).alias("_s"), F.date_trunc("hour", "ts").alias("_h"), "ts").groupBy("_s", "_h").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+        .select("_s", F.explode(F.array("a", "b")).alias("ts")).select("_s", "ts", F.lit(None).cast("string").alias("kind"), F.lit(False).alias("_log"))
     )
-    if evidence is None:
-        return rows.withColumn("cause", F.lit(None).cast("string"))
-    return rows.join(evidence.select(BY, "cause"), BY, "left")
+    month = F.col("changepoint.month")
+    near = (F.col("_s") == F.col(BY)) & (F.col("ts") >= F.add_months(month, -2).cast("timestamp")) & (F.col("ts") < F.add_months(month, 2).cast("timestamp"))
+    joined = profiles.join(seen, near, "left")
+    kinds = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("_log"), F.struct("ts", "kind")))), lambda e: e["kind"])), ", ")
+    g = joined.groupBy(BY).agg(F.first(F.struct(*[c for c in profiles.columns if c != BY])).alias("_p"), F.count_if("_log").alias("events"), F.count_if(~F.col("_log")).alias("_edits"), kinds.alias("kinds"))
+    broke = F.col("_p.changepoint").isNotNull()
+    cause = F.when(F.col("events") > 0, "article_event").when(F.col("_edits") > 0, "edits_only").otherwise("no_activity")
+    return g.select(BY, "_p.*", F.when(broke, cause).alias("cause"), F.when(broke, F.col("events")).alias("events"), F.when(broke, F.col("kinds")).alias("kinds"))

@@ -12,8 +12,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.dates import days_in_month, month_of
-from ..functions.rounding import array_median, percent_change, round_half
+from ..functions.rounding import percent_change, round_half
 from ..functions.text import sparkline
+from ..sources.tables import edition_of
 
 BY = "series_id"
 
@@ -48,7 +49,7 @@ def monthly_rollup(daily: DataFrame) -> DataFrame:
 def month_totals(totals: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
     """``(project, month, project_views)`` of ``(project, ym, v)``: repeated rows once, nulls left out, months from that of
     ``start`` to that of ``end``."""
-    rows = totals.where("project is not null and v is not null").select("project", F.concat("ym", F.lit("01")).alias("m"), "v")
+    rows = totals.where("project is not null and v is not null").select(edition_of(F.col("project")).alias("project"), F.concat("ym", F.lit("01")).alias("m"), "v")
     rows = rows.select("project", F.try_to_date("m", "yyyyMMdd").alias("month"), "v").where("month is not null")
     if start is not None:
         rows = rows.where(F.col("month") >= F.lit(start.replace(day=1)))
@@ -86,13 +87,19 @@ def compare_blocks(monthly: DataFrame, n: int = 12) -> DataFrame:
     withheld (``unavailable``) as soon as one month of either block lacks a positive total. A series with fewer than
     ``2n`` complete months has ``insufficient_history`` and no figures.
     """
+    rows, sums = comparison_sums(monthly, n)
+    return rows.groupBy(BY).agg(*sums).select(BY, *comparison_columns(n))
+
+
+def comparison_sums(monthly: DataFrame, n: int) -> tuple[DataFrame, list[Column]]:
+    """``monthly`` with the complete months numbered from the latest, and what a comparison needs of each series' rows."""
     complete = F.col("complete")
     rn = F.row_number().over(W.partitionBy(BY).orderBy(F.desc_nulls_last(F.when(complete, F.col("month")))))
     rows = monthly.withColumn("_rn", F.when(complete, rn))
     recent, prior = F.col("_rn") <= n, (F.col("_rn") > n) & (F.col("_rn") <= 2 * n)
     used = recent | prior
     total = lambda c, block: F.sum(F.when(block, F.col(c)))
-    g = rows.groupBy(BY).agg(
+    return rows, [
         F.count_if(complete).alias("months_available"),
         F.min(F.when(prior, F.col("month"))).alias("prior_from"), F.max(F.when(prior, F.col("month"))).alias("prior_to"),
         F.min(F.when(recent, F.col("month"))).alias("recent_from"), F.max(F.when(recent, F.col("month"))).alias("recent_to"),
@@ -100,13 +107,17 @@ def compare_blocks(monthly: DataFrame, n: int = 12) -> DataFrame:
         total("views", prior).alias("_p"), total("views", recent).alias("_r"),
         total("project_views", prior).alias("_pt"), total("project_views", recent).alias("_rt"),
         F.count_if(used & ~F.coalesce(F.col("project_views") > 0, F.lit(False))).alias("_gaps"),
-    )
+    ]
+
+
+def comparison_columns(n: int) -> list[Column]:
+    """The comparison of a series from :func:`comparison_sums`."""
     enough = F.col("months_available") >= 2 * n
     known = enough & (F.col("_gaps") == 0)
     a, b = F.try_divide(F.col("_p") * 1e6, F.col("_pt")), F.try_divide(F.col("_r") * 1e6, F.col("_rt"))
     keep = lambda c: F.when(enough, F.col(c)).alias(c)
-    return g.select(
-        BY, (~enough).alias("insufficient_history"), "months_available", F.lit(2 * n).alias("months_required"),
+    return [
+        (~enough).alias("insufficient_history"), F.col("months_available"), F.lit(2 * n).alias("months_required"),
         *[keep(c) for c in ("prior_from", "prior_to", "recent_from", "recent_to", "days_missing")],
         F.when(enough, F.struct(F.col("_p").alias("prior"), F.col("_r").alias("recent"), percent_change(F.col("_p"), F.col("_r")).alias("yoy_pct"))).alias("raw"),
         F.when(
@@ -116,7 +127,7 @@ def compare_blocks(monthly: DataFrame, n: int = 12) -> DataFrame:
                 (~known).alias("unavailable"), F.when(~known, "edition totals missing for part of the window").alias("reason"),
             ),
         ).alias("normalized"),
-    )
+    ]
 
 
 def median_daily(daily: DataFrame, days: int = 90) -> DataFrame:
@@ -136,9 +147,11 @@ def index_to_100(monthly: DataFrame) -> DataFrame:
 def period_matrix(monthly: DataFrame, group: str, most_months: int = 66) -> DataFrame:
     """``(period, <group>, views)`` of complete months: by month, or by quarter where there are more than ``most_months``."""
     rows = monthly.where("complete")
-    quarters = rows.select("month").distinct().count() > most_months
-    period = F.trunc("month", "quarter") if quarters else F.col("month")
-    return rows.groupBy(period.alias("period"), group).agg(F.sum("views").alias("views"))
+    by_month = rows.groupBy("month", group).agg(F.sum("views").alias("_v"))  # as many rows as months and groups
+    # how many months there are is told within the plan: the last of their dense ranks
+    ranked = by_month.withColumn("_k", F.dense_rank().over(W.orderBy("month"))).withColumn("_n", F.max("_k").over(W.partitionBy()))
+    period = F.when(F.col("_n") > most_months, F.trunc("month", "quarter").cast("date")).otherwise(F.col("month"))
+    return ranked.groupBy(period.alias("period"), group).agg(F.sum("_v").alias("views"))
 
 
 def pivot_matrix(matrix: DataFrame, group: str, names: list[str]) -> DataFrame:
@@ -150,7 +163,3 @@ def month_sparklines(monthly: DataFrame) -> DataFrame:
     """``(series_id, sparkline)`` over all months, the incomplete too; a series has as many values as its span has months."""
     rows = monthly.groupBy(BY).agg(F.array_sort(F.collect_list(F.struct("month", "views"))).alias("_m"))
     return rows.select(BY, sparkline(F.col("_m.views")).alias("sparkline"))
-
-
-def first_median(values: Column, start: Column, length: int) -> Column:
-    return array_median(F.slice(values, start, length))

@@ -164,7 +164,15 @@ _TOKENS = r"list_filter(string_split(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}
 _BARE = "trim(regexp_replace({c}, '" + QUALIFIER.replace("{", "{{").replace("}", "}}") + "', ''))"
 _NUM = r"list_transform(regexp_extract_all(text, '-?[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')::DOUBLE)"
 
+_INJECTED = _DAILY.replace("daily AS (SELECT axis.series_id, axis.day, h.v AS views FROM", """daily AS (SELECT axis.series_id, axis.day,
+  floor(h.v * CASE WHEN axis.day < DATE '2024-06-01' THEN 1.0::DOUBLE WHEN series_id[1] BETWEEN '0' AND '5' THEN 10.0::DOUBLE WHEN series_id[1] BETWEEN 'a' AND 'f' THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END
+    * CASE WHEN axis.day = DATE '2023-03-15' THEN 50 ELSE 1 END + 0.5)::BIGINT AS views FROM""")
+
 ORACLES = {
+    "injected_breaks": _with(_INJECTED, _MONTHLY, _SPLIT, _EVIDENCE) + """SELECT b.series_id, strftime(b.month, '%Y%m') AS ym, direction, ratio, share_of_total_change, before, after, cause, events
+FROM breaks b JOIN evidence e USING (series_id)""",
+    "injected_spikes": _with(_INJECTED, _SPIKES) + "SELECT series_id, spike_days, spike_share FROM shares",
+    "injected_rubric": _with(_INJECTED, *_ALL[1:]) + "SELECT series_id, confidence, score, reasons, e.cause FROM rated LEFT JOIN evidence e USING (series_id)",
     "reindex_daily": _with(_DAILY) + "SELECT series_id, strftime(day, '%Y%m%d') AS d, views FROM daily",
     "reindex_window": _with(_DAILY) + """SELECT s.series_id, count(*) AS days, count(*) - count(h.v) AS days_missing, count(*) FILTER (h.v = 0) AS days_zero
 FROM (SELECT series_id, unnest(generate_series(DATE '2023-08-01', DATE '2025-07-31', INTERVAL 1 DAY))::DATE AS day FROM span) s LEFT JOIN h USING (series_id, day) GROUP BY 1""",

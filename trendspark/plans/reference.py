@@ -123,9 +123,7 @@ def spike_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_split(spark: SparkSession, d: str) -> DataFrame:
-    m = quality.complete_months(_monthly(spark, d))
-    s = m.withColumn("s", quality.best_split(F.transform("months", lambda x: rounding.damped(x["views"]))))
-    return s.where("s is not null").select(BY, F.col("s.k").cast("bigint").alias("k"), _r("s.d", 5).alias("difference"))
+    return quality.best_splits(_monthly(spark, d)).select(BY, F.col("k").cast("bigint").alias("k"), _r("difference", 5).alias("difference"))
 
 
 def changepoints(spark: SparkSession, d: str) -> DataFrame:
@@ -145,21 +143,50 @@ def change_without_spikes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Breaks against the coverage record's updates as log and late corrections of the point cache as revisions."""
     breaks = quality.changepoints(quality.complete_months(_monthly(spark, d))).where("changepoint is not null").select(BY, F.col("changepoint.month").alias("month"))
-    log = table(spark, d, "series_meta").select(BY, F.col("updated").cast("timestamp").alias("ts"), F.concat(F.lit("meta/"), F.coalesce("granularity", F.lit(""))).alias("kind")).distinct()
-    edits = table(spark, d, "point_cache").select(BY, F.col("fetched_at").cast("timestamp").alias("ts"))
-    return quality.break_evidence(breaks, log, edits)
+    return quality.break_evidence(breaks, *_seen(spark, d))
 
 
 def break_evidence(spark: SparkSession, d: str) -> DataFrame:
     return _evidence(spark, d).select(BY, _ym("month").alias("ym"), "cause", "events", F.coalesce("kinds", F.lit("")).alias("kinds"))
 
 
-def _rated(spark: SparkSession, d: str) -> DataFrame:
-    daily = _daily(spark, d)
-    monthly = _normalized(spark, d)
-    return quality.assess(quality.signals(daily, monthly, series.compare_blocks(monthly, 6), series.median_daily(daily), _evidence(spark, d)))
+def _seen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The coverage record's updates as log, late corrections of the point cache as revisions."""
+    log = table(spark, d, "series_meta").select(BY, F.col("updated").cast("timestamp").alias("ts"), F.concat(F.lit("meta/"), F.coalesce("granularity", F.lit(""))).alias("kind")).distinct()
+    return log, table(spark, d, "point_cache").select(BY, F.col("fetched_at").cast("timestamp").alias("ts"))
+
+
+def _rated(spark: SparkSession, d: str, daily: DataFrame | None = None) -> DataFrame:
+    daily = (daily or _daily(spark, d)).join(_meta(spark, d).select(BY, "project"), BY, "left")
+    return quality.assess(quality.with_evidence(quality.profile(daily, _totals(spark, d), 6), *_seen(spark, d)))
+
+
+def _injected(spark: SparkSession, d: str) -> DataFrame:
+    """The daily series with breaks and spikes put in: series whose id begins with 0 to 5 rise tenfold from June 2024, those with
+    a to f fall to a tenth; on one day of March 2023 every series has fifty times its views."""
+    head = F.substring(BY, 1, 1)
+    level = F.when(F.col("day") < F.lit(date(2024, 6, 1)), 1.0).when(head.between("0", "5"), 10.0).when(head.between("a", "f"), 0.1).otherwise(1.0)
+    spike = F.when(F.col("day") == F.lit(date(2023, 3, 15)), 50.0).otherwise(1.0)
+    return _daily(spark, d).withColumn("views", F.floor(F.col("views") * level * spike + 0.5).cast("bigint"))
+
+
+def injected_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Breaks of the series with breaks put in, and what was seen at their time."""
+    daily = _injected(spark, d)
+    c = quality.changepoints(quality.complete_months(series.monthly_rollup(daily))).where("changepoint is not null")
+    found = quality.break_evidence(c.select(BY, F.col("changepoint.month").alias("month")), *_seen(spark, d))
+    return c.join(found, BY).select(BY, _ym("month").alias("ym"), *[F.col(f"changepoint.{x}").alias(x) for x in ("direction", "ratio", "share_of_total_change", "before", "after")], "cause", "events")
+
+
+def injected_spikes(spark: SparkSession, d: str) -> DataFrame:
+    daily = _injected(spark, d)
+    return quality.spike_summary(daily, quality.detect_spikes(daily))
+
+
+def injected_rubric(spark: SparkSession, d: str) -> DataFrame:
+    """The rubric over the series with breaks and spikes put in."""
+    return _rated(spark, d, _injected(spark, d)).select(BY, "confidence", "score", F.array_join(F.transform("reasons", lambda r: r["id"]), ",").alias("reasons"), "cause")
 
 
 def rubric_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -377,7 +404,7 @@ QUERIES = {
     for f in (
         reindex_daily, reindex_window, series_header, monthly_rollup, project_totals_range, per_million, trailing_blocks, compare_blocks, median_daily_90d, index_to_100,
         quarter_matrix, month_matrix_wide, robust_z, daily_spikes, spike_share, best_split, changepoints, monthly_spikes, change_without_spikes, break_evidence,
-        rubric_scores, confidence_counts, sparklines, views_report, limitation_counts, gap_planning, cache_stats, winner_pick, rival_articles, competing_senses, edition_gaps,
+        injected_breaks, injected_spikes, injected_rubric, rubric_scores, confidence_counts, sparklines, views_report, limitation_counts, gap_planning, cache_stats, winner_pick, rival_articles, competing_senses, edition_gaps,
         redirect_chain, topic_words, match_confidence, sentence_counts, number_extraction, untraceable_figures, claims_checker, eval_totals, eval_checks, answer_commands,
         abbrev_numbers, date_scalars, math_scalars, json_scalars, request_keys, event_kinds, year_change, rollup_views, stream_daily_counts, market_share_by_region,
     )
