@@ -168,7 +168,24 @@ _INJECTED = _DAILY.replace("daily AS (SELECT axis.series_id, axis.day, h.v AS vi
   floor(h.v * CASE WHEN axis.day < DATE '2024-06-01' THEN 1.0::DOUBLE WHEN series_id[1] BETWEEN '0' AND '5' THEN 10.0::DOUBLE WHEN series_id[1] BETWEEN 'a' AND 'f' THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END
     * CASE WHEN axis.day = DATE '2023-03-15' THEN 50 ELSE 1 END + 0.5)::BIGINT AS views FROM""")
 
+#: The days of the window, for every daily series on record.
+_WINDOW = _DAILY.replace("daily AS (SELECT axis.series_id", "whole AS (SELECT axis.series_id") + """,
+daily AS (SELECT s.series_id, s.day, h.v AS views FROM (
+  SELECT series_id, unnest(generate_series(DATE '2023-08-01', DATE '2025-07-31', INTERVAL 1 DAY))::DATE AS day FROM meta WHERE granularity = 'daily') s LEFT JOIN h USING (series_id, day))"""
+_COMPARE_12 = _COMPARE.replace("BETWEEN 7 AND 12", "BETWEEN 13 AND 24").replace("rn <= 12", "rn <= 24").replace("rn <= 6", "rn <= 12").replace("months_available >= 12", "months_available >= 24")
+_SPARK = """
+bars AS (SELECT m.series_id, CASE WHEN max(t) <= 0 THEN repeat('▁', count(*)) ELSE
+string_agg(substr('▁▂▃▄▅▆▇█', greatest(0, least(7, floor(views / nullif(t, 0) * 7 + 0.5)))::INT + 1, 1), '' ORDER BY month) END AS sparkline
+FROM monthly m JOIN (SELECT series_id, max(views) AS t FROM monthly GROUP BY 1) USING (series_id) GROUP BY 1)"""
+
 ORACLES = {
+    "views_report": _with(_META, _WINDOW, _MONTHLY, _TOTALS, _NORMAL, _MEDIAN, _COMPARE_12, _SPIKES, _SPLIT, _MSPIKE, _sensitivity(90), _EVIDENCE, _RATED, _SPARK) + f"""SELECT series_id, regexp_extract(project, '^([^.]+)', 1) AS lang, title, median_daily,
+n.days_missing, sparkline, confidence, score, reasons, strftime(b.month, '%Y%m') AS break_ym, e.cause, spike_share, NOT enough AS too_short, CASE WHEN enough THEN p END AS raw_prior, CASE WHEN enough THEN r END AS raw_recent,
+CASE WHEN enough AND p > 0 THEN {_rd('(r::DOUBLE / p - 1) * 100', 1)} END AS raw_yoy, CASE WHEN known THEN floor(np * 1e4 + 0.5) / 1e4 END AS norm_prior, CASE WHEN known THEN floor(nr * 1e4 + 0.5) / 1e4 END AS norm_recent,
+CASE WHEN known AND np > 0 THEN sign(nr / np - 1) * floor(abs((nr / np - 1) * 100) * 1e4 + 0.5) / 1e4 END AS norm_yoy
+FROM (SELECT * FROM meta WHERE granularity = 'daily') m LEFT JOIN med90 USING (series_id) LEFT JOIN rated USING (series_id) LEFT JOIN bars USING (series_id) LEFT JOIN breaks b USING (series_id)
+LEFT JOIN evidence e USING (series_id) LEFT JOIN shares USING (series_id) LEFT JOIN compared USING (series_id)
+LEFT JOIN (SELECT series_id, count(*) - count(views) AS days_missing FROM daily GROUP BY 1) n USING (series_id)""",
     "injected_breaks": _with(_INJECTED, _MONTHLY, _SPLIT, _EVIDENCE) + """SELECT b.series_id, strftime(b.month, '%Y%m') AS ym, direction, ratio, share_of_total_change, before, after, cause, events
 FROM breaks b JOIN evidence e USING (series_id)""",
     "injected_spikes": _with(_INJECTED, _SPIKES) + "SELECT series_id, spike_days, spike_share FROM shares",

@@ -10,10 +10,12 @@ from ..functions import dates, rounding, text
 from ..operators import claims, quality, resolve, scoring, series, shredding
 from ..operators.series import BY
 from ..operators.trailing import dense_days
+from ..session import checkpointed
 from ..sources import coverage
 from ..sources.records import request_key
 from ..sources.tables import current_meta, day_of, edition_of, holding_points, table
 from ..streaming.daily import daily_counts
+from .engine import Config, analyse, result_numbers
 from .oracles import ORACLES  # noqa: F401
 
 AS_OF = date(2025, 8, 1)
@@ -204,11 +206,13 @@ def sparklines(spark: SparkSession, d: str) -> DataFrame:
 
 def views_report(spark: SparkSession, d: str) -> DataFrame:
     """The whole main query over the 24 months before the day of the analysis."""
-    from .engine import analyse
-
     meta = _meta(spark, d).where("granularity = 'daily'")
-    a = analyse(holding_points(table(spark, d, "point_cache")), _totals(spark, d), meta, AS_OF)
-    return a.results.select(BY, "lang", "title", "confidence", "score", _r("raw.yoy_pct").alias("raw_yoy"), _r("normalized.yoy_pct").alias("norm_yoy"), "window_days_missing", "sparkline")
+    r = analyse(holding_points(table(spark, d, "point_cache")), _totals(spark, d), meta, AS_OF, Config(spike_days=90), *_seen(spark, d)).results
+    return r.select(
+        BY, "lang", "title", "median_daily", F.col("window_days_missing").alias("days_missing"), "sparkline", "confidence", "score", F.array_join(F.transform("reasons", lambda x: x["id"]), ",").alias("reasons"),
+        F.date_format("changepoint.month", "yyyyMM").alias("break_ym"), "cause", "spike_share", F.col("insufficient_history").isNotNull().alias("too_short"), F.col("raw.prior").alias("raw_prior"), F.col("raw.recent").alias("raw_recent"),
+        rounding.round_half(F.col("raw.yoy_pct"), 1).alias("raw_yoy"), _r("normalized.prior", 4).alias("norm_prior"), _r("normalized.recent", 4).alias("norm_recent"), _r("normalized.yoy_pct", 4).alias("norm_yoy"),
+    )
 
 
 def limitation_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -303,14 +307,17 @@ def untraceable_figures(spark: SparkSession, d: str) -> DataFrame:
     return claims.untraceable_figures(docs, "doc_id", "text", "shown")
 
 
-def claims_checker(spark: SparkSession, d: str) -> DataFrame:
-    """All documents as drafts, against one run per edition: its series with the most views."""
-    from .engine import result_numbers
+def _run_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One run's results: of every edition its series with the most views in the recent block."""
+    r = _rated(spark, d).join(_meta(spark, d).select(BY, "title"), BY)
+    top = r.groupBy("project").agg(F.max_by(F.struct(*[c for c in r.columns if c != "project"]), F.struct(F.coalesce("raw.recent", F.lit(-1)), BY)).alias("_t")).select("project", "_t.*")
+    return top.withColumn("lang", F.regexp_extract("project", r"^([^.]+)", 1))
 
-    m = _rated(spark, d).drop("yoy_pct", "months_available").join(series.compare_blocks(_normalized(spark, d), 6), BY).join(_meta(spark, d).select(BY, "project", "title"), BY)
-    top = m.withColumn("_rn", F.row_number().over(series.W.partitionBy("project").orderBy(F.desc_nulls_last("raw.recent"), BY))).where("_rn = 1")
-    top = top.withColumns({"lang": F.regexp_extract("project", r"^([^.]+)", 1), "window_days_missing": F.lit(0)})
-    results = result_numbers(top).withColumn("run_id", F.lit("run"))
+
+def claims_checker(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as drafts, against one finished run."""
+    # a draft is held against a run that is there: its few rows are computed once, and read by every branch of the check
+    results = checkpointed(result_numbers(_run_rows(spark, d)).withColumn("run_id", F.lit("run")))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("draft_id"), F.lit("run").alias("run_id"), "text")
     runs = spark.createDataFrame([("run", "views", "views", [])], "run_id string, topic string, label string, shared array<double>")
     return claims.verdicts(docs, claims.check_claims(docs, runs, results))
