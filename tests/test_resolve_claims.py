@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from trendspark.operators import claims, resolve, scoring
 
@@ -116,3 +117,39 @@ def test_scores(spark):
     got = {r["transcript_id"]: r for r in scoring.score(t, s).collect()}
     assert got["a"]["pass"] and not got["b"]["pass"] and not got["c"]["ran_a_command"]
     assert [got["b"][c] for c in scoring.CHECKS] == [True, True, False, False, False, False]
+
+
+def test_topics_to_articles_the_whole_way(spark):
+    """Every route and every status, with senses, other candidates, warnings and targets."""
+    pages = spark.createDataFrame(
+        [("Mercury", False, 900, "Q1", False), ("Mercury (disambiguation)", False, 10, "Q2", True), ("Mercury (element)", False, 800, "Q3", False), ("Mercury (band)", False, 20, "Q4", False), ("Gold mining", False, 500, "Q5", False), ("Gold", False, 900, "Q6", False), ("Tin Inc.", False, 5, "Q7", False), ("Gone", True, None, None, False)],
+        "title string, missing boolean, bytes int, qid string, is_disambig boolean",
+    )
+    returned = spark.createDataFrame([("mercury", 1, "Mercury"), ("mercury", 2, "Mercury (disambiguation)"), ("tin", 1, "Tin Inc.")], "topic string, rank int, title string")
+    search = spark.createDataFrame([("mining of gold", k, t) for k, t in ((1, "Gold mining"), (2, "Gold"), (3, "Gone"), (11, "Mercury"))], "topic string, rank int, title string")
+    items = spark.createDataFrame([("Silver rush", "Q9"), ("Silver Rush", "Q8"), ("mercury", "Q1")], "label string, qid string")
+    links = pages.withColumn("topic", F.lit("mercury"))
+    site = spark.createDataFrame([("Q1", x, t) for x, t in (("en", "Mercury"), ("de", "Merkur"), ("fr", "Mercure"), ("es", "Mercurio"), ("pl", "Merkury"))], "qid string, lang string, title string")
+    other = spark.createDataFrame([("mercury", "it", "Pianeti#Mercurio"), ("mercury", "pt", "Mercúrio")], "topic string, lang string, title string")
+    checked = spark.createDataFrame(
+        [("de", "Merkur", "Merkur", None, True, None, None, False), ("fr", "Mercure", "Planètes", "Mercure", False, 9, "Q77", False), ("es", "Mercurio", "Mercurio", None, False, 9, "Q1", True), ("pl", "Merkury", "Merkury (planeta)", "Merkury", False, 9, "Q1", False)],
+        "lang string, title string, canonical string, redirected_from string, missing boolean, bytes int, qid string, is_disambig boolean",
+    )
+    topics = spark.createDataFrame([("mercury",), ("mining of gold",), ("silver rush",), ("tin",), ("nothing",)], "topic string")
+    wiki = resolve.Wiki(pages, returned, search, items, links, site, other, checked)
+    langs = ["en", "de", "fr", "es", "pl", "it", "pt", "ru"]
+    entities, editions = resolve.resolve_topics(topics, langs, wiki)
+    e = {r["topic"]: r for r in entities.collect()}
+    assert {t: (r["via"], r["qid"]) for t, r in e.items()} == {"mercury": ("exact-title", "Q1"), "mining of gold": ("search", "Q5"), "silver rush": ("entity-search", "Q8"), "tin": ("exact-title", "Q7"), "nothing": (None, None)}
+    assert e["mercury"]["senses"] == ["Mercury (element)"] and e["mercury"]["confidence"] == "medium" and e["mercury"]["label"] == "mercury"
+    assert e["mining of gold"]["others"] == ["Gold"] and e["silver rush"]["others"] == ["Silver rush"] and e["nothing"]["confidence"] == "low"
+    got = {r["lang"]: (r["status"], r["title"], r["warning"], r["target"], r["redirected_from"]) for r in editions.where("topic = 'mercury'").collect()}
+    assert got == {
+        "en": ("ok", "Mercury", None, None, None), "de": ("title_gone", "Merkur", None, None, None), "fr": ("folded_into_broader_article", "Planètes", None, "Planètes", "Mercure"),
+        "es": ("disambiguation_page", "Mercurio", "disambiguation_page", None, None), "pl": ("ok", "Merkury (planeta)", None, None, "Merkury"), "it": ("section_only", None, None, "Pianeti#Mercurio", None),
+        "pt": ("not_linked_in_wikidata", None, None, "Mercúrio", None), "ru": ("no_article", None, None, None, None),
+    }
+    _, editions = resolve.resolve_topics(topics, ["fr", "de"], wiki, allow_fold=True)
+    assert {r["lang"]: r["status"] for r in editions.where("qid = 'Q1'").collect()} == {"fr": "measures_broader_topic", "de": "title_gone"}
+    _, editions = resolve.resolve_topics(topics, ["fr", "de"], wiki, verify=False)
+    assert {r["lang"]: r["status"] for r in editions.where("qid = 'Q1'").collect()} == {"fr": "ok", "de": "ok"}

@@ -5,6 +5,8 @@ Everything is done for many topics at once, and no choice depends on the order i
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import bare_title, reads_as_sentence, topic_words
@@ -65,26 +67,54 @@ def match_confidence(matches: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", level).drop("_q", "_t")
 
 
-def find_entities(topics: DataFrame, pages: DataFrame, search: DataFrame, items: DataFrame) -> DataFrame:
-    """``(topic, via, title, qid, bytes)`` by the first route that has an answer: a page of that very title, the best search
-    hit, an item label; ``via`` is null for a topic no route knows.
+#: Hits and items a topic is looked for in, other candidates that are named.
+HITS, ITEMS, OTHERS = 10, 5, 3
+
+
+def disambiguation_pages(returned: DataFrame) -> DataFrame:
+    """``(topic, dab)``: of the pages ``returned`` for a topic, ``(topic, rank, title, missing, is_disambig)``, the first that lists its senses."""
+    there = returned.where(~F.coalesce("missing", F.lit(False)) & F.coalesce("is_disambig", F.lit(False)))
+    return there.groupBy("topic").agg(F.min_by("title", F.struct("rank", "title")).alias("dab"))
+
+
+def dab_senses(winners: DataFrame, dabs: DataFrame, links: DataFrame) -> DataFrame:
+    """``(topic, title, qid, bytes)``: up to three rivals of each winner ``(topic, title, qid, bytes)`` among the pages that the topic's
+    disambiguation page links, ``links`` ``(topic, title, qid, bytes, missing, is_disambig)``: those whose titles claim the topic's name."""
+    topics = winners.join(dabs, "topic").select("topic", F.col("dab").alias("winner"))
+    names = competing_senses(topics, links.select("topic", F.lit(0).alias("ord"), "title")).select("topic", F.lower("title").alias("_t"))
+    claim = links.join(names, (links.topic == names.topic) & (F.lower(links.title) == F.col("_t")), "left_semi")
+    return rival_articles(claim, winners).select("topic", "title", "qid", "bytes")
 
-    ``topics``: ``(topic)``; ``pages``: ``(title, missing, bytes, qid, is_disambig)``; ``search``: ``(topic, rank, title)``;
-    ``items``: ``(label, qid)``. A title that is a disambiguation page falls through to the search.
+
+def find_entities(topics: DataFrame, pages: DataFrame, search: DataFrame, items: DataFrame, returned: DataFrame | None = None) -> DataFrame:
+    """``(topic, via, title, qid, bytes, others)`` by the first route that has an answer: a page of that very title (else the first
+    page ``returned`` for it), the best of ten search hits, an item label; ``via`` is null for a topic no route knows. ``others``: the
+    titles of up to three more candidates of the route.
+
+    ``topics``: ``(topic)``; ``pages``: ``(title, missing, bytes, qid, is_disambig)``; ``search``: ``(topic, rank, title)``; ``items``: ``(label, qid)``;
+    ``returned``: ``(topic, rank, title)``. A title that is a disambiguation page falls through to the search.
     """
     usable = pages.where(F.col("qid").isNotNull() & ~F.coalesce("missing", F.lit(False)) & ~F.coalesce("is_disambig", F.lit(False)))
     small = usable.withColumn("_k", F.lower("title"))
-    exact = topics.withColumn("_k", F.lower(F.trim("topic"))).join(small, "_k").withColumn("rank", F.lit(0))
-    exact = pick_winner(exact.select("topic", "rank", "title", "qid", "bytes"))
-    hits = pick_winner(search.join(usable, "title").select("topic", "rank", "title", "qid", "bytes"))
-    labelled = topics.join(items.select(F.lower("label").alias("_k"), F.col("label").alias("title"), "qid"), F.lower(F.trim("topic")) == F.col("_k")).select("topic", "title", "qid")
-    labelled = pick_winner(labelled.select("topic", F.lit(0).alias("rank"), "title", "qid", F.lit(0).cast("bigint").alias("bytes")))
+    exact = topics.withColumn("_k", F.lower(F.trim("topic"))).join(small, "_k").withColumn("rank", F.lit(0)).select("topic", "rank", "title", "qid", "bytes")
+    if returned is not None:
+        first = returned.where(~F.col("title").rlike(DAB)).join(pages.where(~F.coalesce("missing", F.lit(False))).select("title"), "title", "left_semi")
+        first = first.groupBy("topic").agg(F.min_by("title", F.struct("rank", "title")).alias("title")).join(usable, "title")
+        exact = exact.unionByName(first.join(exact.select("topic"), "topic", "left_anti").select("topic", F.lit(1).alias("rank"), "title", "qid", "bytes"))
+    hits = search.where(F.col("rank") <= HITS).join(usable, "title").select("topic", "rank", "title", "qid", "bytes")
+    by_label = items.withColumn("_n", F.row_number().over(W.partitionBy(F.lower("label")).orderBy(item_number(F.col("qid"))))).where(F.col("_n") <= ITEMS)
+    labelled = topics.join(by_label.select(F.lower("label").alias("_k"), F.col("label").alias("title"), "qid", F.col("_n").alias("rank")), F.lower(F.trim("topic")) == F.col("_k"))
+    labelled = labelled.select("topic", "rank", "title", "qid", F.lit(0).cast("bigint").alias("bytes"))
     routes = None
     for k, (via, df) in enumerate((("exact-title", exact), ("search", hits), ("entity-search", labelled))):
-        part = df.select("topic", F.struct(F.lit(k).alias("o"), F.lit(via).alias("via"), "title", "qid", "bytes").alias("_r"))
+        won = pick_winner(df)
+        rest = df.join(won.select("topic", F.col("title").alias("_w"), F.col("qid").alias("_q")), "topic").where((F.col("title") != F.col("_w")) | (F.col("qid") != F.col("_q")))
+        rest = rest.withColumn("_n", F.row_number().over(W.partitionBy("topic").orderBy("rank", "title"))).where(F.col("_n") <= OTHERS)
+        rest = rest.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "title"))), lambda x: x["title"]).alias("others"))
+        part = won.join(rest, "topic", "left").select("topic", F.struct(F.lit(k).alias("o"), F.lit(via).alias("via"), "title", "qid", "bytes", F.coalesce("others", F.array().cast("array<string>")).alias("others")).alias("_r"))
         routes = part if routes is None else routes.unionByName(part)
     best = routes.groupBy("topic").agg(F.min_by("_r", "_r.o").alias("_r"))
-    return topics.join(best, "topic", "left").select("topic", "_r.via", "_r.title", "_r.qid", "_r.bytes")
+    return topics.join(best, "topic", "left").select("topic", "_r.via", "_r.title", "_r.qid", "_r.bytes", "_r.others")
 
 
 def asked_titles(normalized: DataFrame, redirects: DataFrame, pages: DataFrame) -> DataFrame:
@@ -125,7 +155,42 @@ def resolve_editions(asked: DataFrame, sitelinks: DataFrame, langlinks: DataFram
         .when(F.coalesce("is_disambig", F.lit(False)), "disambiguation_page")
         .otherwise("ok")
     )
-    return rows.select("topic", "qid", "lang", F.coalesce("canonical", "title").alias("title"), "bytes", "redirected_from", status.alias("status"))
+    rows = rows.withColumn("status", status)
+    warning = F.when(F.col("status").isin("measures_broader_topic", "disambiguation_page"), F.col("status"))
+    target = F.when(F.col("status").isin("folded_into_broader_article", "measures_broader_topic"), F.col("canonical")).when(F.col("status").isin("section_only", "not_linked_in_wikidata"), F.col("_ll"))
+    return rows.select("topic", "qid", "lang", F.coalesce("canonical", "title").alias("title"), "bytes", "redirected_from", "status", warning.alias("warning"), target.alias("target"))
 
 
 MEASURED = ("ok", "measures_broader_topic", "disambiguation_page")
+
+
+@dataclass(frozen=True)
+class Wiki:
+    """What is known of pages and items: ``pages`` ``(title, missing, bytes, qid, is_disambig)`` of the language topics are named in, ``returned``
+    ``(topic, rank, title)``, ``search`` ``(topic, rank, title)``, ``items`` ``(label, qid)``, ``dab_links`` ``(topic, title, qid, bytes, missing, is_disambig)``,
+    ``sitelinks`` ``(qid, lang, title)``, ``langlinks`` ``(topic, lang, title)``, ``checked``: :func:`follow_titles` of the editions."""
+
+    pages: DataFrame
+    returned: DataFrame
+    search: DataFrame
+    items: DataFrame
+    dab_links: DataFrame
+    sitelinks: DataFrame
+    langlinks: DataFrame
+    checked: DataFrame
+
+
+def resolve_topics(topics: DataFrame, langs: list[str], wiki: Wiki, verify: bool = True, allow_fold: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Topics to articles, the whole way: entities ``(topic, via, title, qid, bytes, others, label, senses, hits, coverage, confidence)``, one row a topic,
+    and editions as of :func:`resolve_editions`, one row for every topic that has an item and every language. ``verify``: whether
+    titles are followed to their pages."""
+    found = find_entities(topics, wiki.pages, wiki.search, wiki.items, wiki.returned)
+    dabs = disambiguation_pages(wiki.returned.join(wiki.pages.select("title", "missing", "is_disambig"), "title"))
+    senses = dab_senses(found.where("qid is not null").select("topic", "title", "qid", "bytes"), dabs, wiki.dab_links)
+    senses = senses.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.coalesce("bytes", F.lit(0))).alias("b"), "title"))), lambda x: x["title"]).alias("senses"))
+    labels = wiki.items.groupBy("qid").agg(F.min("label").alias("label"))
+    rows = found.join(labels, "qid", "left").join(senses, "topic", "left").withColumns({"senses": F.coalesce("senses", F.array().cast("array<string>")), "query": F.col("topic")})
+    entities = match_confidence(rows.withColumn("via", F.coalesce("via", F.lit("none")))).withColumn("via", F.nullif("via", F.lit("none"))).drop("query")
+    asked = found.where("qid is not null").select("topic", "qid", F.explode(F.array(*[F.lit(x) for x in langs]).cast("array<string>")).alias("lang"))
+    checked = wiki.checked if verify else wiki.checked.where("false")
+    return entities, resolve_editions(asked, wiki.sitelinks, wiki.langlinks, checked, allow_fold)

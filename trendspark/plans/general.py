@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import outliers, regrid, shredding, trailing
 from ..sources.tables import holding_points, table
+from .oracles import BARE_SQL
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +199,29 @@ SELECT a.r AS reply, a.title, coalesce(e1.t, n1.t, a.title) AS canonical, CASE W
 FROM a LEFT JOIN n1 ON n1.r = a.r AND n1.f = a.title LEFT JOIN e1 ON e1.r = a.r AND e1.f = coalesce(n1.t, a.title) LEFT JOIN p ON p.r = a.r AND p.title = coalesce(e1.t, n1.t, a.title)"""
 
 
+_STATUS = r""",
+l AS (SELECT regexp_extract(parent_id, 'entity:([^/]*)$', 1) AS qid, regexp_replace(j->>'$.site', 'wiki$', '') AS lang, min(j->>'$.title') AS title FROM sitelink GROUP BY 1, 2),
+a AS (SELECT qid, unnest(['en', 'de', 'fr', 'es', 'pl', 'it']) AS lang FROM (SELECT DISTINCT qid FROM l)),
+c AS (SELECT lang, title, length(title) % 6 AS k, min(qid) AS cq FROM l GROUP BY 1, 2),
+s AS (SELECT a.qid, a.lang, l.title, right(a.qid, 1) AS g, k, cq, k = 1 OR (k = 3 AND cq <> a.qid) AS folded FROM a LEFT JOIN l USING (qid, lang) LEFT JOIN c USING (lang, title)),
+t AS (SELECT *, f AS folds, CASE WHEN title IS NULL THEN CASE WHEN g BETWEEN '0' AND '3' THEN 'section_only' WHEN g BETWEEN '4' AND '6' THEN 'not_linked_in_wikidata' ELSE 'no_article' END
+  WHEN k = 0 THEN 'title_gone' WHEN folded THEN CASE WHEN f THEN 'measures_broader_topic' ELSE 'folded_into_broader_article' END WHEN k = 2 THEN 'disambiguation_page' ELSE 'ok' END AS status FROM s, (SELECT unnest([true, false]) AS f))
+SELECT qid, lang, CASE WHEN k IN (1, 3) THEN title || ' (whole)' ELSE title END AS title, status, CASE WHEN status IN ('measures_broader_topic', 'disambiguation_page') THEN status END AS warning,
+  CASE WHEN status IN ('folded_into_broader_article', 'measures_broader_topic') THEN title || ' (whole)' WHEN status = 'section_only' THEN qid || '#part' WHEN status = 'not_linked_in_wikidata' THEN qid END AS target, folds FROM t"""
+_SENSES = """,
+q AS (SELECT j->>'$.title' AS title, bool_and(j->>'$.missing' IS NOT NULL) AS missing, max((j->>'$.length')::BIGINT) AS bytes, min(j->>'$.pageprops.wikibase_item') AS qid,
+  bool_or(j->>'$.pageprops.disambiguation' IS NOT NULL) AS dab FROM page GROUP BY 1),
+n AS (SELECT *, lower(""" + BARE_SQL.format(c="title") + """) AS topic FROM q),
+win AS (SELECT * FROM n WHERE NOT missing AND NOT dab AND qid IS NOT NULL AND qid <> ''
+  QUALIFY row_number() OVER (PARTITION BY topic ORDER BY coalesce(bytes, 0) DESC, coalesce(try_cast(regexp_extract(qid, '^[Qq]([0-9]+)$', 1) AS BIGINT), 9007199254740991), title) = 1),
+r AS (SELECT n.* FROM n JOIN win USING (topic) WHERE n.topic <> lower(n.title) AND NOT regexp_matches(n.title, '(?i)\\(disambiguation\\)\\s*$') AND n.qid <> win.qid AND NOT n.missing AND NOT n.dab
+  AND coalesce(n.bytes, 0) >= least(20000, greatest(1.0, coalesce(win.bytes, 0) * 0.5)) QUALIFY row_number() OVER (PARTITION BY n.topic ORDER BY n.bytes DESC, n.title) <= 3)
+SELECT topic, 'winner' AS role, title, qid, bytes FROM win UNION ALL SELECT topic, 'rival', title, qid, bytes FROM r"""
+
+
 ORACLES = {
+    "edition_status": _WRAPPED + "".join(_held(n, *_ELEMENTS[n][:4]) for n in ("entity", "sitelink")) + _STATUS,
+    "page_senses": _WRAPPED + _held("page", *_ELEMENTS["page"][:4]) + _SENSES,
     "redirect_chain": _chain_sql(),
     "p1_found": _found_sql(),
     "p1_orphans": _orphans_sql(),

@@ -33,7 +33,7 @@ meta AS (
         'covered_from': covered_from, 'covered_to': covered_to}, updated) AS m FROM series_meta GROUP BY 1))"""
 _TOTALS = """
 totals AS (
-  SELECT project, strptime(ym || '01', '%Y%m%d')::DATE AS month, max(v) AS project_views
+  SELECT regexp_replace(lower(trim(project)), '\\.org$', '') AS project, strptime(ym || '01', '%Y%m%d')::DATE AS month, max(v) AS project_views
   FROM project_totals WHERE v IS NOT NULL AND project IS NOT NULL GROUP BY 1, 2)"""
 _NORMAL = f"""
 normal AS (
@@ -161,7 +161,7 @@ def _r6(x: str) -> str:
 
 _WORDS = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TOKENS = r"list_filter(string_split(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) >= 2 AND NOT list_contains([{w}], w))"
-_BARE = "trim(regexp_replace({c}, '" + QUALIFIER.replace("{", "{{").replace("}", "}}") + "', ''))"
+BARE_SQL = "trim(regexp_replace({c}, '" + QUALIFIER.replace("{", "{{").replace("}", "}}") + "', ''))"
 _NUM = r"list_transform(regexp_extract_all(text, '-?[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')::DOUBLE)"
 
 _INJECTED = _DAILY.replace("daily AS (SELECT axis.series_id, axis.day, h.v AS views FROM", """daily AS (SELECT axis.series_id, axis.day,
@@ -212,8 +212,9 @@ sign(n.per_million) * floor(abs(n.per_million / b.base * 100) * 10000 + 0.5) / 1
 FROM normal n JOIN (SELECT series_id, arg_min(per_million, month) AS base FROM normal WHERE complete AND per_million > 0 GROUP BY 1) b USING (series_id) WHERE n.complete AND n.per_million IS NOT NULL""",
     "quarter_matrix": _with(_DAILY, _MONTHLY, _META, _TOTALS, _NORMAL) + """SELECT 'Q' || quarter(month) || ' ' || strftime(month, '%y') AS period, project, sum(views)::BIGINT AS views
 FROM normal WHERE complete GROUP BY 1, 2""",
-    "month_matrix_wide": _with(_DAILY, _MONTHLY, _META, _TOTALS, _NORMAL) + "SELECT strftime(month, '%m.%y') AS period, "
-    + ", ".join(f"sum(views) FILTER (project = '{x}.wikipedia')::BIGINT AS {x}" for x in ("en", "de", "fr", "es", "pl")) + " FROM normal WHERE complete GROUP BY 1",
+    "month_matrix_wide": _with(_DAILY, _MONTHLY, _META, _TOTALS, _NORMAL) + """, r AS (SELECT project, row_number() OVER (ORDER BY sum(project_views) DESC, project) AS k FROM totals GROUP BY 1)
+SELECT strftime(month, '%m.%y') AS period, """ + ", ".join(f"sum(views) FILTER (k = {k})::BIGINT AS e{k}" for k in range(1, 9)) + """, sum(views) FILTER (coalesce(k, 9) > 8)::BIGINT AS others
+FROM normal LEFT JOIN r USING (project) WHERE complete GROUP BY 1""",
     "robust_z": _with(_DAILY, _SPIKES) + "SELECT series_id, strftime(day, '%Y%m%d') AS d, sign(z) * floor(abs(z) * 1e5 + 0.5) / 1e5 AS z FROM dj",
     "daily_spikes": _with(_DAILY, _SPIKES) + "SELECT series_id, strftime(day, '%Y%m%d') AS d, views, z FROM spikes",
     "spike_share": _with(_DAILY, _SPIKES) + "SELECT series_id, spike_days, spike_share FROM shares",
@@ -237,21 +238,21 @@ g AS (
 SELECT series_id, strftime(f, '%Y%m%d') AS gap_from, strftime(t, '%Y%m%d') AS gap_to FROM g WHERE f <= t""",
     "cache_stats": _with(_DAILY) + "SELECT count(DISTINCT series_id) AS series, count(*) AS points, strftime(min(day), '%Y%m%d') AS first_day, strftime(max(day), '%Y%m%d') AS last_day FROM h",
     "winner_pick": f"""SELECT topic, qid, bytes FROM (SELECT lower(topic) AS topic, 'Q' || doc_id AS qid, n_chars AS bytes,
-row_number() OVER (PARTITION BY lower(topic) ORDER BY lower({_BARE.format(c='topic')}) = lower(trim(topic)) DESC,
-  CASE WHEN lower({_BARE.format(c='topic')}) = lower(trim(topic)) THEN coalesce(n_chars, 0) END DESC NULLS LAST, doc_id) AS rn FROM documents WHERE topic IS NOT NULL) WHERE rn = 1""",
-    "rival_articles": f"""WITH w AS (SELECT lower(topic) AS topic, doc_id, n_chars AS b, row_number() OVER (PARTITION BY lower(topic) ORDER BY lower({_BARE.format(c='lower(topic)')}) = lower(trim(topic)) DESC,
-  CASE WHEN lower({_BARE.format(c='lower(topic)')}) = lower(trim(topic)) THEN coalesce(n_chars, 0) END DESC NULLS LAST, doc_id) AS rn FROM documents WHERE topic IS NOT NULL),
+row_number() OVER (PARTITION BY lower(topic) ORDER BY lower({BARE_SQL.format(c='topic')}) = lower(trim(topic)) DESC,
+  CASE WHEN lower({BARE_SQL.format(c='topic')}) = lower(trim(topic)) THEN coalesce(n_chars, 0) END DESC NULLS LAST, doc_id) AS rn FROM documents WHERE topic IS NOT NULL) WHERE rn = 1""",
+    "rival_articles": f"""WITH w AS (SELECT lower(topic) AS topic, doc_id, n_chars AS b, row_number() OVER (PARTITION BY lower(topic) ORDER BY lower({BARE_SQL.format(c='lower(topic)')}) = lower(trim(topic)) DESC,
+  CASE WHEN lower({BARE_SQL.format(c='lower(topic)')}) = lower(trim(topic)) THEN coalesce(n_chars, 0) END DESC NULLS LAST, doc_id) AS rn FROM documents WHERE topic IS NOT NULL),
 r AS (SELECT lower(d.topic) AS topic, 'Q' || d.doc_id AS qid, d.n_chars AS bytes, row_number() OVER (PARTITION BY lower(d.topic) ORDER BY d.n_chars DESC, d.topic || '#' || d.doc_id) AS rn
   FROM documents d JOIN w ON w.topic = lower(d.topic) AND w.rn = 1 WHERE d.doc_id <> w.doc_id AND coalesce(d.n_chars, 0) >= least(20000, greatest(1.0, coalesce(w.b, 0) * 0.5)))
 SELECT topic, qid, bytes FROM r WHERE rn <= 3""",
-    "competing_senses": _with(_META) + f""", t AS (SELECT {_BARE.format(c='title')} AS topic, title FROM meta WHERE title IS NOT NULL)
-SELECT DISTINCT topic, lower(title) AS title FROM t WHERE lower({_BARE.format(c='title')}) <> lower(title) AND NOT regexp_matches(title, '(?i)\\(disambiguation\\)\\s*$')""",
-    "edition_gaps": _with(_META) + f""", t AS (SELECT {_BARE.format(c='title')} AS topic, regexp_extract(project, '^([^.]+)', 1) AS lang, title FROM meta WHERE title IS NOT NULL),
+    "competing_senses": _with(_META) + f""", t AS (SELECT {BARE_SQL.format(c='title')} AS topic, title FROM meta WHERE title IS NOT NULL)
+SELECT DISTINCT topic, lower(title) AS title FROM t WHERE lower({BARE_SQL.format(c='title')}) <> lower(title) AND NOT regexp_matches(title, '(?i)\\(disambiguation\\)\\s*$')""",
+    "edition_gaps": _with(_META) + f""", t AS (SELECT {BARE_SQL.format(c='title')} AS topic, regexp_extract(project, '^([^.]+)', 1) AS lang, title FROM meta WHERE title IS NOT NULL),
 a AS (SELECT DISTINCT topic, unnest(['en', 'de', 'fr', 'es', 'pl', 'it', 'ru', 'ja', 'uk', 'xx']) AS lang FROM t), l AS (SELECT topic, lang, min(title) AS title FROM t GROUP BY 1, 2)
 SELECT topic, lang, l.title, CASE WHEN l.title IS NULL THEN 'no_article' ELSE 'ok' END AS status FROM a LEFT JOIN l USING (topic, lang)""",
     "topic_words": f"""SELECT doc_id, array_to_string({_TOKENS.format(c='topic', w=_WORDS)}, ' ') AS words,
 len(list_filter(regexp_split_to_array(trim(topic), '\\s+'), lambda w: w <> '')) >= 5 OR trim(topic) LIKE '%?' AS sentence FROM documents""",
-    "match_confidence": _with(_META) + f""", q AS (SELECT series_id, title, agent, {_TOKENS.format(c='title', w=_WORDS)} AS a, {_TOKENS.format(c=_BARE.format(c='title'), w=_WORDS)} AS b FROM meta),
+    "match_confidence": _with(_META) + f""", q AS (SELECT series_id, title, agent, {_TOKENS.format(c='title', w=_WORDS)} AS a, {_TOKENS.format(c=BARE_SQL.format(c='title'), w=_WORDS)} AS b FROM meta),
 h AS (SELECT *, len(list_filter(a, lambda w: list_contains(b, w))) AS hits FROM q)
 SELECT series_id, hits::INT AS hits, coalesce({_r6('hits / nullif(len(a), 0)')}, 0.0) AS coverage, CASE WHEN agent IS DISTINCT FROM 'user' THEN 'high'
 WHEN len(list_filter(regexp_split_to_array(trim(title), '\\s+'), lambda w: w <> '')) >= 5 OR trim(title) LIKE '%?' OR hits = 0 OR hits / nullif(len(a), 0) < 0.5 THEN 'low' ELSE 'medium' END AS confidence FROM h""",
@@ -287,7 +288,7 @@ JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2)""",
 SELECT doc_id, len(s)::INT AS sentences, length(array_to_string(s, ''))::INT AS letters FROM s""",
     "untraceable_figures": _with(_TOTALS) + r"""
 , t AS (SELECT DISTINCT project, floor(project_views / 1000000)::DOUBLE AS s FROM totals),
-f AS (SELECT DISTINCT doc_id, project, unnest(regexp_extract_all(text, '-?[0-9][0-9,]*(?:\.[0-9]+)?')) AS figure FROM documents WHERE project IN (SELECT project FROM t)),
+f AS (SELECT DISTINCT doc_id, project, unnest(regexp_extract_all(text, '-?[0-9][0-9,]*(?:\.[0-9]+)?')) AS figure FROM (SELECT doc_id, text, regexp_replace(lower(trim(project)), '\.org$', '') AS project FROM documents)),
 v AS (SELECT *, abs(try_cast(replace(figure, ',', '') AS DOUBLE)) AS a FROM f)
 SELECT doc_id, figure FROM v WHERE a IS NOT NULL AND NOT (a = floor(a) AND (a <= 24 OR a BETWEEN 1900 AND 2100)) AND NOT EXISTS (SELECT 1 FROM t WHERE t.project = v.project AND
   CASE WHEN v.a >= 100 THEN abs(s - v.a) <= greatest(0.5, 0.02::DOUBLE * v.a) WHEN v.a >= 1 THEN abs(s - v.a) <= 0.5 ELSE s = v.a OR floor(s + 0.5) = v.a END)

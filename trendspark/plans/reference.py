@@ -106,9 +106,13 @@ def quarter_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def month_matrix_wide(spark: SparkSession, d: str) -> DataFrame:
-    names = ["en.wikipedia", "de.wikipedia", "fr.wikipedia", "es.wikipedia", "pl.wikipedia"]
-    m = series.pivot_matrix(series.period_matrix(_normalized(spark, d), "project", 10_000), "project", names)
-    return m.select(dates.month_label(F.col("period")).alias("period"), *[F.col(f"`{n}`").alias(n.split(".")[0]) for n in names])
+    """Months by editions, a column for each of the eight with the most views of their own in the fixed table of totals, and one for
+    all others together."""
+    m = series.period_matrix(_normalized(spark, d), "project", 10_000)
+    names = [r[0] for r in _totals(spark, d).groupBy("project").agg(F.sum("project_views").alias("v")).orderBy(F.desc("v"), "project").limit(8).collect()]
+    shown = m.withColumn("project", F.when(F.col("project").isin(names), F.col("project")).otherwise("others"))
+    w = series.pivot_matrix(shown, "project", [*names, "others"])
+    return w.select(dates.month_label(F.col("period")).alias("period"), *[F.col(f"`{n}`").alias(f"e{k}") for k, n in enumerate(names, 1)], "others")
 
 
 def robust_z(spark: SparkSession, d: str) -> DataFrame:
@@ -264,6 +268,42 @@ def edition_gaps(spark: SparkSession, d: str) -> DataFrame:
     return r.select("topic", "lang", "title", "status")
 
 
+def _replies(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
+    t = shredding.flat_tables(table(spark, d, "api_responses"), shredding.REPLY, "body", "response_id")
+    return [t[n] for n in names]
+
+
+def edition_status(spark: SparkSession, d: str) -> DataFrame:
+    """Every recorded item in six editions. What the replies do not tell, the state of a linked title and the links of the source
+    article, is put in by the length of the title and the item's last digit, so that every status occurs."""
+    (links,) = _replies(spark, d, "sitelink")
+    qid = F.regexp_extract("parent_id", r"entity:([^/]*)$", 1)
+    links = links.where("title is not null").groupBy(qid.alias("qid"), F.regexp_replace("site", "wiki$", "").alias("lang")).agg(F.min("title").alias("title"))
+    asked = links.select("qid").distinct().select(F.col("qid").alias("topic"), "qid", F.explode(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es", "pl", "it")])).alias("lang"))
+    digit = F.right("qid", F.lit(1))
+    langlinks = asked.select("topic", "lang", F.when(digit.between("0", "3"), F.concat("qid", F.lit("#part"))).when(digit.between("4", "6"), F.col("qid")).alias("title")).where("title is not null")
+    k = F.length("title") % 6
+    other = F.when(k == 1, "Q0").otherwise(F.col("qid"))
+    checked = links.select(
+        "lang", "title", F.when(k.isin(1, 3), F.concat("title", F.lit(" (whole)"))).otherwise(F.col("title")).alias("canonical"), F.when(k.isin(1, 3), F.col("title")).alias("redirected_from"),
+        (k == 0).alias("missing"), F.length("title").alias("bytes"), other.alias("qid"), (k == 2).alias("is_disambig"), F.col("qid").alias("_of"),
+    )
+    checked = checked.withColumn("_n", F.row_number().over(series.W.partitionBy("lang", "title").orderBy("_of"))).where("_n = 1").drop("_n", "_of")
+    parts = [resolve.resolve_editions(asked, links, langlinks, checked, fold).withColumn("folds", F.lit(fold)) for fold in (False, True)]
+    return parts[0].unionByName(parts[1]).select("qid", "lang", "title", "status", "warning", "target", "folds")
+
+
+def page_senses(spark: SparkSession, d: str) -> DataFrame:
+    """Of every name that a recorded page bears with a qualifier: the article that is meant and its rivals."""
+    (p,) = _replies(spark, d, "page")
+    pages = p.groupBy("title").agg(F.bool_and(F.col("missing").isNotNull()).alias("missing"), F.max(F.col("length").cast("bigint")).alias("bytes"), F.min("pageprops_wikibase_item").alias("qid"), F.bool_or(F.col("pageprops_disambiguation").isNotNull()).alias("is_disambig"))
+    links = pages.withColumn("topic", F.lower(text.bare_title(F.col("title"))))
+    named = links.where(~F.col("missing") & ~F.col("is_disambig")).withColumn("rank", F.lit(0))
+    win = resolve.pick_winner(named).select("topic", "title", "qid", "bytes")
+    senses = resolve.dab_senses(win, win.select("topic", F.concat("topic", F.lit(" (disambiguation)")).alias("dab")), links)
+    return win.select("topic", F.lit("winner").alias("role"), "title", "qid", "bytes").unionByName(senses.select("topic", F.lit("rival").alias("role"), "title", "qid", "bytes"))
+
+
 def redirect_chain(spark: SparkSession, d: str) -> DataFrame:
     """Titles asked for in every recorded reply, through normalisation and redirect to their page. A reply does not hold its
     request: what it normalized, what it redirected and the pages reached by neither were asked for."""
@@ -301,9 +341,10 @@ def number_extraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def untraceable_figures(spark: SparkSession, d: str) -> DataFrame:
-    """Figures of the documents that differ from all totals of their edition's last known month, in millions."""
-    last = _totals(spark, d).groupBy("project").agg(F.array_sort(F.collect_list(F.floor(F.col("project_views") / 1_000_000).cast("double"))).alias("shown"))
-    docs = table(spark, d, "documents").where("text is not null").join(last, "project")
+    """Figures of the documents that differ from all totals of their edition, in millions; a document of no known edition is shown
+    nothing."""
+    shown = _totals(spark, d).groupBy("project").agg(F.array_sort(F.collect_list(F.floor(F.col("project_views") / 1_000_000).cast("double"))).alias("shown"))
+    docs = table(spark, d, "documents").where("text is not null").withColumn("project", edition_of(F.col("project"))).join(shown, "project", "left")
     return claims.untraceable_figures(docs, "doc_id", "text", "shown")
 
 
@@ -411,7 +452,7 @@ QUERIES = {
     for f in (
         reindex_daily, reindex_window, series_header, monthly_rollup, project_totals_range, per_million, trailing_blocks, compare_blocks, median_daily_90d, index_to_100,
         quarter_matrix, month_matrix_wide, robust_z, daily_spikes, spike_share, best_split, changepoints, monthly_spikes, change_without_spikes, break_evidence,
-        injected_breaks, injected_spikes, injected_rubric, rubric_scores, confidence_counts, sparklines, views_report, limitation_counts, gap_planning, cache_stats, winner_pick, rival_articles, competing_senses, edition_gaps,
+        injected_breaks, injected_spikes, injected_rubric, rubric_scores, confidence_counts, sparklines, views_report, limitation_counts, gap_planning, cache_stats, winner_pick, rival_articles, competing_senses, edition_gaps, edition_status, page_senses,
         redirect_chain, topic_words, match_confidence, sentence_counts, number_extraction, untraceable_figures, claims_checker, eval_totals, eval_checks, answer_commands,
         abbrev_numbers, date_scalars, math_scalars, json_scalars, request_keys, event_kinds, year_change, rollup_views, stream_daily_counts, market_share_by_region,
     )
