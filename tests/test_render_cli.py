@@ -47,12 +47,33 @@ def test_commands(spark, tmp_path, capsys):
     m = current_meta(table(spark, str(DATA), "series_meta")).where("granularity = 'daily'").orderBy("series_id").select(bare_title(F.col("title")).alias("t"), "project").first()
     lang = m["project"].split(".")[0]
     run = str(tmp_path / "run")
-    assert cli.main(["views", m["t"], "--data", str(DATA), "--langs", f"{lang},xx", "--as-of", "2025-08-01", "--out", run]) == 0
+    assert cli.main(["views", m["t"], "--data", str(DATA), "--langs", f"{lang},xx", "--from", lang, "--as-of", "2025-08-01", "--out", run]) == 0
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert out["results"][0]["lang"] == lang and {"lang": "xx", "reason": "no_article"} in out["unresolved"]
-    assert cli.main(["report", "--run", run, "--topic", m["t"], "--html", str(tmp_path / "r.html"), "--svg", str(tmp_path / "r.svg")]) == 0
-    assert "<svg" in (tmp_path / "r.html").read_text()
-    assert cli.main(["check", "--run", run, "It reached 123456789.5 views."]) == 1
-    assert cli.main(["report", "--run", run, "--notes", "It reached 123456789.5 views.", "--html", str(tmp_path / "x.html")]) == 1
-    assert cli.main(["views", "no such topic", "--data", str(DATA), "--langs", "en", "--as-of", "2025-08-01"]) == 1
+    row = out["results"][0]
+    assert row["lang"] == lang and {"lang": "xx", "reason": "no_article", "target": None} in out["unresolved"] and out["run_id"].startswith("r_")
+    assert {"median_daily_90d", "days_missing", "sparkline", "confidence", "confidence_score", "signals", "status"} <= set(row) and ("raw" in row or "insufficient_history" in row)
+    assert out["entity"]["via"] and "hint" not in out
+    again = ["views", m["t"], "--data", str(DATA), "--langs", f"{lang},xx", "--from", lang, "--as-of", "2025-08-01", "--out", run]
+    assert cli.main(again) == 0 and json.loads(capsys.readouterr().out.strip().splitlines()[-1])["run_id"] == out["run_id"]  # kept
+    assert cli.main(["resolve", m["t"], "--data", str(DATA), "--langs", f"{lang},xx", "--from", lang, "--allow-fold", "--no-verify"]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["resolved"][0]["lang"] == lang
+    assert cli.main(["report", "--dir", run, "--html", str(tmp_path / "r.html"), "--svg", str(tmp_path / "r.svg")]) == 0
+    page = (tmp_path / "r.html").read_text()
+    assert page.count("<svg") >= 3 and "<table>" in page and "could not be measured" in page
+    capsys.readouterr()
+    assert cli.main(["check", "--run", run, "It reached 123456789.5 views. Nothing else."]) == 1
+    told = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (told["sentences_checked"], told["figures_checked"], told["errors"][0]["figure"]) == (2, 1, "123456789.5")
+
+    def code(*argv):
+        assert cli.main(list(argv)) == 1
+        return json.loads(capsys.readouterr().out.strip().splitlines()[-1])["error"]
+
+    views = ["views", m["t"], "--data", str(DATA), "--as-of", "2025-08-01"]
+    assert code("report", "--run", run, "--notes", "It reached 123456789.5 views.", "--html", str(tmp_path / "x.html")) == "notes_unverified"
+    assert code("views", "no such topic", "--data", str(DATA), "--langs", "en", "--as-of", "2025-08-01") == "topic_not_found"
+    assert code(*views) == "no_langs" and code("views", " ", *views[2:], "--langs", "en") == "no_topic"
+    assert code(*views, "--langs", "en", "--since", "soon") == "bad_since" and code(*views, "--langs", "en", "--since", "1m") == "window_too_short"
+    assert code("check", "x") == "no_run" and code("check", "--run", str(tmp_path / "none"), "x") == "run_not_found" and code("check", "--run", run, " ") == "no_claims"
+    assert code("fly") == "unknown_command"
     assert cli.main([]) == 0

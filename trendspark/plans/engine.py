@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dates import FLOOR, month_window, since_months
 from ..functions.rounding import round_half
-from ..functions.text import numbers, sparkline
+from ..functions.text import numbers, sentences, sparkline
 from ..operators import claims, quality, series
 from ..operators.series import BY
 from ..sources.coverage import cache_stats
@@ -126,6 +126,13 @@ def check_draft(spark: SparkSession, results: DataFrame, topic: str, text: str,
     return claims.check_claims(drafts, runs, result_numbers(results).withColumn("run_id", F.lit("run")))
 
 
+def counted(spark: SparkSession, text: str) -> dict[str, int]:
+    """How many sentences and figures of a draft were looked at."""
+    df = spark.createDataFrame([(text,)], "t string")
+    s, n = df.select(F.size(sentences(F.col("t"))), F.size(numbers(F.col("t")))).first()
+    return {"sentences_checked": s, "figures_checked": n}
+
+
 def doctor(spark: SparkSession, points: DataFrame | None = None) -> dict:
     """Versions, settings that matter, what the cache holds, optional libraries, and what is wrong with them."""
     warnings = []

@@ -87,6 +87,26 @@ def table(rows: list[dict]) -> str:
     return "\n".join(lines)
 
 
+def told_table(rows: list[dict], unresolved: list[dict]) -> str:
+    """The told result rows as a table, and what was not measured."""
+    full = [
+        {"lang": r.get("lang"), "title": r.get("title"), "median_daily": r.get("median_daily_90d"), "raw": r.get("raw"), "normalized": r.get("normalized"), "confidence": r.get("confidence"),
+         "sparkline": r.get("sparkline"), "reasons": [{"detail": x} for x in r.get("confidence_reasons", [])]} for r in rows
+    ]
+    return "\n".join([table(full), *(f"{u['lang']}: {u['reason']}" for u in unresolved)])
+
+
+def spark_bars(series: dict[str, list[float | None]], w: int = 160, h: int = 24) -> str:
+    """One small SVG of bars a series, scaled from 0 to its largest value; an unknown value leaves a gap."""
+    out = []
+    for name, values in series.items():
+        top = max((v for v in values if v is not None), default=0) or 1
+        step = w / max(1, len(values))
+        bars = "".join(f'<rect x="{k * step:.1f}" y="{h - h * v / top:.1f}" width="{max(0.5, step - 0.5):.1f}" height="{h * v / top:.1f}" fill="{COLOURS[0]}"/>' for k, v in enumerate(values) if v is not None)
+        out.append(f'<p>{escape(name)} <svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}">{bars}</svg></p>')
+    return "".join(out)
+
+
 def segments(points: list[tuple[int, float | None]]) -> list[list[tuple[int, float]]]:
     """Runs of known points; a gap breaks the line."""
     out: list[list[tuple[int, float]]] = [[]]

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .tables import exists
+
 RUN_TABLES = ("results", "monthly", "daily")
 
 
@@ -45,14 +51,44 @@ def transcript_steps(events: DataFrame, key: str, line: str) -> DataFrame:
     return rows.select(key, "ord", F.explode(F.concat(part, F.coalesce(last, F.array().cast("array<struct<kind:string,text:string>>")))).alias("p")).select(key, "ord", "p.*").where("text is not null")
 
 
-def write_run(tables: dict[str, DataFrame], path: str) -> None:
-    """A finished run: one folder per table."""
+MONTHLY = "series_id string, month date, views bigint, complete boolean, project_views bigint, per_million double, days_missing bigint"
+
+
+def run_id(moment: datetime) -> str:
+    return f"r_{moment:%Y%m%dT%H%M}_{uuid.uuid4().hex[:6]}"
+
+
+def write_run(tables: dict[str, DataFrame], path: str, analysis: dict | None = None, request: dict | None = None) -> None:
+    """A finished run: the result rows, then one folder each for monthly and daily figures by language, and the texts of the
+    analysis and of the request. Rows without a ``lang`` get that of their series' result."""
+    spark = tables["results"].sparkSession
+    tables["results"].write.mode("overwrite").parquet(f"{path}/results")
+    langs = spark.read.parquet(f"{path}/results").select("series_id", "lang")
     for name in RUN_TABLES:
-        if name in tables:
-            tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+        if name in tables and name != "results":
+            rows = tables[name].drop("lang").join(langs, "series_id")
+            rows.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/{name}")
+    for name, told in (("analysis", analysis), ("input", request)):
+        if told is not None:
+            spark.createDataFrame([(json.dumps(told, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
 def read_run(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a finished run that were written."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    return {n: spark.read.parquet(f"{path}/{n}") for n in RUN_TABLES if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"))}
+    """The tables of a finished run; a run without monthly figures has an empty table of them."""
+    out = {n: spark.read.parquet(f"{path}/{n}") for n in RUN_TABLES if exists(spark, f"{path}/{n}")}
+    if "results" in out and "monthly" not in out:
+        out["monthly"] = spark.createDataFrame([], MONTHLY + ", lang string")
+    return out
+
+
+def read_told(spark: SparkSession, path: str, name: str) -> dict | None:
+    """The text ``analysis`` or ``input`` of a run."""
+    if not exists(spark, f"{path}/{name}"):
+        return None
+    return json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/{name}").collect()))
+
+
+def write_scores(scores: DataFrame, model: str, path: str) -> None:
+    """Results of an evaluation as JSON: one file with the model, totals and every scenario's checks."""
+    rows = F.array_sort(F.collect_list(F.struct("*")))
+    scores.agg(F.lit(model).alias("model"), F.count_if("pass").alias("passed"), F.count("*").alias("total"), rows.alias("results")).coalesce(1).write.mode("overwrite").json(path)

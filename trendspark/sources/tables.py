@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -10,6 +11,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``; an empty one where there is none, or none that can be read."""
+    try:
+        return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def day_of(d: Column) -> Column:
     """The calendar day that a spelled day names by its first eight digits (``20240131``, ``2024-01-31``,
     ``2024013100``); null for anything that is no day."""
