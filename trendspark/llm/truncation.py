@@ -54,6 +54,12 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(signed, r"\n+", "\n"), F.lit(TOKEN), F.lit(0))
 
 
+def _unmarked(text: Column) -> Column:
+    """A text without a mark of omission at its end."""
+    may = text.endswith("…") | text.endswith("...") | text.endswith("]")
+    return F.when(may, F.regexp_replace(text, MARK, "")).otherwise(text)
+
+
 def _with_last_tokens(df: DataFrame, name: str, text: Column) -> DataFrame:
     """``df`` with at least the last five tokens of a text, all of a shorter one. A blank is always between two tokens."""
     tail = F.when(F.length(text) <= TAIL, text).otherwise(F.regexp_replace(F.right(text, F.lit(TAIL)), r"^\S*\s", ""))
@@ -90,7 +96,7 @@ def _tally(corpus: DataFrame, asked: DataFrame) -> DataFrame:
     """``(key, w, ends, goes_on)`` of the corpus (column ``_text``): of every asked sequence (``w`` null) how often an end (of text,
     line or sentence) follows it and how often not; of every asked context, and of context 0, which is all, its words."""
     text = F.col("_text")
-    bare = F.regexp_replace(text, MARK, "")
+    bare = _unmarked(text)
     # the final token, before a mark of omission, counts for no word
     cut = corpus.withColumn("_t", _tokens(text)).withColumn("_n", F.when(bare == text, F.size("_t")).otherwise(F.size(_tokens(bare))))
     at = cut.where(F.size("_t") > 0).select("_t", "_n", F.explode(F.sequence(F.lit(0), F.size("_t") - 1)).alias("_i"))
@@ -155,14 +161,12 @@ def find_truncated(df: DataFrame, id_col: str, source_col: str, text_col: str) -
     raw, text = F.col("_raw"), F.col("_text")
     source = df.select(F.col(id_col).alias("_id"), F.lower(F.trim(source_col)).alias("_source"), F.col(text_col).alias("_raw")).withColumn("_text", F.regexp_replace("_raw", r"\s+$", ""))
     # all that is asked of a text is told from its row: texts are moved once only, as the corpus
-    bare = F.regexp_replace(text, MARK, "")
-    line = F.regexp_extract(F.right(text, F.lit(TAIL)), r"[^\n]*$", 0)
-    line = F.when(F.length(line) < TAIL, line).otherwise(F.regexp_extract(text, r"[^\n]*$", 0))
+    line = F.substring_index(text, "\n", -1)
     fence = F.pmod(F.length(text) - F.length(F.replace(text, F.lit("```"), F.lit("``"))), F.lit(2)) == 1
     broken = fence | (F.ltrim(text).startswith("{") & F.try_parse_json(text).isNull()) | (line.startswith("|") & ~line.endswith("|"))
     t, u = F.col("_t"), F.col("_u")
     last = lambda a, k: F.when(F.size(a) >= k, F.element_at(a, -k))
-    told = source.withColumn("_bare", bare).withColumn("marked", F.col("_bare") != text)
+    told = source.withColumn("_bare", _unmarked(text)).withColumn("marked", F.col("_bare") != text)
     told = _with_last_tokens(_with_last_tokens(told, "_t", text), "_u", F.when(F.col("marked"), F.col("_bare")))
     told = told.withColumn("_u", F.coalesce("_u", "_t"))
     rows = told.select(
