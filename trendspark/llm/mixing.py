@@ -32,7 +32,8 @@ def _spread(documents: DataFrame, targets: DataFrame, seed: int, tokenizer: str)
     docs = documents.select("doc_id", _source("source").alias("source"), "text").where("source is not null and length(text) > 0").join(wanted.select("source"), "source", "left_semi")
     sized = tokens.with_token_counts(docs.withColumn("_h", F.sha2("text", 256)), "text", tokenizer).select("doc_id", "source", "_h", "n_tokens")
     # a repost is the same text: it belongs to the source of its least id, and is counted once
-    texts = sized.where("n_tokens > 0").groupBy("_h").agg(F.min(F.struct("doc_id", "source")).alias("_d"), F.max("n_tokens").alias("n_tokens"))
+    # texts without tokens are left out behind the aggregation: a filter before it would count tokens once more, and of all texts
+    texts = sized.groupBy("_h").agg(F.min(F.struct("doc_id", "source")).alias("_d"), F.max("n_tokens").alias("n_tokens")).where("n_tokens > 0")
     keyed = checkpointed(texts.select("_d.doc_id", "_d.source", "n_tokens", F.xxhash64("_h", F.lit(seed)).alias("_key"), "_h"))
     bits = max(4, min(30, math.ceil(math.log2(1 + keyed.count() / PART_TEXTS))))
     return keyed.withColumn("_part", F.shiftright("_key", 64 - bits)), wanted
