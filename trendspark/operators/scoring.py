@@ -17,6 +17,16 @@ def commands_in(text: Column) -> Column:
     return F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
 
 
+# Commands that may be run.
+ALLOWED = ("views", "resolve", "report", "check", "doctor")
+
+
+def allowed(commands: Column) -> Column:
+    """Of command lines those whose first words are a program and a command that may be run, and that chain, pipe or redirect nothing."""
+    pattern = rf"^\s*(?:node\s+)?\S+\s+(?:{'|'.join(ALLOWED)})\b[^;&|<>`$]*$"
+    return F.filter(commands, lambda c: c.rlike(pattern))
+
+
 def arguments(command: Column) -> Column:
     """A command line cut into arguments; quoted ones stay whole and lose their quotes."""
     return F.transform(F.regexp_extract_all(command, F.lit(r"\"[^\"]*\"|'[^']*'|\S+"), F.lit(0)), lambda a: F.regexp_replace(a, "^[\"']|[\"']$", ""))

@@ -368,6 +368,16 @@ REPLY = SchemaGraph(
     ],
 )
 
+def item_names(tables: dict[str, DataFrame], lang: str = "en") -> DataFrame:
+    """``(qid, label, description, editions)``: of every recorded item its name and description in a language, and the sites it links,
+    in order. ``tables``: the flat tables of :data:`REPLY`. Of several records of an item the least of each holds."""
+    own = lambda name: tables[name].where(F.col("language") == lang).select("parent_id", F.col("value").alias(name))
+    sites = tables["sitelink"].groupBy("parent_id").agg(F.array_sort(F.collect_set("site")).alias("_s"))
+    rows = tables["entity"].select(F.col("row_id").alias("parent_id"), F.col("natural_key").alias("qid")).where("qid is not null")
+    rows = rows.join(own("label"), "parent_id", "left").join(own("description"), "parent_id", "left").join(sites, "parent_id", "left")
+    return rows.groupBy("qid").agg(F.min("label").alias("label"), F.min("description").alias("description"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_s")))).alias("editions"))
+
+
 #: Relations whose rows are cases of nested elements, and those whose parent is named by its natural key.
 CASES = ("page", "search", "normalized", "redirect", "logevent", "langlink", "revision", "sitelink")
 LINKED = ("langlink", "revision", "sitelink")

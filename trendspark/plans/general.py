@@ -220,6 +220,10 @@ SELECT topic, 'winner' AS role, title, qid, bytes FROM win UNION ALL SELECT topi
 
 
 ORACLES = {
+    "item_names": _WRAPPED + "".join(_held(n, *_ELEMENTS[n][:4]) for n in ("entity", "label", "description", "sitelink")) + """
+SELECT coalesce(e.j->>'$.id', e.k) AS qid, min(l.j->>'$.value') AS label, min(c.j->>'$.value') AS description, coalesce(array_to_string(list_sort(list_distinct(list(s.j->>'$.site'))), ','), '') AS editions
+FROM entity e LEFT JOIN label l ON l.parent_id = e.row_id AND l.j->>'$.language' = 'en' LEFT JOIN description c ON c.parent_id = e.row_id AND c.j->>'$.language' = 'en'
+LEFT JOIN sitelink s ON s.parent_id = e.row_id WHERE coalesce(e.j->>'$.id', e.k) IS NOT NULL GROUP BY 1""",
     "edition_status": _WRAPPED + "".join(_held(n, *_ELEMENTS[n][:4]) for n in ("entity", "sitelink")) + _STATUS,
     "page_senses": _WRAPPED + _held("page", *_ELEMENTS["page"][:4]) + _SENSES,
     "redirect_chain": _chain_sql(),

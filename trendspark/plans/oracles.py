@@ -283,6 +283,13 @@ FROM (SELECT o_orderpriority, o_orderdate::DATE AS day, count(*) AS n FROM order
     "market_share_by_region": """SELECT r_name, strftime(month, '%Y%m') AS ym, orders, floor(orders / sum(orders) OVER (PARTITION BY month) * 1e6 * 1000 + 0.5) / 1000 AS per_million FROM (
 SELECT r_name, date_trunc('month', o_orderdate) AS month, count(*) AS orders FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2)""",
+    "encoded_titles": """SELECT DISTINCT title, replace(replace(replace(replace(replace(replace(url_encode(replace(title, ' ', '_')), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*'), '%7E', '~') AS encoded
+FROM series_meta WHERE title IS NOT NULL""",
+    "allowed_commands": r"""WITH a AS (SELECT DISTINCT result_id, answer FROM eval_results WHERE answer IS NOT NULL),
+b AS (SELECT result_id, answer, unnest(regexp_extract_all(answer, '```(?:bash|sh|shell)?\s*\n([\s\S]*?)```', 1)) AS block FROM a),
+c AS (SELECT result_id, trim(unnest(string_split(block, chr(10))), ' ') AS command FROM b)
+SELECT a.result_id, count(command) AS commands, count(*) FILTER (regexp_matches(command, '^\s*(node\s+)?\S+\s+(views|resolve|report|check|doctor)\b[^;&|<>`$]*$')) AS allowed
+FROM (SELECT DISTINCT result_id FROM a) a LEFT JOIN (SELECT * FROM c WHERE command <> '' AND NOT starts_with(command, '#')) c USING (result_id) GROUP BY 1""",
     "sentence_counts": r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.!?;:])\s+', '\1' || chr(30), 'g'), '\n+', chr(30), 'g'),
   '(^|\s)[-*•]\s+', chr(30), 'g'), chr(30)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(s)::INT AS sentences, length(array_to_string(s, ''))::INT AS letters FROM s""",

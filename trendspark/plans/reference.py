@@ -293,6 +293,12 @@ def edition_status(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("qid", "lang", "title", "status", "warning", "target", "folds")
 
 
+def item_names(spark: SparkSession, d: str) -> DataFrame:
+    """Name, description and editions of every recorded item."""
+    t = shredding.flat_tables(table(spark, d, "api_responses"), shredding.REPLY, "body", "response_id")
+    return shredding.item_names(t).withColumn("editions", F.array_join("editions", ","))
+
+
 def page_senses(spark: SparkSession, d: str) -> DataFrame:
     """Of every name that a recorded page bears with a qualifier: the article that is meant and its rivals."""
     (p,) = _replies(spark, d, "page")
@@ -409,6 +415,18 @@ def json_scalars(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.substring(F.sha1("props"), 1, 16).alias("key"), F.size(F.map_keys(F.from_json("props", "map<string,string>"))).alias("fields"))
 
 
+def encoded_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of the series as parts of a URL."""
+    return table(spark, d, "series_meta").where("title is not null").select("title").distinct().select("title", text.encoded_title(F.col("title")).alias("encoded"))
+
+
+def allowed_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Of the commands in every answer, how many may be run."""
+    c = scoring.commands_in(F.col("answer"))
+    rows = table(spark, d, "eval_results").where("answer is not null").select("result_id", "answer").distinct()
+    return rows.groupBy("result_id").agg(F.sum(F.size(c)).alias("commands"), F.sum(F.size(scoring.allowed(c))).alias("allowed"))
+
+
 def request_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "series_meta").select(BY, request_key(text.encoded_title(F.lower("access"))).alias("key"), text.site_for(F.col("agent")).alias("site"), text.project_for(F.col("agent")).alias("project")).distinct()
 
@@ -452,8 +470,8 @@ QUERIES = {
     for f in (
         reindex_daily, reindex_window, series_header, monthly_rollup, project_totals_range, per_million, trailing_blocks, compare_blocks, median_daily_90d, index_to_100,
         quarter_matrix, month_matrix_wide, robust_z, daily_spikes, spike_share, best_split, changepoints, monthly_spikes, change_without_spikes, break_evidence,
-        injected_breaks, injected_spikes, injected_rubric, rubric_scores, confidence_counts, sparklines, views_report, limitation_counts, gap_planning, cache_stats, winner_pick, rival_articles, competing_senses, edition_gaps, edition_status, page_senses,
+        injected_breaks, injected_spikes, injected_rubric, rubric_scores, confidence_counts, sparklines, views_report, limitation_counts, gap_planning, cache_stats, winner_pick, rival_articles, competing_senses, edition_gaps, edition_status, page_senses, item_names,
         redirect_chain, topic_words, match_confidence, sentence_counts, number_extraction, untraceable_figures, claims_checker, eval_totals, eval_checks, answer_commands,
-        abbrev_numbers, date_scalars, math_scalars, json_scalars, request_keys, event_kinds, year_change, rollup_views, stream_daily_counts, market_share_by_region,
+        abbrev_numbers, date_scalars, math_scalars, json_scalars, encoded_titles, allowed_commands, request_keys, event_kinds, year_change, rollup_views, stream_daily_counts, market_share_by_region,
     )
 }

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: Settings the operators assume. Everything that depends on the cluster (shuffle partitions, memory, broadcast
 #: threshold) stays with the caller; AQE coalesces and splits partitions at run time.
@@ -47,6 +47,12 @@ def _shared(spark: SparkSession) -> str:
     return shared or sc._jsc.sc().getCheckpointDir().get()
 
 
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` and what is to be seen of it once it ran: its rows, and what else is named. Costs no pass of its own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()]), seen
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, so that lineage is cut and a lost executor costs nothing. The files go with the
     DataFrame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as :func:`get_spark` does."""

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.dates import VOLATILE_DAYS
+from ..functions.dates import FLOOR, VOLATILE_DAYS, latest_published
+from ..session import checkpointed
+from .tables import table_or_none
+
+COVERAGE, POINTS = "series_id string, covered_from date, covered_to date", "series_id string, day date, v bigint, month string"
 
 
 def gaps(coverage: DataFrame, start: date, end: date, as_of: date, series: DataFrame | None = None) -> DataFrame:
@@ -51,6 +56,39 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     return touched.groupBy("series_id", "day").agg(F.max(F.struct("_o", "v")).alias("_p")).select("series_id", "day", F.col("_p.v").alias("v"))
 
 
+def refresh(spark: SparkSession, path: str, series: DataFrame, start: date, end: date, as_of: date, load: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Brings the cache at ``path`` up to date for ``series`` ``(series_id)`` and gives the points of ``start`` .. ``end``.
+
+    What is missing is planned from the coverage record; ``load`` turns the gaps ``(series_id, gap_from, gap_to)`` into ``(series_id, day, v,
+    error)``, with one row of null day and an ``error`` for a series that could not be had. Loaded points are merged month by month;
+    the coverage of what was loaded grows to the hull, that of a series with an error stays, so that it is asked for again.
+    The result has the errors too, as rows without a day. Nothing is loaded where nothing is missing.
+    """
+    points_at, record_at = f"{path}/points", f"{path}/coverage"
+    record = table_or_none(spark, record_at, COVERAGE)
+    start = max(start, FLOOR)
+    wanted = series.select("series_id").where("series_id is not null").distinct()
+    asked = checkpointed(gaps(record, start, min(end, latest_published(as_of)), as_of, wanted))
+    errors = spark.createDataFrame([], "series_id string, error string")
+    if not asked.isEmpty():
+        loaded = checkpointed(load(asked))
+        errors = loaded.where("error is not null").select("series_id", "error").distinct()
+        new = loaded.where("error is null and day is not null").select("series_id", "day", "v")
+        old = table_or_none(spark, points_at, POINTS).select("series_id", "day", "v")
+        save_points(checkpointed(merged(old, new)), points_at)
+        done = asked.join(errors, "series_id", "left_anti")
+        checkpointed(extended(record, done)).write.mode("overwrite").parquet(record_at)
+    held = table_or_none(spark, points_at, POINTS).where(F.col("day").between(F.lit(start), F.lit(end))).join(wanted, "series_id", "left_semi")
+    return held.select("series_id", "day", "v", F.lit(None).cast("string").alias("error")).unionByName(errors.select("series_id", F.lit(None).cast("date").alias("day"), F.lit(None).cast("bigint").alias("v"), "error"))
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes a cache takes on disk."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
 def cache_stats(df: DataFrame) -> DataFrame:
     """Series, points and first and last day held."""
     return df.agg(F.countDistinct("series_id").alias("series"), F.count("*").alias("points"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
