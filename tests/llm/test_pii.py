@@ -200,6 +200,7 @@ def test_operator(spark):
     masked = {r["doc_id"]: r["text"] for r in mask_personal(docs, fit(docs, names)).where("doc_id > 10000").collect()}
     assert masked == {10_001: None, 10_002: "", 10_003: "Chart by [NAME], [ADDRESS]."}
     assert personal_items(docs.limit(0), names).count() == 0
+    assert {r["restored"] for r in pii.restored(docs, fit(docs, names)).collect()} == {True}
 
 
 def test_copies_and_frequent_names_are_no_common_words(spark):

@@ -883,6 +883,18 @@ def mask_personal(documents: DataFrame, model: Model, text_col: str = "text") ->
     return documents.withColumn(text_col, masked(F.col(text_col)))
 
 
+def restored(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(<id>, restored)`` of texts that are not null: whether the masked text becomes the text again when its placeholders are
+    replaced by the mentions found. ``<id>`` must be unique."""
+    kinds = "|".join(k.upper() for k in KINDS[1:])
+    masked = mask_personal(documents.select(id_col, F.col(text_col).alias("_m"), F.col(text_col).alias("_text")), model, "_m")
+    found = find_personal(documents, model, id_col, text_col).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "mention"))), lambda x: x["mention"]).alias("_f"))
+    none = F.array().cast("array<string>")
+    rows = masked.where("_text is not null").join(found, id_col, "left").withColumns({"_f": F.coalesce("_f", none), "_p": F.split("_m", rf"\[(?:{kinds})\]", -1)})
+    whole = F.array_join(F.flatten(F.transform("_p", lambda p, i: F.array(p, F.coalesce(F.get("_f", i), F.lit(""))))), "")
+    return rows.select(id_col, ((whole == F.col("_text")) & (F.size("_p") == F.size("_f") + 1)).alias("restored"))
+
+
 def personal_items(documents: DataFrame, given_names: DataFrame) -> DataFrame:
     """Distinct ``(doc_id, kind, item)``: the mention in lower case, letters and digits only."""
     found = find_personal(documents, fit(documents, given_names))

@@ -55,10 +55,17 @@ def p8_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.mask_personal(docs.select("doc_id", "text"), pii.fit(docs, table(spark, d, "given_names")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_share, p6_pack, p6_fill, p6_checks, p7_mix, p7_shares, p7_checks, p8_found, p8_masked)}
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every masked text differs from its text in the mentions alone."""
+    docs = table(spark, d, "documents")
+    return pii.restored(docs.select("doc_id", "text"), pii.fit(docs, table(spark, d, "given_names")))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_share, p6_pack, p6_fill, p6_checks, p7_mix, p7_shares, p7_checks, p8_found, p8_masked, p8_restored)}
 
 #: Tokens cannot be counted in SQL; what holds of every packing and mixture can be said in it.
 ORACLES: dict[str, str] = {
+    "p8_restored": "SELECT doc_id, true AS restored FROM documents WHERE text IS NOT NULL",
     "p6_checks": """SELECT pack_name, capacity_tokens AS capacity, (SELECT count(DISTINCT doc_id) FROM documents) AS texts, 0::BIGINT AS lost, 0::BIGINT AS overfull, 0::BIGINT AS torn, 0::BIGINT AS split
 FROM (SELECT DISTINCT pack_name, capacity_tokens FROM pack_limits WHERE pack_name IS NOT NULL AND capacity_tokens > 0)""",
     "p7_checks": r"""SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s_\-]+', '-', 'g') AS source, 0::BIGINT AS off_budget, 0 AS over_repeated, 0::BIGINT AS gaps, 0 AS unequal_uses
