@@ -26,9 +26,14 @@ def table_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def day_of(d: Column) -> Column:
     """The calendar day that a spelled day names by its first eight digits (``20240131``, ``2024-01-31``,
-    ``2024013100``); null for anything that is no day."""
+    ``2024013100``); null for anything that is no day. The usual spellings are read by position, only others by pattern."""
     digits = F.regexp_replace(d, "[^0-9]", "")
-    return F.regexp_replace(digits, "^([0-9]{4})([0-9]{2})([0-9]{2}).*$", "$1-$2-$3").try_cast("date")
+    by_pattern = F.when(digits.rlike("^[0-9]{8}"), F.regexp_replace(digits, "^([0-9]{4})([0-9]{2})([0-9]{2}).*$", "$1-$2-$3"))
+    part = lambda at, n: F.substring(d, at, n)
+    led = part(1, 1).between("0", "9")
+    plain = F.when(led, F.concat(part(1, 4), F.lit("-"), part(5, 2), F.lit("-"), part(7, 2)))
+    dashed = F.when(led & (part(5, 1) == "-") & (part(8, 1) == "-"), part(1, 10))
+    return F.coalesce(plain.try_cast("date"), dashed.try_cast("date"), by_pattern.try_cast("date"))
 
 
 def edition_of(project: Column) -> Column:
