@@ -210,6 +210,33 @@ _STREET = re.compile(
 )
 
 
+# Words, and ends or beginnings of words, one of which every street has.
+_STREET_WORDS = frozenset(
+    "street road avenue lane drive court close way terrace crescent boulevard square place grove gardens row walk hill parade alley mews park green st rd ave ln dr ct blvd sq ter cres pl "
+    "av bd c p ul al os".split()
+)
+_STREET_LEADS = frozenset("Am An Auf Im Zum Zur Unter In".split())
+_STREET_PARTS = (
+    "rue avenue place boulevard impasse quai chemin allée cours square route passage villa sentier ruelle faubourg straße strasse str weg gasse platz allee ufer ring damm steig pfad graben "
+    "chaussee stieg promenade calle avenida avda plaza pza paseo camino ronda travesía carrera callejón cuesta glorieta carretera ulica ulicy aleja alei aleje plac osiedl rondo skwer bulwar"
+).split()
+
+
+@lru_cache(maxsize=200_000)
+def _of_street(w: str) -> bool:
+    """Whether a word may belong to a street: lines without one are not searched for streets."""
+    parts, small = re.split(r"[-'’]", w), w.lower()
+    return not _STREET_LEADS.isdisjoint(parts) or any(p.lower() in _STREET_WORDS or p[-2:].lower() in ("av", "bd") for p in parts) or any(p in small for p in _STREET_PARTS)
+
+
+_DIGIT = re.compile(r"\d")
+
+
+@lru_cache(maxsize=200_000)
+def _particle(w: str) -> bool:
+    return w.lower() in PARTICLES
+
+
 def _scan(text: str, lines: list[tuple[int, int]], trigger: re.Pattern, form: re.Pattern) -> Iterator[re.Match]:
     """Matches of ``form`` on the lines that hold its trigger; no form reaches over a line's end."""
     for a, b in lines:
@@ -241,9 +268,11 @@ def _shape(s: str) -> str:
 def mentions(text: str, model: Model) -> list[Mention]:
     """All mentions the forms propose, in order of their start."""
     out: list[Mention] = []
-    words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
+    words = [(*m.span(), m[0]) for m in WORD.finditer(text)]
     starts = [w[0] for w in words]
-    lines = [(m.start(), m.end()) for m in LINE.finditer(text)]
+    lines = [m.span() for m in LINE.finditer(text)]
+    numbered = [x for x in lines if _DIGIT.search(text, *x)]  # streets and numbers have digits
+    streets = [a for a, _, w in words if _of_street(w)]
 
     def around(a: int, b: int) -> tuple[list[str], list[str], str, str]:
         """Words before and after on the line, and what directly adjoins."""
@@ -266,7 +295,7 @@ def mentions(text: str, model: Model) -> list[Mention]:
             f.append("alone")
         return f, alone
 
-    for m in _scan(text, lines, _AT_SIGN, EMAIL_FORM):
+    for m in _scan(text, lines if _AT_SIGN.search(text) else [], _AT_SIGN, EMAIL_FORM):
         local = fold(re.split(_AT + rf"|{B}at{B}", m.group(), maxsplit=1)[0])
         plain = "@" in m.group() and not any(c.isspace() for c in m.group())
         out.append(Mention(m.start(), m.end(), (NONE, EMAIL), [*context(m.start(), m.end())[0], "form=" + ("plain" if plain else "spelled")], ["x:" + fold(m.group())], EMAIL if plain else None, local))
@@ -290,7 +319,7 @@ def mentions(text: str, model: Model) -> list[Mention]:
         return emails[those[k - 1] if k else those[0]]
 
     email_starts = [e.start for e in emails]
-    for m in _scan(text, lines, _STREET, ADDRESS_FORM):
+    for m in _scan(text, [x for x in numbered if bisect_left(streets, x[0]) < bisect_left(streets, x[1])], _STREET, ADDRESS_FORM):
         s = m.group()
         form = m.lastgroup
         f, _ = context(m.start(), m.end())
@@ -299,7 +328,7 @@ def mentions(text: str, model: Model) -> list[Mention]:
         if re.match(rf"{B}*(?:$|[\n,;.|–<)\"])", text[m.end() : m.end() + 4]):
             f.append("closed")
         out.append(Mention(m.start(), m.end(), (NONE, ADDRESS), f, ["x:" + fold(s)], None if plain or form == "a_bare" else ADDRESS))
-    for m in _scan(text, lines, _LONG_NUMBER, NUMBER_FORM):
+    for m in _scan(text, numbered, _LONG_NUMBER, NUMBER_FORM):
         form = next(k for k, v in m.groupdict().items() if v is not None and k != "ssnsep")
         s = m.group()
         digits = sum(c.isdigit() for c in s)
@@ -333,9 +362,10 @@ def mentions(text: str, model: Model) -> list[Mention]:
 
     # names: given names and initials before, or after a comma behind, a family name
     n = len(words)
-    kind = ["" if busy[a] else model.role(w) for a, _, w in words]
-    for k, (_, b, w) in enumerate(words):
-        if kind[k] == "i" and not (b < len(text) and text[b] == "."):
+    known, role = model.roles.get, model.role
+    kind = ["" if busy[a] else r if (r := known(w)) is not None else role(w) for a, _, w in words]
+    for k, r in enumerate(kind):
+        if r == "i" and text[words[k][1] : words[k][1] + 1] != ".":
             kind[k] = ""
 
     def blank(i: int, j: int) -> bool:
@@ -351,7 +381,7 @@ def mentions(text: str, model: Model) -> list[Mention]:
     def family_at(i: int) -> tuple[int, int] | None:
         """Word indices of a family name that begins at i, its particles included."""
         j = i
-        while j + 1 < n and j - i < 3 and words[j][2].lower() in PARTICLES and blank(j, j + 1):
+        while j + 1 < n and j - i < 3 and _particle(words[j][2]) and blank(j, j + 1):
             j += 1
         if j < n and kind[j] in ("f", "l"):
             return i, j
@@ -415,7 +445,7 @@ def mentions(text: str, model: Model) -> list[Mention]:
         out.append(Mention(a, b, (NONE, NAME), f, keys, seed, fd, first_names, mail))
 
     for i in range(n):
-        if kind[i] == "" and words[i][2].lower() not in PARTICLES:
+        if kind[i] == "" and not _particle(words[i][2]):
             continue
         if kind[i] in ("g", "f", "i", "l", "c"):
             # given [given] [initials] family
@@ -442,7 +472,7 @@ def mentions(text: str, model: Model) -> list[Mention]:
                     if fam and (fam[1] == j or all(blank(x, x + 1) for x in range(j, fam[1]))):
                         add(i, fam[1], fam[1], given, False, initial)
         # family, given [initials]; family given without comma where the given name is listed
-        fam = family_at(i) if kind[i] in ("f", "l") or words[i][2].lower() in PARTICLES else None
+        fam = family_at(i) if kind[i] in ("f", "l") or _particle(words[i][2]) else None
         if not fam:
             continue
         j = fam[1] + 1
