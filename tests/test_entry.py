@@ -17,7 +17,7 @@ def test_registry():
 def test_every_query_but_a_few_has_sql():
     """Those whose work cannot be said in SQL: tokens, vocabularies, random fields, autoregressions, and the check of a draft."""
     rest = set(__spark_entry__.queries()) - set(__spark_entry__.oracle_sql())
-    assert rest <= {"claims_checker", "p3_found", "p3_share", "p5_found", "p6_pack", "p6_fill", "p7_mix", "p7_shares", "p8_found", "p8_masked", "p8_kept"}
+    assert rest <= {"claims_checker", "p3_found", "p3_share", "p5_found", "p6_pack", "p6_fill", "p7_mix", "p7_shares", "p8_found", "p8_masked"}
 
 
 def test_nothing_outside_imports_the_text_operators():
